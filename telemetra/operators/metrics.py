@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from telemetra.functions.numeric import count_where, ratio, rnd
 from telemetra.operators.ordering import add_slices, with_running_sum
+from telemetra.session import materialize
 
 
 def confusion(y: Column, pred: Column) -> dict[str, Column]:
@@ -41,23 +42,34 @@ def with_rates(counts: DataFrame, names: Sequence[str] | None = None, digits: in
     return counts.withColumns({k: rnd(d[k], digits) for k in (names or d)})
 
 
+def score_counts(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+    """Positives and negatives per distinct score, stored once.
+
+    Equal scores are combined on the map side.  Everything a curve needs is read
+    from this table, so the pipeline behind ``df`` runs a single time.
+    """
+    per = df.groupBy(F.col(p).alias("p")).agg(F.sum(y).cast("long").alias("pos"),
+                                              F.count(F.lit(1)).alias("n"))
+    return materialize(per.select("p", "pos", (F.col("n") - F.col("pos")).alias("neg")))
+
+
 def score_curve(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """Per distinct score: its positives and negatives, and tp / fp when it is the threshold.
 
-    Slices are cut on the raw rows (two scans), equal scores are combined on the
-    map side, and only the per-slice totals are ordered globally.
+    The scores are cut into ordered slices; only per-slice totals are ordered globally.
     """
-    sliced = add_slices(df.select(F.col(y).alias("y"), F.col(p).alias("p")), -F.col("p"))
-    per = sliced.groupBy("_slice", "p").agg(F.sum("y").cast("long").alias("pos"),
-                                            F.count(F.lit(1)).alias("n"))
-    per = per.withColumn("neg", F.col("n") - F.col("pos"))
-    return with_running_sum(per, [], [F.desc("p")], {"tp": F.col("pos"), "fp": F.col("neg")}) \
+    return curve_of(score_counts(df, y, p))
+
+
+def curve_of(counts: DataFrame) -> DataFrame:
+    return with_running_sum(add_slices(counts, -F.col("p")), [], [F.desc("p")],
+                            {"tp": F.col("pos"), "fp": F.col("neg")}) \
         .select("p", "pos", "neg", "tp", "fp")
 
 
-def curve_totals(df: DataFrame, y: str = "y") -> tuple[int, int]:
-    r = df.agg(F.sum(y).cast("long").alias("p"), F.count(F.lit(1)).alias("n")).first()
-    return int(r["p"] or 0), int(r["n"] - (r["p"] or 0))
+def curve_totals(counts: DataFrame) -> tuple[int, int]:
+    r = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
+    return int(r["p"] or 0), int(r["n"] or 0)
 
 
 def roc_auc(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telemetra.functions.numeric import ratio
-from telemetra.operators.metrics import score_curve
+from telemetra.operators.metrics import curve_of, curve_totals, score_counts
 
 EPS = 1e-12
 
@@ -95,8 +95,9 @@ def f1_at(tp: Column, fp: Column, fn: Column) -> Column:
 
 def exact_f1(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """F1-optimal threshold over all distinct scores; ties go to the lowest."""
-    c = score_curve(df, y, p)
-    n_pos = c.agg(F.sum("pos").alias("n")).first()["n"] or 0
+    counts = score_counts(df, y, p)
+    n_pos, _ = curve_totals(counts)
+    c = curve_of(counts)
     f1 = f1_at(F.col("tp"), F.col("fp"), F.lit(n_pos) - F.col("tp"))
     best = c.withColumn("f1", f1).agg(F.max_by(F.struct("p", "f1"), F.struct(F.col("f1"), -F.col("p"))).alias("w"))
     return best.select(F.col("w.p").alias("threshold"), F.col("w.f1").alias("f1"))

@@ -84,11 +84,20 @@ def with_preceding(windows: DataFrame, keys: Sequence[str], cols: dict[str, str]
     return windows.join(before, [*keys, ordinal], "left")
 
 
-def block_ordinals(windows: DataFrame, blocks: Sequence[str]) -> DataFrame:
-    """First global window number of each block, blocks taken in order.
+def block_ordinals(windows: DataFrame, block: str, within: Sequence[str] = ()) -> DataFrame:
+    """First window number of each block in its stream, blocks taken in order.
 
     The table has one row per block, so the running count is over few rows.
     """
-    per = windows.groupBy(*blocks).agg(F.count(F.lit(1)).alias("n_win"))
-    w = W.partitionBy(F.lit(0)).orderBy(*blocks).rowsBetween(W.unboundedPreceding, -1)
-    return per.select(*blocks, "n_win", F.coalesce(F.sum("n_win").over(w), F.lit(0)).alias("first_ord"))
+    per = windows.groupBy(*within, block).agg(F.count(F.lit(1)).alias("n_win"))
+    part = W.partitionBy(*within) if within else W.partitionBy(F.lit(0))
+    before = part.orderBy(block).rowsBetween(W.unboundedPreceding, -1)
+    return per.select(*within, block, F.coalesce(F.sum("n_win").over(before), F.lit(0)).alias("first_ord"))
+
+
+def with_ordinal(windows: DataFrame, block: str, within: Sequence[str] = (),
+                 name: str = "ord") -> DataFrame:
+    """Number the windows of a stream across its blocks."""
+    first = block_ordinals(windows, block, within)
+    return (windows.join(first, [*within, block])
+            .withColumn(name, F.col("first_ord") + F.col("win")).drop("first_ord"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scans", "cleaning", "splits", "windows", "eda", "scores"]
+MODULES = ["scans", "cleaning", "splits", "windows", "eda", "scores", "graph", "online"]
 
 
 def load() -> tuple[dict, dict]:

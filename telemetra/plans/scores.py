@@ -61,9 +61,9 @@ def average_precision(spark, d):
 @query("roc_curve", f"""with {fx.SCORED_SQL}, {_CURVE}
 select p as threshold, {r6('fp / cast(nn as double)')} as fpr, {r6('tp / cast(np as double)')} as tpr from cv""")
 def roc_curve(spark, d):
-    s = fx.scored(spark, d)
-    n_pos, n_neg = metrics.curve_totals(s)
-    return metrics.score_curve(s).select(
+    counts = metrics.score_counts(fx.scored(spark, d))
+    n_pos, n_neg = metrics.curve_totals(counts)
+    return metrics.curve_of(counts).select(
         F.col("p").alias("threshold"), F.round(ratio(F.col("fp"), F.lit(n_neg)), 6).alias("fpr"),
         F.round(ratio(F.col("tp"), F.lit(n_pos)), 6).alias("tpr"))
 
@@ -71,9 +71,9 @@ def roc_curve(spark, d):
 @query("pr_curve", f"""with {fx.SCORED_SQL}, {_CURVE}
 select p as threshold, {r6('tp / cast(tp + fp as double)')} as precision, {r6('tp / cast(np as double)')} as recall from cv""")
 def pr_curve(spark, d):
-    s = fx.scored(spark, d)
-    n_pos, _ = metrics.curve_totals(s)
-    return metrics.score_curve(s).select(
+    counts = metrics.score_counts(fx.scored(spark, d))
+    n_pos, _ = metrics.curve_totals(counts)
+    return metrics.curve_of(counts).select(
         F.col("p").alias("threshold"), F.round(ratio(F.col("tp"), F.col("tp") + F.col("fp")), 6).alias("precision"),
         F.round(ratio(F.col("tp"), F.lit(n_pos)), 6).alias("recall"))
 
@@ -188,14 +188,11 @@ def _windowed_predictions(spark, d, last: bool = False, complete_only: bool = Fa
         sizes = test.groupBy("block", "win").agg(F.count(F.lit(1)).alias("n"))
         test = test.join(sizes.filter(F.col("n") == fx.EV_WINDOW).drop("n"), ["block", "win"])
     learned, _ = thresholds.window_thresholds(val, ["block", "win"], fx.EV_WINDOW)
-    lo = windows.block_ordinals(learned, ["block"])
-    learned = learned.join(lo, "block").select((F.col("first_ord") + F.col("win")).alias("slot"), "threshold")
+    learned = windows.with_ordinal(learned, "block", name="slot").select("slot", "threshold")
     n = learned.count()
-    tw = test.select("block", "win").distinct()
-    to = windows.block_ordinals(tw, ["block"])
-    num = F.col("first_ord") + F.col("win")
-    slot = F.least(num, F.lit(n - 1)) if last else F.pmod(num, F.lit(n))
-    tw = tw.join(to, "block").select("block", "win", slot.alias("slot")).join(learned, "slot").drop("slot")
+    tw = windows.with_ordinal(test.select("block", "win").distinct(), "block")
+    slot = F.least(F.col("ord"), F.lit(n - 1)) if last else F.pmod(F.col("ord"), F.lit(n))
+    tw = tw.select("block", "win", slot.alias("slot")).join(learned, "slot").drop("slot")
     return test.join(tw, ["block", "win"]).withColumn(
         "pred", F.when(F.col("p") >= F.col("threshold"), 1).otherwise(0))
 
@@ -207,8 +204,8 @@ def _cyc_sql(last: bool, complete: bool) -> str:
 {_grid_sql('', 'val', 'g')}, {_grid_sql('block, win', 'val', 'l')},
 lrn as (select row_number() over (order by l.block, l.win) - 1 as slot,
                case when l.n_pos > 0 and l.n_pos < l.n then l.threshold else g.threshold end as threshold from l, g),
-tw as (select block, win, row_number() over (order by block, win) - 1 as ord from scored where block % 5 = 4
-       group by all {having}),
+tw as (select block, win, row_number() over (order by block, win) - 1 as ord from (
+       select block, win from scored where block % 5 = 4 group by block, win {having})),
 tt as (select block, win, threshold from (select *, {slot} as slot from tw) join lrn using (slot)),
 pr as (select scored.*, threshold, case when p >= threshold then 1 else 0 end as pred from scored join tt using (block, win))"""
 
@@ -354,9 +351,9 @@ def split_status(spark, d):
 
 
 @query("candidate_ratios", f"""with {fx.EV_SQL}, c as (select sum(label) as a, count(*) - sum(label) as b from ev),
-n as (select greatest(a, b) / cast(greatest(1, least(a, b)) as double) as natural from c),
+n as (select greatest(a, b) / cast(greatest(1, least(a, b)) as double) as nat from c),
 g as (select unnest([1.0, 1.25, 1.5, 2.0, 5.0, 10.0])::double as ratio)
-select ratio from g, n where ratio < natural - 1e-9 union all select {r6('natural', 4)} from n""")
+select ratio from g, n where ratio < nat - 1e-9 union all select {r6('nat', 4)} from n""")
 def candidate_ratios(spark, d):
     c = fx.ev(spark, d).agg(F.sum("label").alias("a"), (F.count(F.lit(1)) - F.sum("label")).alias("b"))
     natural = F.greatest("a", "b") / F.greatest(F.lit(1), F.least("a", "b"))

@@ -59,6 +59,10 @@ def micros(col: str = "ts") -> Column:
     return F.unix_micros(col)
 
 
+def micros_agg(agg, col: str = "ts") -> Column:
+    return F.unix_micros(agg(col))
+
+
 def ev_blocks(spark: SparkSession, d: str) -> DataFrame:
     """EV plus the 6-hour block counted from the first timestamp."""
     e = ev(spark, d)
