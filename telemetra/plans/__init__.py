@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scans", "cleaning", "splits", "windows", "eda", "scores", "graph", "online"]
+MODULES = ["scans", "cleaning", "splits", "windows", "eda", "scores", "graph", "online", "drift", "balance"]
 
 
 def load() -> tuple[dict, dict]:
