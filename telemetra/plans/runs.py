@@ -115,13 +115,14 @@ def wilcoxon_p_values(spark, d):
     return tests(spark, d).filter("exact").select("dataset", "metric", "baseline_method", F.round("p_value", 6).alias("p_value"))
 
 
-_ADJ = """ad as (select *, count(*) over (partition by dataset) as m_tests,
-  least(1.0, p_value * count(*) over (partition by dataset)) as p_adj from pv where ties = 0 and n_zero = 0)"""
+_ADJ = """ad as (select * from (select *, count(*) over (partition by dataset) as m_tests,
+  least(1.0, p_value * count(*) over (partition by dataset)) as p_adj from pv) where ties = 0 and n_zero = 0)"""
 _MARK = "case when p_adj < 0.001 then '***' when p_adj < 0.01 then '**' when p_adj < 0.05 then '*' else 'ns' end"
 
 
 def adjusted(spark, d):
-    return rs.bonferroni(tests(spark, d).filter("exact"), ["dataset"])
+    """The family is all tests of a dataset; the report shows those with an exact p."""
+    return rs.bonferroni(tests(spark, d), ["dataset"]).filter("exact")
 
 
 @query("planned_comparisons", f"""{_PV_SQL}, {_ADJ}
@@ -235,7 +236,7 @@ def parse_seed_spec(spark, d):
     """'a-b,c,d' expanded in order without repeats; the text is built from the device ids."""
     s = fx.table(spark, d, "events").groupBy("event_type").agg(F.min("user_id").alias("a"), F.max("user_id").alias("b"))
     spec = F.format_string("%d-%d, %d,%d", F.col("a"), F.col("a") + 5, F.col("b"), F.col("a"))
-    return s.select("event_type", F.explode(rs.parse_seeds(spec)).cast("long").alias("seed"))
+    return s.select("event_type", F.explode(rs.parse_seeds(spec).cast("array<bigint>")).alias("seed"))
 
 
 @query("seed_job_plan", f"""with {fx.RUNS_SQL}, s as (select unnest(list_concat(range(1, 21), [42])) as seed),
