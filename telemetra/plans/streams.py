@@ -23,10 +23,6 @@ def events(spark, d):
                     interval_flag(ts, fx.EVENT_ATTACKS).alias("label"))
 
 
-def _us(df, *cols):
-    return df.withColumns({c: fx.micros(c) for c in cols})
-
-
 #: windows that end at or before the final watermark (latest time minus one hour, in milliseconds)
 _MARK = "(select epoch_us(max(ts)) // 1000 * 1000 - 3600000000 from ev)"
 
@@ -70,19 +66,22 @@ _SW = f"""sw as (select event_type, epoch_us(time_bucket(interval '2 hours', ts)
 so as (select *, row_number() over (partition by event_type order by start_us) - 1 as ord from sw where start_us + 7200000000 <= {_MARK})"""
 
 
-def _scores(spark, d):
-    """Closed two-hour windows per event type: mean value, correlation, benign share."""
+def _score_columns():
+    """Mean value and correlation of a two-hour window."""
     sf, sg = F.stddev_samp("f1"), F.stddev_samp("f2")
     r = F.when((F.count(F.lit(1)) >= 2) & (sf > 1e-12) & (sg > 1e-12), F.covar_samp("f1", "f2") / (sf * sg)).otherwise(0.0)
-    return streams.drain(streams.window_counts(events(spark, d), "1 hour", "2 hours", keys=["event_type"],
-                                               extra={"score": F.avg("f1"), "r1": r}), "scores")
+    return {"score": F.avg("f1"), "r1": r}
+
+
+def _windows(df):
+    return streams.window_counts(df, "1 hour", "2 hours", keys=["event_type"], extra=_score_columns())
 
 
-def _again(df, label):
-    """Store a table and read it as a stream."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return streams.stream_table(df.sparkSession, path, "*.parquet", df.schema)
+def _closed(spark, d):
+    """First query: closed windows appended to a table.  Returns it as a table and as a stream."""
+    w = _windows(events(spark, d))
+    path = streams.drain_to(w, "scores")
+    return spark.read.schema(w.schema).parquet(path), streams.follow(spark, path, w.schema)
 
 
 @query("stream_cusum", f"""with recursive {fx.EV_SQL}, {_SW},
@@ -97,9 +96,9 @@ fold(event_type, ord, start_us, z, cusum, alarm) as (
   from fold f join zs on zs.event_type = f.event_type and zs.ord = f.ord + 1)
 select event_type, start_us, {r6('z')} as z, {r6('cusum')} as cusum, alarm from fold""")
 def stream_cusum(spark, d):
-    w = _scores(spark, d)
-    det = online.calibrate(w.filter("n_pos = 0"), "score")
-    out = streams.drain(streams.cusum(_again(w, "scored"), "event_type", "start_ts", "score", det), "cusum")
+    table, stream = _closed(spark, d)
+    det = online.calibrate(table.filter("n_pos = 0"), "score")
+    out = streams.drain(streams.cusum(stream, "event_type", "start_ts", "score", det), "cusum")
     return out.select("event_type", fx.micros("start_ts").alias("start_us"), (F.round("z", 6) + 0.0).alias("z"),
                       F.round("cusum", 6).alias("cusum"), "alarm")
 
@@ -118,14 +117,14 @@ fold as (select event_type, cast(-1 as bigint) as ord, cast(0 as bigint) as star
         from fold f join so on so.event_type = f.event_type and so.ord = f.ord + 1, cal))
 select event_type, start_us, {r6('div')} as divergence, {r6('cusum')} as cusum, alarm, updated from fold where ord >= 0""")
 def stream_gated_adaptation(spark, d):
-    w = _scores(spark, d)
     e = fx.ev(spark, d).filter("label = 0")
     start = e.agg((F.covar_samp("f1", "f2") / (F.stddev_samp("f1") * F.stddev_samp("f2"))).alias("r")).first()["r"]
     v = F.sqrt(2 * F.pow(F.col("r1") - F.lit(start), 2))
-    det = online.calibrate(w.filter("n_pos = 0 and n >= 2").select(v.alias("v")), "v")
-    w = w.select("event_type", "start_ts", F.array("r1").alias("r"),
+    table, stream = _closed(spark, d)
+    det = online.calibrate(table.filter("n_pos = 0 and n >= 2").select(v.alias("v")), "v")
+    w = stream.select("event_type", "start_ts", F.array("r1").alias("r"),
                  ((F.col("n") - F.col("n_pos")) / F.col("n")).alias("benign_fraction"), "n")
-    out = streams.drain(streams.gated(_again(w, "matrices"), "event_type", "start_ts", [start], det, 0.05, 0.9), "gated")
+    out = streams.drain(streams.gated(w, "event_type", "start_ts", [start], det, 0.05, 0.9), "gated")
     return out.select("event_type", fx.micros("start_ts").alias("start_us"), F.round("divergence", 6).alias("divergence"),
                       F.round("cusum", 6).alias("cusum"), "alarm", "updated")
 

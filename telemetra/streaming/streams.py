@@ -29,8 +29,8 @@ def stream_table(spark: SparkSession, folder: str, glob: str, schema: T.StructTy
     return r.parquet(folder)
 
 
-def drain(df: DataFrame, label: str) -> DataFrame:
-    """Run over everything available, append to a table in the shared folder, read it back.
+def drain_to(df: DataFrame, label: str) -> str:
+    """Run over everything available and append to a table in the shared folder.
 
     Progress is kept next to the table, so a restarted run continues.
     """
@@ -39,7 +39,20 @@ def drain(df: DataFrame, label: str) -> DataFrame:
     q = (df.writeStream.format("parquet").option("checkpointLocation", progress)
          .outputMode("append").trigger(availableNow=True).start(out))
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
+    return out
+
+
+def drain(df: DataFrame, label: str) -> DataFrame:
+    return df.sparkSession.read.schema(df.schema).parquet(drain_to(df, label))
+
+
+def follow(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Stream the table another query appends to.
+
+    The sink's commit log makes each of its batches visible as a whole, and in
+    order, so the closed windows of a key never arrive out of order.
+    """
+    return spark.readStream.schema(schema).parquet(path)
 
 
 def window_counts(df: DataFrame, delay: str, size: str, slide: str | None = None,
