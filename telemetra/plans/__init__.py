@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scans", "cleaning", "splits", "windows", "eda", "scores", "graph", "online", "drift", "balance", "runs", "checks", "streams"]
+MODULES = ["scans", "cleaning", "splits", "windows", "eda", "scores", "graph", "online", "drift", "balance", "runs", "checks", "streams", "models"]
 
 
 def load() -> tuple[dict, dict]:
