@@ -69,9 +69,10 @@ def chunked_scan(df: DataFrame, stream: Sequence[str], ordinal: str, step: Step,
         rows = left.sort_values(ordinal, ignore_index=True)
         return pd.DataFrame({**{k: v for k, v in zip(stream, key)}, ordinal: rows[ordinal], **cols})
 
-    def run(states: DataFrame, ddl: str, fn) -> DataFrame:
-        return (data.groupBy(*keys).cogroup(states.select(*keys, "_in").groupBy(*keys))
-                .applyInPandas(fn, ddl))
+    def run(rows: DataFrame, states: DataFrame, ddl: str, fn) -> DataFrame:
+        # fresh column identities: both sides descend from the same table
+        given = states.select(*[F.col(c).alias(c) for c in [*keys, "_in"]])
+        return rows.groupBy(*keys).cogroup(given.groupBy(*keys)).applyInPandas(fn, ddl)
 
     start = F.array(*[F.lit(v) for v in init_arr]).cast("array<double>")
     chunks = data.select(*keys).distinct()
@@ -79,7 +80,7 @@ def chunked_scan(df: DataFrame, stream: Sequence[str], ordinal: str, step: Step,
     last = data.agg(F.max("_chunk").alias("c")).first()["c"] or 0
     ends = None
     if last > 0:
-        ends = materialize(run(states, state_ddl, end))
+        ends = materialize(run(data, states, state_ddl, end))
         while True:
             nxt = ends.select(*stream, (F.col("_chunk") + 1).alias("_chunk"), F.col("_out").alias("_new"))
             joined = states.join(nxt, keys, "left").withColumn("_new", F.coalesce("_new", start))
@@ -90,12 +91,12 @@ def chunked_scan(df: DataFrame, stream: Sequence[str], ordinal: str, step: Step,
             if not moved.take(1):
                 break
             todo = data.join(moved.select(*keys), keys, "left_semi")
-            again = (todo.groupBy(*keys).cogroup(moved.groupBy(*keys)).applyInPandas(end, state_ddl))
+            again = run(todo, moved, state_ddl, end)
             ends = materialize(ends.join(moved.select(*keys), keys, "left_anti").unionByName(again))
     if end_state:
-        ends = run(states, state_ddl, end) if ends is None else ends
+        ends = run(data, states, state_ddl, end) if ends is None else ends
         return (ends.groupBy(*stream).agg(F.max_by("_out", "_chunk").alias("state")) if stream
                 else ends.agg(F.max_by("_out", "_chunk").alias("state")))
     schema = {f.name: f.dataType.simpleString() for f in data.schema.fields}
     head = ", ".join(f"`{c}` {schema[c]}" for c in [*stream, ordinal])
-    return run(states, f"{head}, {out}", emit)
+    return run(data, states, f"{head}, {out}", emit)
