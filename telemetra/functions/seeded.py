@@ -16,7 +16,17 @@ def shuffle_key(seed: int, *keys: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
 
 
-def shuffle_slice(digest: Column, digits: int = 3) -> Column:
+def slice_digits(rows: int | None, rows_per_slice: int = 250_000) -> int:
+    """Hex digits that keep a slice near the given size; 4 when the row count is unknown."""
+    if rows is None:
+        return 4
+    digits = 2
+    while digits < 6 and rows > rows_per_slice * 16 ** digits:
+        digits += 1
+    return digits
+
+
+def shuffle_slice(digest: Column, digits: int = 4) -> Column:
     """Leading hex digits: 16**digits ordered slices of equal expected size."""
     return F.substring(digest, 1, digits)
 

@@ -24,7 +24,7 @@ def undersample(df: DataFrame, ratio: float, key: Column, seed: int, label: str
     sizes = class_sizes(df, label)
     minority, majority = _two(sizes)
     keep = min(sizes.get(majority, 0), round(sizes.get(minority, 0) * ratio))
-    major = shuffled_positions(df.filter(F.col(label) == majority), [], key, seed)
+    major = shuffled_positions(df.filter(F.col(label) == majority), [], key, seed, rows=sizes.get(majority, 0))
     return df.filter(F.col(label) == minority).unionByName(major.filter(F.col("rk") < keep).drop("rk"))
 
 
@@ -40,7 +40,7 @@ def oversample(df: DataFrame, key: Column, seed: int, label: str = "label") -> D
     if not n:
         return df.withColumn("copy", F.lit(0))
     times, rest = divmod(m, n)
-    minor = shuffled_positions(df.filter(F.col(label) == minority), [], key, seed)
+    minor = shuffled_positions(df.filter(F.col(label) == minority), [], key, seed, rows=n)
     copies = F.lit(times) + F.when(F.col("rk") < rest, 1).otherwise(0)
     repeated = minor.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("rk")
     return df.filter(F.col(label) == majority).withColumn("copy", F.lit(0)).unionByName(repeated)

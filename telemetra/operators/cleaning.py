@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from telemetra.functions.numeric import quoted, ratio
 from telemetra.operators.ordering import add_slices, with_running_sum
+from telemetra.session import materialize
 
 #: Largest number of distinct values an exact percentile buffer may hold.
 EXACT_BUFFER = 1_000_000
@@ -104,15 +105,19 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     return out
 
 
-def group_quantiles(df: DataFrame, group: Sequence[str], value: str,
+def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Rows per (group, value), combined on the map side and stored once."""
+    return materialize(df.filter(F.col(value).isNotNull()).groupBy(*group, value)
+                       .agg(F.count(F.lit(1)).alias("_c")))
+
+
+def group_quantiles(counted: DataFrame, group: Sequence[str], value: str,
                     probs: dict[str, float]) -> DataFrame:
-    """Exact interpolated quantiles per group, hot groups included.
+    """Exact interpolated quantiles per group from ``value_counts``, hot groups included.
 
-    Equal values are counted first, the counts accumulate over value slices, and
-    each wanted rank is then a filtered minimum: no group is ever held in memory.
+    The counts accumulate over value slices, and each wanted rank is then a
+    filtered minimum: no group is ever held in memory.
     """
-    counted = (df.filter(F.col(value).isNotNull()).groupBy(*group, value)
-               .agg(F.count(F.lit(1)).alias("_c")))
     cum = with_running_sum(add_slices(counted, F.col(value)), group, [F.col(value)],
                            {"_cum": F.col("_c")})
     sizes = counted.groupBy(*group).agg(F.sum("_c").alias("n"))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemetra.functions.numeric import ratio
-from telemetra.operators.cleaning import exact_quantiles, group_quantiles
+from telemetra.operators.cleaning import exact_quantiles, group_quantiles, value_counts
 from telemetra.operators.ordering import add_slices, with_position
+from telemetra.session import materialize
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
@@ -41,15 +42,15 @@ def histogram(df: DataFrame, col: str, bins: int = 100) -> DataFrame:
 
 def boxplot(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles and 1.5 IQR outliers per group.  Quartiles are exact for hot groups too."""
-    q = group_quantiles(df, [group], value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    counted = value_counts(df, [group], value)
+    q = group_quantiles(counted, [group], value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     q = q.withColumn("_iqr", F.col("q75") - F.col("q25"))
-    counted = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("_c")).join(q, group)
     out = (F.col(value) < F.col("q25") - 1.5 * F.col("_iqr")) | (F.col(value) > F.col("q75") + 1.5 * F.col("_iqr"))
-    return counted.groupBy(group, "n", "q25", "q50", "q75").agg(
+    return counted.join(q, group).groupBy(group, "n", "q25", "q50", "q75").agg(
         F.sum(F.when(out, F.col("_c")).otherwise(0)).alias("n_outliers"))
 
 
 def entity_codes(df: DataFrame, entity: str) -> DataFrame:
     """Sorted distinct ids -> 0-based codes."""
-    ids = df.select(entity).distinct()
+    ids = materialize(df.select(entity).distinct())
     return with_position(add_slices(ids, F.col(entity)), [], [F.col(entity)], "code").drop("_slice")

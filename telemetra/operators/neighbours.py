@@ -175,7 +175,7 @@ def smote(df: DataFrame, features: Sequence[str], key: Column, seed: int, k: int
         return small.select(*names, label).withColumn("copy", F.lit(0)).limit(0)
     k = min(k, n - 1)
     times, rest = divmod(need, n)
-    rows = shuffled_positions(small.select(*names, label, key.alias("_key")), [], F.col("_key"), seed)
+    rows = shuffled_positions(small.select(*names, label, key.alias("_key")), [], F.col("_key"), seed, rows=n)
     copies = F.lit(times) + F.when(F.col("rk") < rest, 1).otherwise(0)
     rows = rows.filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
     rows = rows.join(knn(small, names, k, **options), names)

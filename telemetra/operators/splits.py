@@ -6,12 +6,12 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telemetra.functions.numeric import half_even
-from telemetra.functions.seeded import shuffle_key, shuffle_slice
+from telemetra.functions.seeded import shuffle_key, shuffle_slice, slice_digits
 from telemetra.operators.ordering import with_position
+from telemetra.session import materialize
 
 
 @dataclass(frozen=True)
@@ -57,12 +57,13 @@ def stratum(n_rows: Column, n_pos: Column) -> Column:
 def _deal(blocks: DataFrame, strata: list[str], key: Column, seed: int) -> DataFrame:
     """Shuffled rank of each block in its stratum, and the stratum's size.
 
-    Works on one row per block, not on data rows.
+    Blocks of a few rows can be as many as a hundredth of the data, and one
+    stratum may hold most of them: the rank is cut by hash slices as well.
     """
-    w = W.partitionBy(*strata)
-    return (blocks.withColumn("_h", shuffle_key(seed, key))
-            .withColumn("_rk", F.row_number().over(w.orderBy("_h")) - 1)
-            .withColumn("_n", F.count(F.lit(1)).over(w)))
+    blocks = materialize(blocks)
+    sizes = blocks.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = shuffled_positions(blocks, strata, key, seed, "_rk", blocks.count())
+    return ranked.join(sizes, strata)
 
 
 def deal_blocks(df: DataFrame, policy: SplitPolicy, block: str = "block",
@@ -103,9 +104,10 @@ def deal_scenario_blocks(df: DataFrame, seed: int, scenario: str = "scenario",
 
 
 def shuffled_positions(df: DataFrame, group: list[str], key: Column, seed: int,
-                       name: str = "rk") -> DataFrame:
+                       name: str = "rk", rows: int | None = None) -> DataFrame:
     """Position in a seeded shuffle of each group; a hot class is cut by hash slices."""
-    h = df.withColumn("_h", shuffle_key(seed, key)).withColumn("_slice", shuffle_slice(F.col("_h")))
+    h = df.withColumn("_h", shuffle_key(seed, key))
+    h = h.withColumn("_slice", shuffle_slice(F.col("_h"), slice_digits(rows)))
     return with_position(h, group, ["_h"], name).drop("_h", "_slice")
 
 
@@ -127,7 +129,7 @@ def split_random(df: DataFrame, policy: SplitPolicy, key: Column, label: str = "
     sizes = class_sizes(df, label)
     test = {c: round(n * policy.test) for c, n in sizes.items()}
     val = {c: round(n * policy.val) for c, n in sizes.items()}
-    d = shuffled_positions(df, [label], key, policy.seed)
+    d = shuffled_positions(df, [label], key, policy.seed, rows=sum(sizes.values()))
     t, v = by_class(label, test), by_class(label, val)
     return d.withColumn("split", F.when(F.col("rk") < t, "test")
                         .when(F.col("rk") < t + v, "val").otherwise("train")).drop("rk")
@@ -149,11 +151,11 @@ def split_temporal(df: DataFrame, policy: SplitPolicy, order: Sequence[str]) ->
 
 def deal_groups(df: DataFrame, policy: SplitPolicy, group: str) -> DataFrame:
     """(group, split): no device appears in two splits."""
-    ids = df.select(group).distinct()
+    ids = materialize(df.select(group).distinct())
     n = ids.count()
     n_test = -int(-n * policy.test // 1)
     n_val = -int(-(n - n_test) * policy.val_of_train // 1) if policy.val > 0 else 0
-    d = shuffled_positions(ids, [], F.col(group), policy.seed)
+    d = shuffled_positions(ids, [], F.col(group), policy.seed, rows=n)
     return d.select(group, F.when(F.col("rk") < n_test, "test")
                     .when(F.col("rk") < n_test + n_val, "val").otherwise("train").alias("split"))
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from telemetra.operators import balance
+from telemetra.operators import balance, windows
 from telemetra.plans.registry import query, r6
+from telemetra.session import materialize
 from telemetra.sources import fixtures as fx
 
 
@@ -52,7 +53,6 @@ r as (select *, row_number() over (partition by label order by md5('42|' || bloc
 select block, win, label from r, c where label = {_MIN} or rk <= least(n0, n1)""")
 def window_undersample(spark, d):
     """Whole windows are dropped, never rows of a window."""
-    from telemetra.operators import windows
     w = windows.window_stats(fx.ev_windows(spark, d), ["block"], extra={"y": F.max("label")})
-    w = windows.complete(w, fx.EV_WINDOW).select("block", "win", F.col("y").alias("label"))
+    w = materialize(windows.complete(w, fx.EV_WINDOW).select("block", "win", F.col("y").alias("label")))
     return balance.undersample(w, 1.0, F.concat_ws("|", "block", "win"), 42)

@@ -156,7 +156,7 @@ def stratified_sample(spark, d):
     sizes = splits.class_sizes(e, "label")
     n = sum(sizes.values())
     quota = {c: min(k, max(1, round(want * k / n))) for c, k in sizes.items()}
-    ranked = splits.shuffled_positions(e, ["label"], F.col("event_id"), 7)
+    ranked = splits.shuffled_positions(e, ["label"], F.col("event_id"), 7, rows=n)
     over = F.col("rk") >= splits.by_class("label", quota)
     return (ranked.orderBy(over, shuffle_key(7, F.col("event_id"))).limit(want)
             .select("event_id", "label"))

@@ -7,9 +7,18 @@ from pyspark.sql import functions as F
 from telemetra.functions.numeric import ratio
 from telemetra.operators import metrics, splits, thresholds, windows
 from telemetra.plans.registry import frac, query, r6
+from telemetra.session import materialize
 from telemetra.sources import fixtures as fx
+from telemetra.sources.tables import as_result_rows
 
 T = 0.35
+
+
+def windowed(spark, d):
+    """Scored rows with block and window, stored once: threshold searches read them several times."""
+    return materialize(fx.scored_windows(spark, d).select("event_id", "block", "win", "y", "p"))
+
+
 _PRED = f"case when p >= {T} then 1 else 0 end"
 _CONF = """count(*) filter (y = 1 and pred = 1) as tp, count(*) filter (y = 0 and pred = 1) as fp,
 count(*) filter (y = 1 and pred = 0) as fn, count(*) filter (y = 0 and pred = 0) as tn"""
@@ -114,7 +123,6 @@ def result_row(spark, d):
          "roc_auc": F.round(F.lit(auc), 6), "threshold": F.lit(T), "n_train": F.lit(0).cast("long"),
          "n_test": F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"),
          "inference_latency_ms": F.lit(0.0), "model_size_kb": F.lit(0.0)})
-    from telemetra.sources.tables import as_result_rows
     return as_result_rows(row)
 
 
@@ -161,7 +169,7 @@ wt as (select l.block, l.win, l.n, case when l.n_pos > 0 and l.n_pos < l.n then
 @query("window_thresholds", f"""with {_WT_SQL}
 select block, win, n, {r6('threshold')} as threshold, {r6('f1')} as f1 from wt""")
 def window_thresholds(spark, d):
-    w, _ = thresholds.window_thresholds(fx.scored_windows(spark, d), ["block", "win"], fx.EV_WINDOW)
+    w, _ = thresholds.window_thresholds(windowed(spark, d), ["block", "win"], fx.EV_WINDOW)
     return w.select("block", "win", "n", F.round("threshold", 6).alias("threshold"), F.round("f1", 6).alias("f1"))
 
 
@@ -169,7 +177,7 @@ def window_thresholds(spark, d):
 select {r6('min(threshold)')} as min, {r6('avg(threshold)')} as mean, {r6('max(threshold)')} as max,
        {r6('stddev_pop(threshold)')} as std, count(*) as n_windows, {r6('max(gt)')} as global_threshold from wt""")
 def threshold_stats(spark, d):
-    w, g = thresholds.window_thresholds(fx.scored_windows(spark, d), ["block", "win"], fx.EV_WINDOW)
+    w, g = thresholds.window_thresholds(windowed(spark, d), ["block", "win"], fx.EV_WINDOW)
     t = "threshold"
     return w.agg(F.round(F.min(t), 6).alias("min"), F.round(F.avg(t), 6).alias("mean"),
                  F.round(F.max(t), 6).alias("max"), F.round(F.stddev_pop(t), 6).alias("std"),
@@ -182,7 +190,7 @@ def _windowed_predictions(spark, d, last: bool = False, complete_only: bool = Fa
     Prediction window k takes threshold k mod n (or the last one beyond n).
     Windows are numbered across blocks through a one-row-per-block offset table.
     """
-    s = fx.scored_windows(spark, d)
+    s = windowed(spark, d)
     val, test = s.filter(F.col("block") % 5 == 3), s.filter(F.col("block") % 5 == 4)
     if complete_only:
         sizes = test.groupBy("block", "win").agg(F.count(F.lit(1)).alias("n"))
@@ -248,7 +256,7 @@ def fpr_constrained_threshold(spark, d):
 
 def _adaptive(spark, d):
     """Exact threshold inside each complete window (labels known); others carry it forward."""
-    s = fx.scored_windows(spark, d)
+    s = windowed(spark, d)
     g = thresholds.exact_f1(s).first()["threshold"]
     t = thresholds.exact_f1_per_window(s, ["block", "win"])
     both = (F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from telemetra.operators import splits, windows
 from telemetra.operators.ordering import add_slices, with_position
 from telemetra.plans.registry import query, r6
-from telemetra.session import shared_path
+from telemetra.session import materialize, shared_path
 from telemetra.sources import fixtures as fx
 from telemetra.sources import tables
 
@@ -188,7 +188,7 @@ def window_split(spark, d):
     """Windows, not rows, are divided, so that none straddles two sides."""
     w = windows.complete(windows.window_stats(fx.ev_windows(spark, d), ["block"],
                                               extra={"y": F.max("label")}), fx.EV_WINDOW)
-    w = w.select("block", "win", "y", F.col("end_ts").alias("ts"))
+    w = materialize(w.select("block", "win", "y", F.col("end_ts").alias("ts")))
     rnd = splits.split_random(w, splits.BASE_REFERENCE, F.concat_ws("|", "block", "win"), "y") \
         .withColumnRenamed("split", "split_random")
     sliced = add_slices(rnd, fx.micros())

@@ -67,7 +67,11 @@ def window_counts(df: DataFrame, delay: str, size: str, slide: str | None = None
 
 
 def sessions(df: DataFrame, key: str, gap: str, delay: str) -> DataFrame:
-    """Activity sessions of a device: maximal runs of rows less than ``gap`` apart."""
+    """Activity sessions of a device: maximal runs of rows less than ``gap`` apart.
+
+    Sessions are merged on the map side first, so a busy device ships few rows.
+    """
+    df.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (df.withWatermark("ts", delay).groupBy(key, F.session_window("ts", gap).alias("w"))
             .agg(F.count(F.lit(1)).alias("n"))
             .select(key, F.col("w.start").alias("start_ts"), F.col("w.end").alias("end_ts"), "n"))

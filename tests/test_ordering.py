@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from telemetra.operators import ordering as o
 from telemetra.operators import windows
-from telemetra.operators.cleaning import exact_quantiles, group_quantiles
+from telemetra.operators.cleaning import exact_quantiles, group_quantiles, value_counts
 
 
 @pytest.fixture(scope="module")
@@ -92,6 +92,6 @@ def test_group_quantiles(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"g": np.where(rng.random(2000) < 0.5, 0, rng.integers(1, 20, 2000)),
                         "v": np.round(np.exp(rng.normal(0, 2, 2000)), 2)})
-    got = group_quantiles(spark.createDataFrame(pdf), ["g"], "v", {"a": 0.25, "b": 0.9}).toPandas().set_index("g")
+    got = group_quantiles(value_counts(spark.createDataFrame(pdf), ["g"], "v"), ["g"], "v", {"a": 0.25, "b": 0.9}).toPandas().set_index("g")
     want = pdf.groupby("g")["v"].quantile([0.25, 0.9]).unstack()
     assert np.allclose(got["a"].sort_index(), want[0.25]) and np.allclose(got["b"].sort_index(), want[0.9])
