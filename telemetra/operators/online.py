@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemetra.operators.scan import CHUNK, Step, chunked_scan
+from telemetra.operators.scan import MAX_CHUNK, Step, chunk_rows, chunked_scan
 
 FLAT = 1e-12
 
@@ -42,7 +42,7 @@ def calibrate(scores: DataFrame, col: str, k: float = 0.5, h: float = 5.0) -> Cu
 
 
 def cusum_alarms(df: DataFrame, stream: Sequence[str], ordinal: str, score: str, detector: Cusum,
-                 chunk: int = CHUNK) -> DataFrame:
+                 chunk: int = MAX_CHUNK) -> DataFrame:
     """z, running sum and alarm for each window.  State: [sum]."""
     def step(rows: pd.DataFrame, state: np.ndarray):
         s, zs, sums, alarms = state[0], [], [], []
@@ -62,6 +62,12 @@ def _frob(c: np.ndarray, b: np.ndarray) -> float:
     return float(np.sqrt(2.0 * np.sum((c - b) ** 2)))
 
 
+def triangle_chunk(df: DataFrame, r: str) -> int:
+    """Chunk length for matrices of the size found in the table."""
+    row = df.select(F.size(r).alias("k")).first()
+    return chunk_rows(row["k"] if row else 1)
+
+
 def ewma_step(alpha: float, r: str) -> Step:
     """Baseline = first matrix, then alpha * new + (1 - alpha) * old.  State: [triangle] or []."""
     def step(rows: pd.DataFrame, state: np.ndarray):
@@ -79,17 +85,17 @@ def ewma_step(alpha: float, r: str) -> Step:
 
 
 def ewma_trail(df: DataFrame, stream: Sequence[str], ordinal: str, r: str, alpha: float = 0.1,
-               start: Sequence[float] = (), chunk: int = CHUNK) -> DataFrame:
+               start: Sequence[float] = (), chunk: int | None = None) -> DataFrame:
     """Divergence of each window from the baseline *before* it is updated."""
     return chunked_scan(df.select(*stream, ordinal, r), stream, ordinal, ewma_step(alpha, r), start,
-                        "divergence double", chunk)
+                        "divergence double", chunk or triangle_chunk(df, r))
 
 
 def ewma_baseline(df: DataFrame, stream: Sequence[str], ordinal: str, r: str, alpha: float = 0.1,
-                  start: Sequence[float] = (), chunk: int = CHUNK) -> DataFrame:
+                  start: Sequence[float] = (), chunk: int | None = None) -> DataFrame:
     """Final baseline (upper triangle) per stream."""
     return chunked_scan(df.select(*stream, ordinal, r), stream, ordinal, ewma_step(alpha, r), start,
-                        "divergence double", chunk, end_state=True)
+                        "divergence double", chunk or triangle_chunk(df, r), end_state=True)
 
 
 def gate(rows: pd.DataFrame, state: np.ndarray, detector: Cusum, alpha: float,
@@ -124,7 +130,7 @@ GATE_DDL = "divergence double, cusum double, alarm int, updated int"
 
 def gated_adaptation(df: DataFrame, stream: Sequence[str], ordinal: str, start: Sequence[float],
                      detector: Cusum, alpha: float = 0.05, min_benign: float = 0.9,
-                     chunk: int = CHUNK, end_state: bool = False) -> DataFrame:
+                     chunk: int | None = None, end_state: bool = False) -> DataFrame:
     """Guarded baseline replay: divergence, CUSUM and updates per window.
 
     ``df`` has r (upper triangle), benign_fraction and n per window.
@@ -133,11 +139,11 @@ def gated_adaptation(df: DataFrame, stream: Sequence[str], ordinal: str, start:
         return gate(rows, state, detector, alpha, min_benign)
 
     return chunked_scan(df.select(*stream, ordinal, "r", "benign_fraction", "n"), stream, ordinal, step,
-                        [0.0, 0.0, 0.0, *start], GATE_DDL, chunk, end_state=end_state)
+                        [0.0, 0.0, 0.0, *start], GATE_DDL, chunk or chunk_rows(len(start)), end_state=end_state)
 
 
 def benign_scores(df: DataFrame, stream: Sequence[str], ordinal: str, start: Sequence[float],
-                  alpha: float = 0.05, chunk: int = CHUNK) -> DataFrame:
+                  alpha: float = 0.05, chunk: int | None = None) -> DataFrame:
     """Scores of sufficiently benign windows, each taken before it updates the baseline.
 
     ``df`` holds those windows only, numbered 0, 1, 2, ... per stream.

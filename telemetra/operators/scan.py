@@ -28,7 +28,13 @@ from telemetra.session import materialize
 #: (rows of one chunk in order, state before) -> (output columns, state after)
 Step = Callable[[pd.DataFrame, np.ndarray], tuple[dict[str, Sequence], np.ndarray]]
 
-CHUNK = 4096
+MAX_CHUNK = 65_536
+CHUNK_VALUES = 2 ** 23   # doubles a task may hold for one chunk (64 MB)
+
+
+def chunk_rows(width: int) -> int:
+    """Windows per chunk when each carries ``width`` numbers."""
+    return min(MAX_CHUNK, max(256, CHUNK_VALUES // max(1, width)))
 
 
 def _differs(a: str, b: str, tol: float):
@@ -38,7 +44,7 @@ def _differs(a: str, b: str, tol: float):
 
 
 def chunked_scan(df: DataFrame, stream: Sequence[str], ordinal: str, step: Step, init: Sequence[float],
-                 out: str, chunk: int = CHUNK, tol: float = 1e-13,
+                 out: str, chunk: int = MAX_CHUNK, tol: float = 1e-13,
                  end_state: bool = False) -> DataFrame:
     """Fold ``step`` along ``ordinal`` in each stream.
 

@@ -94,3 +94,26 @@ def constant_columns(spark, d):
 def variance_filter(spark, d):
     c = fx.cells(spark, d)
     return _report(c, _NUM, cleaning.varying(c, _NUM, F.col("split") == "train"))
+
+
+_PREP = ["m", "x", "ul_retx", "t3512", "dead"]
+
+
+@query("prepared_dataset", f"""with {fx.CELLS_SQL},
+c as (select *, greatest(cell_1_m, case when f4 > 0.07 then null else cell_3_m end) as m, greatest(cell_1_x, cell_3_x) as x,
+             greatest(cell_1_ul_retx, cell_3_ul_retx) as ul_retx, cast(null as double) as dead from cells),
+md as (select {', '.join(f"coalesce(median({k}) filter (split = 'train'), 0.0) as d_{k}" for k in _PREP)} from c),
+i as (select {_KEY}, split, label, {', '.join(f'coalesce({k}, d_{k}) as {k}' for k in _PREP)} from c, md),
+par as (select {', '.join(f"avg({k}) filter (split = 'train') as m_{k}, stddev_pop({k}) filter (split = 'train') as s_{k}" for k in ('m', 'x', 'ul_retx'))} from i)
+select {_KEY}, split, label, {', '.join(r6(f'(i.{k} - m_{k}) / s_{k}') + f' as {k}' for k in ('m', 'x', 'ul_retx'))} from i, par""")
+def prepared_dataset(spark, d):
+    """The whole preparation: consolidate, impute, drop constants, scale, store by split, read back.
+
+    Every statistic comes from training rows; constant and all-null columns disappear.
+    """
+    from telemetra.plans.pipelines import prepare_table
+    c = fx.cells(spark, d).withColumn("cell_3_m", F.when(F.col("f4") > 0.07, None).otherwise(F.col("cell_3_m")))
+    c = c.withColumn("dead", F.lit(None).cast("double"))
+    table, manifest = prepare_table(c.select(*_KEYS, "split", "label", *_SPARSE, "t3512", "dead"), [*_KEYS, "split", "label"])
+    kept = manifest["features"]
+    return table.select(*_KEYS, "split", "label", *[(F.round(k, 6) + 0.0).alias(k) for k in kept])

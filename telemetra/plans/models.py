@@ -100,6 +100,15 @@ def distill_student(spark, d):
     return s.select("block", *ROW, "label", "p", "target", "student_p")
 
 
+@query("edge_adaptation")
+def edge_adaptation(spark, d):
+    """Guarded replay of the validation windows, gated by the student's predictions."""
+    src = source(spark, d)
+    r = pl.proposed_method(src, models.small(EXT, 3), pl.Stages(cusum=False, drift=False))
+    base = pl.baseline_of(src)
+    return pl.replay(src, r["student"], base, FEATS, r["threshold"], p="student_p")
+
+
 @query("batch_inference")
 def batch_inference(spark, d):
     """Score a sample of 100 test rows and report it at its own best threshold."""

@@ -100,12 +100,13 @@ def change_detection(spark, d):
     base = co.baseline(x.filter((F.col("attack") == 0) & (F.col("split") == "train")), _FIVE)
     w = co.window_scores(fx.li_windows(spark, d), KEYS, _FIVE, base, extra={
         "n_pos": F.sum("attack").cast("long"), "start_us": fx.micros_agg(F.min), "end_us": fx.micros_agg(F.max),
-        "split": F.max("split")})
+        # a number, not text: text buffers would turn hash aggregation into a sort
+        "is_train": F.max(F.when(F.col("split") == "train", 1).otherwise(0))})
     # the window table (rows / window size) feeds numbering, calibration, fold and report
     w = materialize(windows.complete(w, fx.LI_WINDOW).select(
-        *KEYS, "win", "n", "n_pos", "start_us", "end_us", "split", "divergence"))
+        *KEYS, "win", "n", "n_pos", "start_us", "end_us", "is_train", "divergence"))
     w = windows.with_ordinal(w, "block", ["stream"])
-    det = online.calibrate(w.filter((F.col("n_pos") == 0) & (F.col("split") == "train")), "divergence")
+    det = online.calibrate(w.filter((F.col("n_pos") == 0) & (F.col("is_train") == 1)), "divergence")
     a = online.cusum_alarms(w, ["stream"], "ord", "divergence", det)
     return w.join(a, ["stream", "ord"]).select(
         *KEYS, "win", "n", "start_us", "end_us", F.round(F.col("n_pos") / F.col("n"), 6).alias("attack_fraction"),
@@ -123,9 +124,10 @@ wo as (select *, row_number() over (partition by stream order by block, win) - 1
 def ship_matrices(spark, d):
     """Complete shipment windows per stream: order number, triangle, benign share.  Stored once."""
     w = co.correlations(fx.li_windows(spark, d), [*KEYS, "win"], FEATS, extra={
-        "benign_fraction": F.avg(1 - F.col("attack")), "split": F.max("split")})
+        "benign_fraction": F.avg(1 - F.col("attack")),
+        "is_train": F.max(F.when(F.col("split") == "train", 1).otherwise(0))})
     w = windows.complete(w, fx.LI_WINDOW)
-    w = materialize(w.select(*KEYS, "win", "n", "benign_fraction", "split", F.array(*PAIRS).alias("r")))
+    w = materialize(w.select(*KEYS, "win", "n", "benign_fraction", "is_train", F.array(*PAIRS).alias("r")))
     return windows.with_ordinal(w, "block", ["stream"])
 
 
@@ -174,7 +176,7 @@ def _start(spark, d) -> list[float]:
 
 def benign_scores(w, start):
     """Calibration scores of the benign training windows, and the numbering they use."""
-    ok = w.filter((F.col("split") == "train") & (F.col("benign_fraction") >= 0.9))
+    ok = w.filter((F.col("is_train") == 1) & (F.col("benign_fraction") >= 0.9))
     ok = ok.select("stream", F.col("ord").alias("t"), "r")
     k = with_position(add_slices(ok, F.col("t")), ["stream"], [F.col("t")], "k").drop("_slice")
     return online.benign_scores(k, ["stream"], "k", start, ALPHA)

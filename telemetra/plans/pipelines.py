@@ -6,17 +6,20 @@ keeps between stages is a baseline, a threshold and a few counters.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telemetra.operators import attribution as at
 from telemetra.operators import correlation as co
-from telemetra.operators import metrics, models, online, thresholds, windows
+from telemetra.operators import cleaning, features, metrics, models, online, thresholds, windows
 from telemetra.operators.ordering import add_slices, with_position
-from telemetra.session import materialize
+from telemetra.session import materialize, shared_path
+from telemetra.sources import tables
 
 
 @dataclass(frozen=True)
@@ -60,10 +63,40 @@ class Source:
 KEYS = ["stream", "block"]
 
 
+def prepare_table(df: DataFrame, keep: Sequence[str], train: str = "train") -> tuple[DataFrame, dict]:
+    """Raw columns to model features: consolidate, impute, filter by variance, scale.
+
+    Fitted on the rows whose ``split`` is ``train``.  The result is stored with
+    one directory per split, next to a manifest of what was fitted.
+    """
+    spark = df.sparkSession
+    flat = features.consolidate(df)
+    cols = features.numeric_features(flat.schema, exclude=keep)
+    fit = F.col("split") == train
+    medians = cleaning.medians(flat, cols, fit)
+    full = cleaning.impute(flat.select(*keep, *cols), medians, empty=0.0)
+    kept = cleaning.varying(full, cols, fit)
+    moments = cleaning.fit_moments(full, kept, fit)
+    scaled = cleaning.scale(full.select(*keep, *kept), moments)
+    path = shared_path(spark, "prepared")
+    tables.write_split_store(scaled, path)
+    manifest = {"features": kept, "dropped": [c for c in cols if c not in kept],
+                "medians": {c: (0.0 if v is None else v) for c, v in medians.items()},
+                "scale": {c: {"mean": m, "std": v} for c, (m, v) in moments.items()}, "train": train}
+    doc = spark.range(1).select(F.lit(json.dumps(manifest, sort_keys=True)).alias("value"))
+    doc.coalesce(1).write.text(f"{path}-manifest")
+    stored = spark.read.schema(scaled.schema).parquet(path)
+    return stored, manifest
+
+
+def baseline_of(src: Source) -> dict[str, float]:
+    """Correlations of the benign training rows."""
+    return co.baseline(src.rows.filter("split = 'train' and label = 0"), src.features)
+
+
 def with_divergence(src: Source) -> tuple[Source, dict[str, float]]:
     """Append the distance of each row's window from the benign training baseline."""
-    benign = src.rows.filter("split = 'train' and label = 0")
-    base = co.baseline(benign, src.features)
+    base = baseline_of(src)
     rows = co.row_scores(src.rows, KEYS, src.features, base)
     return Source(materialize(rows), [*src.features, "graph_frob_div"], src.row_key, src.window), base
 
@@ -124,20 +157,19 @@ def numbered(df: DataFrame) -> DataFrame:
     """Global number of each window in (stream, block, win) order."""
     w = df.withColumn("_k", F.concat_ws("#", "stream", F.format_string("%012d", F.col("block").cast("long"))))
     per = w.groupBy("_k").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window as W
     before = W.partitionBy(F.lit(0)).orderBy("_k").rowsBetween(W.unboundedPreceding, -1)
     first = per.select("_k", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
     return w.join(first, "_k").withColumn("ord", F.col("_first") + F.col("win")).drop("_k", "_first")
 
 
-def replay(src: Source, scored: DataFrame, base: dict[str, float], features: Sequence[str], tau: float,
+def replay(src: Source, scored: DataFrame, base: dict[str, float], names_in: Sequence[str], tau: float,
            p: str = "p", alpha: float = 0.05) -> DataFrame:
     """Guarded baseline replay of the validation windows; predictions drive the gate."""
-    names = [co.pair_name(a, b) for a, b in co.pairs(features)]
+    names = [co.pair_name(a, b) for a, b in co.pairs(names_in)]
     start = [base[k] for k in names]
 
     def matrices(df: DataFrame, benign: Column) -> DataFrame:
-        w = co.correlations(df, [*KEYS, "win"], features, extra={"benign_fraction": F.avg(benign)})
+        w = co.correlations(df, [*KEYS, "win"], names_in, extra={"benign_fraction": F.avg(benign)})
         w = windows.complete(w, src.window)
         w = materialize(w.select(*KEYS, "win", "n", "benign_fraction", F.array(*names).alias("r")))
         # windows of a split are renumbered without gaps inside their stream

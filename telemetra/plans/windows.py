@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from telemetra.operators import windows
 from telemetra.operators.ordering import add_slices, with_position
 from telemetra.plans.registry import query, r6
+from telemetra.session import shared_path
 from telemetra.sources import fixtures as fx
+from telemetra.sources import tables
 
 W = fx.EV_WINDOW
 
@@ -82,6 +84,23 @@ def sequence_tensor(spark, d):
                     F.element_at(F.element_at("x", -1), -1).alias("last_f2"))
 
 
+@query("window_store", f"""with {fx.EVP_SQL}, s as (
+  select block, unnest(range(0, n - {W} + 1, 10)) as start from (select block, count(*) as n from evp group by block))
+select case s.block % 5 when 4 then 'test' when 3 then 'val' else 'train' end as split, s.block, start, max(label) as label,
+       epoch_us(min(ts)) as start_us, epoch_us(max(ts)) as end_us, cast({W} as bigint) as steps, {r6('sum(f1)', 4)} as total_f1
+from s join evp on evp.block = s.block and pos >= start and pos < start + {W} group by all""")
+def window_store(spark, d):
+    """Window tensors with label and time span, stored by split and read back."""
+    w = windows.sliding(fx.ev_positions(spark, d), ["block"], W, 10, extra={"x": windows.tensor(["f1", "f2"])})
+    part = F.when(F.col("block") % 5 == 4, "test").when(F.col("block") % 5 == 3, "val").otherwise("train")
+    path = shared_path(spark, "windows")
+    tables.write_split_store(w.withColumn("split", part), path)
+    x = F.aggregate("x", F.lit(0.0), lambda a, v: a + v[0])
+    return spark.read.parquet(path).select(
+        "split", "block", "start", F.col("label_any").alias("label"), fx.micros("start_ts").alias("start_us"),
+        fx.micros("end_ts").alias("end_us"), F.size("x").cast("long").alias("steps"), F.round(x, 4).alias("total_f1"))
+
+
 @query("window_attack_fraction", f"""with {fx.EVW_SQL}
 select block, win, {r6('avg(label)')} as attack_fraction, max(label) as label_any, arg_max(label, pos) as label_last,
        case when avg(label) > 0.5 then 1 else 0 end as label_majority from evw group by all having count(*) = {W}""")

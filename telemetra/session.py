@@ -38,15 +38,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder.
+    """Store a table in the shared folder and continue from there.
 
-    Used where a loop reads the same input several times; a lost executor then
-    costs a re-read, not a re-computation of the whole history.
+    Used where a result is read several times.  A lost executor then costs a
+    re-read instead of a re-computation, later reads prune columns, and the
+    known file size lets the optimizer choose broadcast joins by itself.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = shared_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
