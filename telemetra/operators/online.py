@@ -31,10 +31,16 @@ class Cusum:
         return (z, 0.0, True) if s >= self.h else (z, s, False)
 
 
-def calibrate(scores: DataFrame, col: str, k: float = 0.5, h: float = 5.0) -> Cusum:
-    """Mean and sample deviation of benign scores; a flat series scales by 1."""
+def calibrate(scores: DataFrame, col: str, k: float = 0.5, h: float = 5.0,
+              allow_empty: bool = False) -> Cusum:
+    """Mean and sample deviation of benign scores; a flat series scales by 1.
+
+    With ``allow_empty`` a stream without benign windows is calibrated on a single score of 0.
+    """
     r = scores.agg(F.count(col).alias("n"), F.avg(col).alias("m"), F.stddev_samp(col).alias("s"),
                    F.count(F.when(F.isnan(col) | (F.abs(col) == float("inf")), 1)).alias("bad")).first()
+    if not r["n"] and allow_empty:
+        return Cusum(0.0, 1.0, k, h)
     if not r["n"] or r["bad"]:
         raise ValueError("benign scores must be present and finite")
     std = r["s"] or 0.0

@@ -54,7 +54,7 @@ def cusum_calibration(spark, d):
 
 def _cusum(spark, d):
     s = event_scores(spark, d)
-    det = online.calibrate(s.filter("n_pos = 0"), "score")
+    det = online.calibrate(s.filter("n_pos = 0"), "score", allow_empty=True)
     return s, online.cusum_alarms(s, [], "ord", "score", det)
 
 
@@ -106,7 +106,7 @@ def change_detection(spark, d):
     w = materialize(windows.complete(w, fx.LI_WINDOW).select(
         *KEYS, "win", "n", "n_pos", "start_us", "end_us", "is_train", "divergence"))
     w = windows.with_ordinal(w, "block", ["stream"])
-    det = online.calibrate(w.filter((F.col("n_pos") == 0) & (F.col("is_train") == 1)), "divergence")
+    det = online.calibrate(w.filter((F.col("n_pos") == 0) & (F.col("is_train") == 1)), "divergence", allow_empty=True)
     a = online.cusum_alarms(w, ["stream"], "ord", "divergence", det)
     return w.join(a, ["stream", "ord"]).select(
         *KEYS, "win", "n", "start_us", "end_us", F.round(F.col("n_pos") / F.col("n"), 6).alias("attack_fraction"),
@@ -204,7 +204,7 @@ fold as (select stream, cast(-1 as bigint) as ord, cast(0.0 as double) as div, c
 def calibrated(spark, d):
     w = ship_matrices(spark, d)
     start = _start(spark, d)
-    return w, start, online.calibrate(benign_scores(w, start), "divergence")
+    return w, start, online.calibrate(benign_scores(w, start), "divergence", allow_empty=True)
 
 
 @query("gated_adaptation", f"""{_GATE_SQL}

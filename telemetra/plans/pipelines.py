@@ -179,7 +179,7 @@ def replay(src: Source, scored: DataFrame, base: dict[str, float], names_in: Seq
     fit = matrices(scored.filter("split = 'train'"), F.when(F.col("label") == 0, 1.0).otherwise(0.0))
     ok = fit.filter("benign_fraction >= 0.9").select("stream", F.col("ord").alias("t"), "r")
     ok = with_position(add_slices(ok, F.col("t")), ["stream"], [F.col("t")], "k").drop("_slice")
-    det = online.calibrate(online.benign_scores(ok, ["stream"], "k", start, alpha), "divergence")
+    det = online.calibrate(online.benign_scores(ok, ["stream"], "k", start, alpha), "divergence", allow_empty=True)
     val = matrices(scored.filter("split = 'val'"), F.when(F.col(p) < tau, 1.0).otherwise(0.0))
     return online.gated_adaptation(val, ["stream"], "ord", start, det, alpha)
 

@@ -234,8 +234,8 @@ def pipeline_metrics(spark, d):
 @query("window_fpr_stats", f"""with {_cyc_sql(True, True)},
 w as (select block, win, max(threshold) as threshold, {_CONF} from pr group by block, win),
 f as (select *, {frac('fp', 'fp + tn')} as fpr from w)
-select count(*) as n_windows, {r6('avg(fpr)')} as fpr_mean, {r6('var_pop(fpr)')} as fpr_var, {r6('max(fpr)')} as fpr_max,
-       {r6('stddev_pop(threshold)')} as threshold_std, count(*) filter (fp + tn = 0) as n_without_negatives from f""")
+select count(*) as n_windows, {r6('coalesce(avg(fpr), 0)')} as fpr_mean, {r6('coalesce(var_pop(fpr), 0)')} as fpr_var,
+       {r6('coalesce(max(fpr), 0)')} as fpr_max, {r6('coalesce(stddev_pop(threshold), 0)')} as threshold_std, count(*) filter (fp + tn = 0) as n_without_negatives from f""")
 def window_fpr_stats(spark, d):
     p = _windowed_predictions(spark, d, last=True, complete_only=True)
     w = metrics.confusion_counts(p, keys=["block", "win", "threshold"])

@@ -80,8 +80,9 @@ def split_rows(spark, d):
     """Rows stored by split; each split is read back through partition pruning."""
     path = shared_path(spark, "rows")
     rows = splits.attach(fx.ev_blocks(spark, d), dealt(spark, d), ["block"])
-    tables.write_split_store(rows.select("event_id", "block", "label", "split"), path)
-    parts = [tables.read_split(spark, path, s) for s in ("train", "val", "test")]
+    rows = rows.select("event_id", "block", "label", "split")
+    tables.write_split_store(rows, path)
+    parts = [tables.read_split(spark, path, s, rows.schema) for s in ("train", "val", "test")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

@@ -97,7 +97,7 @@ fold(event_type, ord, start_us, z, cusum, alarm) as (
 select event_type, start_us, {r6('z')} as z, {r6('cusum')} as cusum, alarm from fold""")
 def stream_cusum(spark, d):
     table, stream = _closed(spark, d)
-    det = online.calibrate(table.filter("n_pos = 0"), "score")
+    det = online.calibrate(table.filter("n_pos = 0"), "score", allow_empty=True)
     out = streams.drain(streams.cusum(stream, "event_type", "start_ts", "score", det), "cusum")
     return out.select("event_type", fx.micros("start_ts").alias("start_us"), (F.round("z", 6) + 0.0).alias("z"),
                       F.round("cusum", 6).alias("cusum"), "alarm")
@@ -121,7 +121,7 @@ def stream_gated_adaptation(spark, d):
     start = e.agg((F.covar_samp("f1", "f2") / (F.stddev_samp("f1") * F.stddev_samp("f2"))).alias("r")).first()["r"]
     v = F.sqrt(2 * F.pow(F.col("r1") - F.lit(start), 2))
     table, stream = _closed(spark, d)
-    det = online.calibrate(table.filter("n_pos = 0 and n >= 2").select(v.alias("v")), "v")
+    det = online.calibrate(table.filter("n_pos = 0 and n >= 2").select(v.alias("v")), "v", allow_empty=True)
     w = stream.select("event_type", "start_ts", F.array("r1").alias("r"),
                  ((F.col("n") - F.col("n_pos")) / F.col("n")).alias("benign_fraction"), "n")
     out = streams.drain(streams.gated(w, "event_type", "start_ts", [start], det, 0.05, 0.9), "gated")

@@ -94,9 +94,10 @@ def window_store(spark, d):
     w = windows.sliding(fx.ev_positions(spark, d), ["block"], W, 10, extra={"x": windows.tensor(["f1", "f2"])})
     part = F.when(F.col("block") % 5 == 4, "test").when(F.col("block") % 5 == 3, "val").otherwise("train")
     path = shared_path(spark, "windows")
-    tables.write_split_store(w.withColumn("split", part), path)
+    w = w.withColumn("split", part)
+    tables.write_split_store(w, path)
     x = F.aggregate("x", F.lit(0.0), lambda a, v: a + v[0])
-    return spark.read.parquet(path).select(
+    return spark.read.schema(w.schema).parquet(path).select(
         "split", "block", "start", F.col("label_any").alias("label"), fx.micros("start_ts").alias("start_us"),
         fx.micros("end_ts").alias("end_us"), F.size("x").cast("long").alias("steps"), F.round(x, 4).alias("total_f1"))
 

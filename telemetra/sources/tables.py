@@ -71,8 +71,9 @@ def write_split_store(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
-def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
-    return spark.read.parquet(path).filter(F.col("split") == split)
+def read_split(spark: SparkSession, path: str, split: str, schema: T.StructType) -> DataFrame:
+    """Rows of one split; the other directories are not opened."""
+    return spark.read.schema(schema).parquet(path).filter(F.col("split") == split)
 
 
 def save_assignment(assignment: DataFrame, config: dict, path: str) -> None:

@@ -135,4 +135,4 @@ def latest_by_batch(df: DataFrame, keys: Sequence[str], order: str, label: str)
     q = (df.writeStream.foreachBatch(write).option("checkpointLocation", progress)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return latest_runs(spark.read.parquet(out).drop("batch"), keys, order)
+    return latest_runs(spark.read.schema(df.schema).parquet(f"{out}/batch=*"), keys, order)

@@ -258,6 +258,18 @@ def test_scenario_folders_and_run_files(spark, tmp_path):
     assert r == {1: 0.6, 2: None}
 
 
+def test_result_documents(spark, tmp_path):
+    df = spark.createDataFrame([("P6", 0.9, [(0, 0.1), (1, 0.2)])],
+                               "config string, f1 double, windows array<struct<win:int,fpr:double>>")
+    tables.write_documents(df, str(tmp_path / "doc"))
+    back = spark.read.schema(df.schema).json(str(tmp_path / "doc")).first()
+    assert back["config"] == "P6" and back["windows"][1]["fpr"] == 0.2
+    tables.write_windows(df.select("windows"), str(tmp_path / "win"))
+    assert spark.read.parquet(str(tmp_path / "win")).count() == 1
+    assert tables.as_result_rows(df).columns == [f.name for f in tables.RESULT_SCHEMA.fields]
+    assert len(tables.RESULT_SCHEMA.fields) == 24
+
+
 def test_dotted_names(spark):
     df = spark.createDataFrame([(1.0, 2.0, True)], "`Profile.timestamp` double, `a.b` double, ok boolean")
     assert features.numeric_features(df.schema) == ["a.b"]
