@@ -141,7 +141,8 @@ def window_thresholds(df: DataFrame, keys: Sequence[str], size: int, keep_partia
 
     Returns the window table and the global choice (two numbers).
     """
-    g = grid_f1(df, grid).first()
+    row = grid_f1(df, grid).first()
+    g = row.asDict() if row else {"threshold": 0.5, "f1": 0.0}
     local = grid_f1(df, grid, keys)
     at_global = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
@@ -154,4 +155,4 @@ def window_thresholds(df: DataFrame, keys: Sequence[str], size: int, keep_partia
     w = local.join(at_global, list(keys)).select(
         *keys, "n", F.when(both, F.col("threshold")).otherwise(F.lit(g["threshold"])).alias("threshold"),
         F.when(both, F.col("f1")).otherwise(fallback).alias("f1"), both.alias("local"))
-    return (w if keep_partial else w.filter(F.col("n") == size)), g.asDict()
+    return (w if keep_partial else w.filter(F.col("n") == size)), g
