@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemetra.functions.numeric import quoted, ratio
-from telemetra.operators.ordering import add_slices, with_running_sum
+from telemetra.operators.ordering import add_slices, join_null_safe, with_running_sum
 from telemetra.session import materialize
 
 #: Largest number of distinct values an exact percentile buffer may hold.
@@ -121,7 +121,7 @@ def group_quantiles(counted: DataFrame, group: Sequence[str], value: str,
     cum = with_running_sum(add_slices(counted, F.col(value)), group, [F.col(value)],
                            {"_cum": F.col("_c")})
     sizes = counted.groupBy(*group).agg(F.sum("_c").alias("n"))
-    ranked = cum.join(sizes, list(group))
+    ranked = join_null_safe(cum, sizes, list(group))
     aggs = []
     for name, p in probs.items():
         r = F.lit(float(p)) * (F.col("n") - 1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from telemetra.functions.numeric import ratio
 from telemetra.operators.cleaning import exact_quantiles, group_quantiles, value_counts
-from telemetra.operators.ordering import add_slices, with_position
+from telemetra.operators.ordering import add_slices, join_null_safe, with_position
 from telemetra.session import materialize
 
 
@@ -46,7 +46,7 @@ def boxplot(df: DataFrame, group: str, value: str) -> DataFrame:
     q = group_quantiles(counted, [group], value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     q = q.withColumn("_iqr", F.col("q75") - F.col("q25"))
     out = (F.col(value) < F.col("q25") - 1.5 * F.col("_iqr")) | (F.col(value) > F.col("q75") + 1.5 * F.col("_iqr"))
-    return counted.join(q, group).groupBy(group, "n", "q25", "q50", "q75").agg(
+    return join_null_safe(counted, q, [group]).groupBy(group, "n", "q25", "q50", "q75").agg(
         F.sum(F.when(out, F.col("_c")).otherwise(0)).alias("n_outliers"))
 
 

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 Interval = tuple[str, str, str]  # (name, start, end), both ends inclusive, UTC
 
-#: Up to this many intervals are folded into the row expression itself.
-INLINE_INTERVALS = 64
 #: A dictionary table is broadcast only up to this many rows.
 BROADCAST_ROWS = 100_000
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -74,11 +75,21 @@ def triangle_chunk(df: DataFrame, r: str) -> int:
     return chunk_rows(row["k"] if row else 1)
 
 
+def _size(df: DataFrame) -> list[str]:
+    return ["n"] if "n" in df.columns else []
+
+
 def ewma_step(alpha: float, r: str) -> Step:
-    """Baseline = first matrix, then alpha * new + (1 - alpha) * old.  State: [triangle] or []."""
+    """Baseline = first matrix, then alpha * new + (1 - alpha) * old.  State: [triangle] or [].
+
+    Where the table has ``n``, a window of one row has divergence 0 and changes nothing.
+    """
     def step(rows: pd.DataFrame, state: np.ndarray):
         base, div = state, []
-        for c in rows[r].to_numpy():
+        for c, k in zip(rows[r].to_numpy(), rows["n"].to_numpy() if "n" in rows else repeat(2)):
+            if k < 2:
+                div.append(0.0)
+                continue
             c = np.asarray(c, dtype=float)
             if base.size == 0:
                 base = c.copy()
@@ -93,14 +104,14 @@ def ewma_step(alpha: float, r: str) -> Step:
 def ewma_trail(df: DataFrame, stream: Sequence[str], ordinal: str, r: str, alpha: float = 0.1,
                start: Sequence[float] = (), chunk: int | None = None) -> DataFrame:
     """Divergence of each window from the baseline *before* it is updated."""
-    return chunked_scan(df.select(*stream, ordinal, r), stream, ordinal, ewma_step(alpha, r), start,
+    return chunked_scan(df.select(*stream, ordinal, r, *_size(df)), stream, ordinal, ewma_step(alpha, r), start,
                         "divergence double", chunk or triangle_chunk(df, r))
 
 
 def ewma_baseline(df: DataFrame, stream: Sequence[str], ordinal: str, r: str, alpha: float = 0.1,
                   start: Sequence[float] = (), chunk: int | None = None) -> DataFrame:
     """Final baseline (upper triangle) per stream."""
-    return chunked_scan(df.select(*stream, ordinal, r), stream, ordinal, ewma_step(alpha, r), start,
+    return chunked_scan(df.select(*stream, ordinal, r, *_size(df)), stream, ordinal, ewma_step(alpha, r), start,
                         "divergence double", chunk or triangle_chunk(df, r), end_state=True)
 
 
@@ -108,11 +119,12 @@ def gate(rows: pd.DataFrame, state: np.ndarray, detector: Cusum, alpha: float,
          min_benign: float, r: str = "r", benign: str = "benign_fraction", n: str = "n"):
     """Advance the guarded baseline over ordered windows.
 
-    State: [sum, alarms, updates, *triangle].  A window updates the baseline
-    only without an alarm and with enough benign rows; a window of one row has
-    divergence 0 and never updates.
+    State: [sum, *triangle], which both forget their past, so a chunk settles as
+    soon as its predecessor's recent windows do; counts come from the rows.  A
+    window updates the baseline only without an alarm and with enough benign
+    rows; a window of one row has divergence 0 and never updates.
     """
-    s, n_alarm, n_upd, base = state[0], state[1], state[2], state[3:].copy()
+    s, base = state[0], state[1:].copy()
     div, sums, alarms, updates = [], [], [], []
     for c, b, k in zip(rows[r].to_numpy(), rows[benign].to_numpy(), rows[n].to_numpy()):
         c = np.asarray(c, dtype=float)
@@ -121,14 +133,12 @@ def gate(rows: pd.DataFrame, state: np.ndarray, detector: Cusum, alpha: float,
         u = bool(not a and b >= min_benign and k >= 2)
         if u:
             base = alpha * c + (1 - alpha) * base
-        n_alarm += a
-        n_upd += u
         div.append(v)
         sums.append(s)
         alarms.append(int(a))
         updates.append(int(u))
     out = {"divergence": div, "cusum": sums, "alarm": alarms, "updated": updates}
-    return out, np.concatenate([[s, n_alarm, n_upd], base])
+    return out, np.concatenate([[s], base])
 
 
 GATE_DDL = "divergence double, cusum double, alarm int, updated int"
@@ -145,7 +155,7 @@ def gated_adaptation(df: DataFrame, stream: Sequence[str], ordinal: str, start:
         return gate(rows, state, detector, alpha, min_benign)
 
     return chunked_scan(df.select(*stream, ordinal, "r", "benign_fraction", "n"), stream, ordinal, step,
-                        [0.0, 0.0, 0.0, *start], GATE_DDL, chunk or chunk_rows(len(start)), end_state=end_state)
+                        [0.0, *start], GATE_DDL, chunk or chunk_rows(len(start)), end_state=end_state)
 
 
 def benign_scores(df: DataFrame, stream: Sequence[str], ordinal: str, start: Sequence[float],

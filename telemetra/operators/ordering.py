@@ -13,7 +13,9 @@ The rows are shuffled once, on (group, slice).
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -21,11 +23,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SLICE = "_slice"
+NULL_SLICE = -1     # rows without an order value form a slice of their own, before all others
 ROWS_PER_SLICE = 250_000
 MIN_SLICES = 8
 MAX_SLICES = 8192
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet; the keys of the left side stay."""
+    if not keys:
+        return left.crossJoin(right) if how == "inner" else left.join(right, F.lit(True), how)
+    other = right.withColumnsRenamed({k: f"_other_{k}" for k in keys})
+    same = reduce(operator.and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"`_other_{k}`")) for k in keys])
+    out = left.join(other, same, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_other_{k}" for k in keys])
+
+
 def add_slices(df: DataFrame, lead: Column, tie: Column | None = None,
                rows_per_slice: int = ROWS_PER_SLICE, name: str = SLICE) -> DataFrame:
     """Equal-depth, order-preserving slices of the order (lead, tie).
@@ -33,7 +46,8 @@ def add_slices(df: DataFrame, lead: Column, tie: Column | None = None,
     ``lead`` is numeric; ``tie`` (an integer) splits rows that share one lead
     value, so a hot timestamp is cut as well.  The two are folded into one
     monotone double.  Boundaries come from a bounded quantile sketch and become
-    literals, so every evaluation, retries included, sees the same slices.
+    literals, so every evaluation, retries included, sees the same slices.  Rows
+    whose ``lead`` or ``tie`` is null come first, as nulls do in an ascending order.
     """
     aggs = [F.count(F.lit(1)).alias("n"), F.min(lead).alias("lo")]
     if tie is not None:
@@ -46,12 +60,12 @@ def add_slices(df: DataFrame, lead: Column, tie: Column | None = None,
         key = key + (tie - F.lit(s["t0"])).cast("double") / F.lit(float(s["t1"] - s["t0"] + 1))
     k = min(MAX_SLICES, max(MIN_SLICES, -(-s["n"] // rows_per_slice)))
     at = [i / k for i in range(1, k)]
-    bounds = df.agg(F.percentile_approx(key, at, max(10_000, 4 * k)).alias("b")).first()["b"]
-    cuts = sorted(set(bounds))
+    bounds = df.agg(F.percentile_approx(key, at, max(10_000, 4 * k)).alias("b")).first()["b"] or []
+    cuts = sorted(set(bounds)) or [0.0]
     splits = [float("-inf"), *cuts, float("inf")]
     keyed = df.withColumn("_slice_key", key)
     out = Bucketizer(splits=splits, inputCol="_slice_key", outputCol=name).transform(keyed)
-    return out.withColumn(name, F.col(name).cast("int")).drop("_slice_key")
+    return out.withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(NULL_SLICE))).drop("_slice_key")
 
 
 def _group(group: Sequence[str]) -> list:
@@ -73,7 +87,7 @@ def with_running_sum(df: DataFrame, group: Sequence[str], order: Sequence[Column
     """Inclusive running sums along the order, one new column per entry."""
     totals = exclusive_totals(df, group, {n: F.sum(v) for n, v in values.items()}, slice_col)
     inside = W.partitionBy(*group, slice_col).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = df.join(totals, [*group, slice_col])
+    out = join_null_safe(df, totals, [*group, slice_col])
     for n, v in values.items():
         out = out.withColumn(n, F.sum(v).over(inside) + F.col(f"_off_{n}"))
     return out.drop(*[f"_off_{n}" for n in values])
@@ -84,7 +98,7 @@ def with_position(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     """0-based position in the group.  ``order`` must be total inside a group."""
     totals = exclusive_totals(df, group, {"n": F.count(F.lit(1))}, slice_col)
     inside = W.partitionBy(*group, slice_col).orderBy(*order)
-    return (df.join(totals, [*group, slice_col])
+    return (join_null_safe(df, totals, [*group, slice_col])
               .withColumn(name, F.row_number().over(inside) - 1 + F.col("_off_n"))
               .drop("_off_n"))
 
@@ -100,7 +114,7 @@ def with_previous(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     across = W.partitionBy(*_group(group)).orderBy(slice_col)
     carried = last.select(*group, slice_col, F.lag("_last").over(across).alias("_carry"))
     inside = W.partitionBy(*group, slice_col).orderBy(*order)
-    out = df.join(carried, [*group, slice_col])
+    out = join_null_safe(df, carried, [*group, slice_col])
     first = F.row_number().over(inside) == 1
     for src, dst in cols.items():
         out = out.withColumn(dst, F.when(first, F.col(f"_carry.{src}"))

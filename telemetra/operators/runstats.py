@@ -29,22 +29,22 @@ def unpivot_metrics(runs: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return long.withColumn("value", F.when(bad, None).otherwise(F.col("value")))
 
 
-def t_factor(n: Column, sizes: Sequence[int], level: float = 0.95) -> Column:
-    """t quantile for each sample size that occurs."""
-    out = F.lit(None).cast("double")
-    for k in sizes:
-        if k >= 2:
-            out = F.when(n == k, F.lit(t_quantile((1 + level) / 2, k - 1))).otherwise(out)
-    return out
+def t_factors(sizes: DataFrame, level: float = 0.95) -> DataFrame:
+    """(n, t): the t quantile of each distinct sample size, one call per size."""
+    @F.pandas_udf("double")
+    def quantile(n: pd.Series) -> pd.Series:
+        return pd.Series([t_quantile((1 + level) / 2, int(k) - 1) if k >= 2 else None for k in n], dtype="float64")
+
+    return sizes.select("n").distinct().withColumn("_t", quantile("n"))
 
 
 def summarize(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     """n, mean, sample deviation (0 for one value) and 95 % t interval of finite values."""
     s = long.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"),
                                 F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"))
-    sizes = [r["n"] for r in s.select("n").distinct().collect()]  # sample sizes
-    half = F.coalesce(t_factor(F.col("n"), sizes) * F.col("std") / F.sqrt("n"), F.lit(0.0))
-    return s.withColumns({"ci_low": F.col("mean") - half, "ci_high": F.col("mean") + half})
+    half = F.coalesce(F.col("_t") * F.col("std") / F.sqrt("n"), F.lit(0.0))
+    return (s.join(t_factors(s), "n").withColumns({"ci_low": F.col("mean") - half, "ci_high": F.col("mean") + half})
+            .select(*keys, "n", "mean", "std", "ci_low", "ci_high"))
 
 
 def summary_wide(long: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -102,6 +102,17 @@ def null_counts(n: Column) -> Column:
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), start, add)).otherwise(F.array(F.lit(1.0)))
 
 
+def upper_tail(z: Column) -> Column:
+    """P(Z > z) of the standard normal by its odd-factorial series; 0 or 1 beyond 9 deviations."""
+    a = F.least(F.abs(z), F.lit(9.0))
+    def add(acc: Column, k: Column) -> Column:
+        t = acc["t"] * a * a / (2 * k + 1)
+        return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
+    s = F.aggregate(F.sequence(F.lit(1), F.lit(200)), F.struct(a.alias("t"), a.alias("s")), add)["s"]
+    above = F.lit(0.5) - F.exp(-a * a / 2) / math.sqrt(2 * math.pi) * s
+    return F.when(z >= 0, above).otherwise(1 - above)
+
+
 def p_values(tests: DataFrame) -> DataFrame:
     """One-sided p: exact without ties and zeros up to 50 pairs, normal otherwise."""
     m = (F.col("n") - F.col("n_zero")).cast("int")
@@ -117,10 +128,6 @@ def p_values(tests: DataFrame) -> DataFrame:
     var = md * (md + 1) * (2 * md + 1) / 24 - F.col("ties") / 48
     z = ratio(F.col("w_plus") - md * (md + 1) / 4, F.sqrt(F.greatest(var, F.lit(0.0))))
 
-    @F.pandas_udf("double")
-    def upper_tail(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: 0.5 * math.erfc(x / math.sqrt(2)))
-
     signed = F.when(F.col("alternative") == "greater", z).otherwise(-z)
     return (tests.withColumn("_c", counts).withColumn("_pn", upper_tail(signed))
             .withColumn("p_value", F.when(F.col("all_zero"), 1.0).when(exact, p_exact).otherwise(F.col("_pn")))

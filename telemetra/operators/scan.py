@@ -10,8 +10,9 @@ chunk is folded by its own task from a state it is given:
 
 The states these recursions carry forget their past (an alarm or a clamp resets
 CUSUM, EWMA decays geometrically), so a few passes suffice.  In the worst case
-every pass fixes at least one more chunk: the result is always that of the
-sequential fold, and no task ever holds more than one chunk.
+every pass fixes at least one more chunk: the result is that of the sequential
+fold up to a relative difference of ``tol`` in the states, and no task ever holds
+more than one chunk.
 """
 
 from __future__ import annotations

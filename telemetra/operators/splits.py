@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from telemetra.functions.numeric import half_even
 from telemetra.functions.seeded import shuffle_key, shuffle_slice, slice_digits
-from telemetra.operators.ordering import with_position
+from telemetra.operators.ordering import join_null_safe, with_position
 from telemetra.session import materialize
 
 
@@ -63,7 +63,7 @@ def _deal(blocks: DataFrame, strata: list[str], key: Column, seed: int) -> DataF
     blocks = materialize(blocks)
     sizes = blocks.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
     ranked = shuffled_positions(blocks, strata, key, seed, "_rk", blocks.count())
-    return ranked.join(sizes, strata)
+    return join_null_safe(ranked, sizes, strata)
 
 
 def deal_blocks(df: DataFrame, policy: SplitPolicy, block: str = "block",

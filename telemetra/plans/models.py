@@ -75,7 +75,7 @@ def ablation_runs(spark, d):
     """Result rows of the ablation ladder; equal switch settings are run once."""
     src, out = source(spark, d), None
     short = models.small(EXT, 3)
-    for name in ("P0", "P1", "P3", "P6", "P7"):
+    for name in ("P0", "P1", "P2", "P3", "P4", "P6", "P7"):
         s = pl.ABLATIONS[name]
         row = _summary(name, pl.proposed_method(src, short, s), s)
         out = row if out is None else out.unionByName(row)
@@ -124,7 +124,7 @@ def batch_inference(spark, d):
 @query("smote")
 def smote(spark, d):
     """Synthetic attack rows between exact nearest neighbours, until the classes are equal."""
-    x = fx.li(spark, d).filter("stream = 'O'").select(*ROW, *FEATS, F.col("attack").alias("label"))
+    x = fx.li(spark, d).select(*ROW, *FEATS, F.col("attack").alias("label"))
     return neighbours.smote(x, FEATS, F.concat_ws("|", *ROW, *FEATS), seed=42)
 
 

@@ -80,9 +80,9 @@ _FIVE = fx.LI_FEATURES
 @query("change_detection", f"""with recursive {fx.LIW_SQL},
 base as (select {corr_sql(_FIVE)} from lib where attack = 0 and split = 'train'),
 wc as (select stream, block, win, count(*) as n, sum(attack) as n_pos, min(ts) as start_ts, max(ts) as end_ts, max(split) as split,
-       {corr_sql(_FIVE)} from liw group by stream, block, win having count(*) = {fx.LI_WINDOW}),
-wd as (select wc.*, {frob_sql(_FIVE)} as div, row_number() over (partition by stream order by block, win) - 1 as ord from wc, base),
-cal as (select avg(div) as m, stddev_samp(div) as s from wd where n_pos = 0 and split = 'train'),
+       {corr_sql(_FIVE)} from liw group by stream, block, win),
+wd as (select wc.*, case when n < 2 then 0.0 else {frob_sql(_FIVE)} end as div, row_number() over (partition by stream order by block, win) - 1 as ord from wc, base),
+cal as (select avg(div) as m, stddev_samp(div) as s from wd where n_pos = 0 and split = 'train' and n >= 2),
 zs as (select wd.*, (div - m) / s as z from wd, cal),
 fold(stream, ord, cusum, alarm) as (
   select stream, ord, case when greatest(0.0, z - 0.5) >= 5.0 then 0.0 else greatest(0.0, z - 0.5) end,
@@ -103,10 +103,12 @@ def change_detection(spark, d):
         # a number, not text: text buffers would turn hash aggregation into a sort
         "is_train": F.max(F.when(F.col("split") == "train", 1).otherwise(0))})
     # the window table (rows / window size) feeds numbering, calibration, fold and report
-    w = materialize(windows.complete(w, fx.LI_WINDOW).select(
-        *KEYS, "win", "n", "n_pos", "start_us", "end_us", "is_train", "divergence"))
+    # a block's remainder is a window too; one row alone has no correlation and scores 0
+    w = materialize(w.select(*KEYS, "win", "n", "n_pos", "start_us", "end_us", "is_train",
+                             F.coalesce("divergence", F.lit(0.0)).alias("divergence")))
     w = windows.with_ordinal(w, "block", ["stream"])
-    det = online.calibrate(w.filter((F.col("n_pos") == 0) & (F.col("is_train") == 1)), "divergence", allow_empty=True)
+    fit = w.filter((F.col("n_pos") == 0) & (F.col("is_train") == 1) & (F.col("n") >= 2))
+    det = online.calibrate(fit, "divergence", allow_empty=True)
     a = online.cusum_alarms(w, ["stream"], "ord", "divergence", det)
     return w.join(a, ["stream", "ord"]).select(
         *KEYS, "win", "n", "start_us", "end_us", F.round(F.col("n_pos") / F.col("n"), 6).alias("attack_fraction"),
@@ -117,16 +119,15 @@ def change_detection(spark, d):
 
 
 _WM = f"""wm as (select stream, block, win, count(*) as n, avg(1 - attack) as benign, max(split) as split, {corr_sql(FEATS)}
-  from liw group by stream, block, win having count(*) = {fx.LI_WINDOW}),
+  from liw group by stream, block, win),
 wo as (select *, row_number() over (partition by stream order by block, win) - 1 as ord from wm)"""
 
 
 def ship_matrices(spark, d):
-    """Complete shipment windows per stream: order number, triangle, benign share.  Stored once."""
+    """Shipment windows per stream, remainders too: order number, triangle, benign share.  Stored once."""
     w = co.correlations(fx.li_windows(spark, d), [*KEYS, "win"], FEATS, extra={
         "benign_fraction": F.avg(1 - F.col("attack")),
         "is_train": F.max(F.when(F.col("split") == "train", 1).otherwise(0))})
-    w = windows.complete(w, fx.LI_WINDOW)
     w = materialize(w.select(*KEYS, "win", "n", "benign_fraction", "is_train", F.array(*PAIRS).alias("r")))
     return windows.with_ordinal(w, "block", ["stream"])
 
@@ -139,9 +140,17 @@ def _dist(a: str, b: str) -> str:
     return "sqrt(2 * (" + " + ".join(f"pow({a}.{p} - {b}.{p}, 2)" for p in PAIRS) + "))"
 
 
+def _dist2(a: str, b: str) -> str:
+    return f"case when {a}.n < 2 then 0.0 else {_dist(a, b)} end"
+
+
+def _upd2(a: float, old: str, new: str) -> str:
+    return ", ".join(f"case when {new}.n < 2 then {old}.{p} else {a} * {new}.{p} + {1 - a} * {old}.{p} end as {p}" for p in PAIRS)
+
+
 _EWMA_SQL = f"""with recursive {fx.LIW_SQL}, {_WM},
 fold as (select stream, ord, cast(0.0 as double) as div, {', '.join(PAIRS)} from wo where ord = 0
-  union all select wo.stream, wo.ord, {_dist('wo', 'fold')} as div, {_upd(TRACK, 'fold', 'wo')}
+  union all select wo.stream, wo.ord, {_dist2('wo', 'fold')} as div, {_upd2(TRACK, 'fold', 'wo')}
   from fold join wo on wo.stream = fold.stream and wo.ord = fold.ord + 1)"""
 
 
@@ -162,7 +171,7 @@ def ewma_divergence(spark, d):
 
 _B0 = f"b0 as (select {corr_sql(FEATS)} from lib where attack = 0 and split = 'train')"
 _BS_SQL = f"""{fx.LIW_SQL}, {_WM}, {_B0},
-bw as (select *, row_number() over (partition by stream order by ord) - 1 as k from wo where split = 'train' and benign >= 0.9),
+bw as (select *, row_number() over (partition by stream order by ord) - 1 as k from wo where split = 'train' and benign >= 0.9 and n >= 2),
 bs as (select stream, cast(-1 as bigint) as k, cast(null as double) as score, {', '.join(PAIRS)} from b0, (select distinct stream from bw)
   union all select bw.stream, bw.k, {_dist('bw', 'bs')} as score, {_upd(ALPHA, 'bs', 'bw')}
   from bs join bw on bw.stream = bs.stream and bw.k = bs.k + 1)"""
@@ -176,7 +185,7 @@ def _start(spark, d) -> list[float]:
 
 def benign_scores(w, start):
     """Calibration scores of the benign training windows, and the numbering they use."""
-    ok = w.filter((F.col("is_train") == 1) & (F.col("benign_fraction") >= 0.9))
+    ok = w.filter((F.col("is_train") == 1) & (F.col("benign_fraction") >= 0.9) & (F.col("n") >= 2))
     ok = ok.select("stream", F.col("ord").alias("t"), "r")
     k = with_position(add_slices(ok, F.col("t")), ["stream"], [F.col("t")], "k").drop("_slice")
     return online.benign_scores(k, ["stream"], "k", start, ALPHA)
@@ -193,10 +202,10 @@ cal as (select avg(score) as m, stddev_samp(score) as s from bs where k >= 0),
 fold as (select stream, cast(-1 as bigint) as ord, cast(0.0 as double) as div, cast(0.0 as double) as cusum, 0 as alarm, 0 as updated,
                 {', '.join(PAIRS)} from b0, (select distinct stream from wo)
   union all select stream, ord, div, case when s1 >= 5.0 then 0.0 else s1 end, case when s1 >= 5.0 then 1 else 0 end,
-         case when s1 < 5.0 and benign >= 0.9 then 1 else 0 end,
-         {', '.join(f'case when s1 < 5.0 and benign >= 0.9 then {ALPHA} * n_{p} + {1 - ALPHA} * o_{p} else o_{p} end as {p}' for p in PAIRS)}
-  from (select wo.stream, wo.ord, wo.benign, {_dist('wo', 'fold')} as div,
-               greatest(0.0, fold.cusum + ({_dist('wo', 'fold')} - m) / s - 0.5) as s1,
+         case when s1 < 5.0 and benign >= 0.9 and n >= 2 then 1 else 0 end,
+         {', '.join(f'case when s1 < 5.0 and benign >= 0.9 and n >= 2 then {ALPHA} * n_{p} + {1 - ALPHA} * o_{p} else o_{p} end as {p}' for p in PAIRS)}
+  from (select wo.stream, wo.ord, wo.benign, wo.n, {_dist2('wo', 'fold')} as div,
+               greatest(0.0, fold.cusum + ({_dist2('wo', 'fold')} - m) / s - 0.5) as s1,
                {', '.join(f'wo.{p} as n_{p}, fold.{p} as o_{p}' for p in PAIRS)}
         from fold join wo on wo.stream = fold.stream and wo.ord = fold.ord + 1, cal))"""
 
@@ -221,12 +230,11 @@ select stream, cast(0.5 as double) as k, cast(5.0 as double) as h, {r6('max(m)')
        {r6('arg_max(cusum, ord)')} as cusum, count(*) as n_samples, cast(sum(alarm) as bigint) as n_changes,
        cast({ALPHA} as double) as alpha, cast(sum(updated) as bigint) as n_updates from fold, cal where ord >= 0 group by stream""")
 def adaptation_summary(spark, d):
-    """Final state of the fold, one row per stream."""
+    """Final state of the fold and its counts, one row per stream."""
     w, start, det = calibrated(spark, d)
-    s = online.gated_adaptation(w, ["stream"], "ord", start, det, ALPHA, end_state=True)
-    n = w.groupBy("stream").agg(F.count(F.lit(1)).alias("n_samples"))
-    st = F.col("state")
-    return s.join(n, "stream").select(
-        "stream", F.lit(det.k).alias("k"), F.lit(det.h).alias("h"), F.round(F.lit(det.mean), 6).alias("mean"),
-        F.round(F.lit(det.std), 6).alias("std"), F.round(st[0], 6).alias("cusum"), "n_samples",
-        st[1].cast("long").alias("n_changes"), F.lit(ALPHA).alias("alpha"), st[2].cast("long").alias("n_updates"))
+    g = online.gated_adaptation(w, ["stream"], "ord", start, det, ALPHA).groupBy("stream").agg(
+        F.max_by("cusum", "ord").alias("cusum"), F.count(F.lit(1)).alias("n_samples"),
+        F.sum("alarm").cast("long").alias("n_changes"), F.sum("updated").cast("long").alias("n_updates"))
+    return g.select("stream", F.lit(det.k).alias("k"), F.lit(det.h).alias("h"), F.round(F.lit(det.mean), 6).alias("mean"),
+                    F.round(F.lit(det.std), 6).alias("std"), F.round("cusum", 6).alias("cusum"), "n_samples", "n_changes",
+                    F.lit(ALPHA).alias("alpha"), "n_updates")

@@ -170,14 +170,13 @@ def replay(src: Source, scored: DataFrame, base: dict[str, float], names_in: Seq
 
     def matrices(df: DataFrame, benign: Column) -> DataFrame:
         w = co.correlations(df, [*KEYS, "win"], names_in, extra={"benign_fraction": F.avg(benign)})
-        w = windows.complete(w, src.window)
         w = materialize(w.select(*KEYS, "win", "n", "benign_fraction", F.array(*names).alias("r")))
         # windows of a split are renumbered without gaps inside their stream
         order = add_slices(w, F.col("block"), F.col("win"))
         return with_position(order, ["stream"], [F.col("block"), F.col("win")], "ord").drop("_slice")
 
     fit = matrices(scored.filter("split = 'train'"), F.when(F.col("label") == 0, 1.0).otherwise(0.0))
-    ok = fit.filter("benign_fraction >= 0.9").select("stream", F.col("ord").alias("t"), "r")
+    ok = fit.filter("benign_fraction >= 0.9 and n >= 2").select("stream", F.col("ord").alias("t"), "r")
     ok = with_position(add_slices(ok, F.col("t")), ["stream"], [F.col("t")], "k").drop("_slice")
     det = online.calibrate(online.benign_scores(ok, ["stream"], "k", start, alpha), "divergence", allow_empty=True)
     val = matrices(scored.filter("split = 'val'"), F.when(F.col(p) < tau, 1.0).otherwise(0.0))

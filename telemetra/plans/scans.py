@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from telemetra.functions.numeric import ratio
 from telemetra.functions.seeded import shuffle_key
@@ -13,14 +14,21 @@ from telemetra.session import shared_path
 from telemetra.sources import fixtures as fx
 from telemetra.sources import tables
 
-EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
-
-
 @query("scan_telemetry", f"""with {fx.EV_SQL}
 select event_id, epoch_us(ts) as ts_us, user_id, event_type, f1, f2, label from ev""")
 def scan_telemetry(spark, d):
-    return fx.ev(spark, d).select("event_id", fx.micros().alias("ts_us"), "user_id",
-                                  "event_type", "f1", "f2", "label")
+    """Events written as CSV in another column order, with a row that has no time, and loaded again."""
+    e = fx.table(spark, d, "events").select(
+        F.col("value").alias("f1"), F.col("event_type").alias("bearer_0_apn"), F.col("event_id").cast("double").alias("rnti"),
+        F.col("ts").cast("string").alias("_time"), F.get_json_object("props", "$.k").cast("double").alias("f2"),
+        F.col("user_id").cast("double").alias("imeisv"), F.lit("x").alias("unused"))
+    path = shared_path(spark, "telemetry")
+    odd = e.limit(1).withColumn("_time", F.lit("not-a-time"))
+    e.unionByName(odd).write.option("header", True).csv(path)
+    t = tables.load_telemetry(spark, path, ["_time", "imeisv", "bearer_0_apn", "rnti", "f1", "f2"])
+    return t.select(F.col("rnti").cast("long").alias("event_id"), fx.micros("_time").alias("ts_us"),
+                    F.col("imeisv").cast("long").alias("user_id"), F.col("bearer_0_apn").alias("event_type"), "f1", "f2",
+                    labels.interval_flag(F.col("_time"), fx.EVENT_ATTACKS).alias("label"))
 
 
 @query("coerce_timestamp", """
@@ -37,10 +45,16 @@ def coerce_timestamp(spark, d):
 select event_id, event_type as scenario,
        row_number() over (partition by event_type order by ts, event_id) - 1 as pos from ev""")
 def scenario_union(spark, d):
-    e = fx.ev(spark, d)
-    parts = {t: e.filter(F.col("event_type") == t).drop("event_type") for t in EVENT_TYPES}
-    u = add_slices(tables.union_scenarios(parts), fx.micros(), F.col("event_id"))
-    return with_position(u, ["scenario"], fx.EV_ORDER).select("event_id", "scenario", "pos")
+    """One CSV folder per event type, every other one in another column order, loaded as tagged scenarios."""
+    e = fx.ev(spark, d).select("event_id", fx.micros().alias("ts_us"), "event_type")
+    root = shared_path(spark, "scenarios")
+    names = sorted(r[0] for r in e.select("event_type").distinct().collect())    # class names
+    for i, t in enumerate(names):
+        cols = ["event_id", "ts_us"][:: -1 if i % 2 else 1]
+        e.filter(F.col("event_type") == t).select(*cols).write.option("header", True).csv(f"{root}/{t}/dataset.csv")
+    u = tables.load_scenarios(spark, root, T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts_us", T.LongType())]))
+    u = add_slices(u, F.col("ts_us"), F.col("event_id"))
+    return with_position(u, ["scenario"], ["ts_us", "event_id"]).select("event_id", "scenario", "pos")
 
 
 @query("sequence_index", f"""with {fx.EV_SQL}
@@ -126,14 +140,16 @@ def feature_set_retx(spark, d):
     return cleaning.impute(t, cleaning.medians(t, sparse))
 
 
-@query("numeric_features", """select unnest(['f1', 'f2', 'user_id']) as feature""")
+@query("numeric_features", f"""with {fx.EV_SQL}
+select 'f1' as feature, count(f1) filter (event_id % 7 <> 0) as n from ev union all select 'f2', count(f2) from ev
+union all select 'user_id', count(user_id) from ev""")
 def numeric_features(spark, d):
     """Schema-driven choice, reported with the number of non-null values behind it."""
-    e = (fx.ev(spark, d).withColumn("Profile.timestamp", F.lit(1.0))
+    e = (fx.ev(spark, d).withColumn("f1", F.when(F.col("event_id") % 7 != 0, F.col("f1"))).withColumn("Profile.timestamp", F.lit(1.0))
          .withColumn("Attacker.event", F.lit(1)))
     names = features.numeric_features(e.schema, exclude=["event_id", "label"])
-    return (e.agg(*[F.count(n).alias(n) for n in names])
-            .select(F.explode(F.array(*[F.lit(n) for n in names])).alias("feature")))
+    counts = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("n")) for n in names])
+    return e.agg(*[F.count(n).alias(n) for n in names]).select(F.inline(counts))
 
 
 @query("drop_incomplete", f"""with {fx.CELLS_SQL}
@@ -174,20 +190,21 @@ def window_sample(spark, d):
             .filter(F.col("rk") <= 5).select("event_id", "block", "win"))
 
 
-@query("row_alignment", f"""with {fx.CELLS_SQL}
-select count(*) as n_rows, cast(0 as bigint) as missing_left, cast(0 as bigint) as missing_right,
-       cast(0 as bigint) as label_differs from (select distinct {', '.join(fx.LI_KEYS[:5])} from cells)""")
+@query("row_alignment", f"""with {fx.EV_SQL},
+a as (select event_id, label from ev where event_id % 89 <> 0),
+b as (select event_id, case when event_id % 53 = 0 then 1 - label else label end as label from ev where event_id % 97 <> 0)
+select count(*) as n_rows, count(*) filter (a.event_id is null) as missing_left, count(*) filter (b.event_id is null) as missing_right,
+       count(*) filter (a.label <> b.label) as label_differs from a full join b on a.event_id = b.event_id""")
 def row_alignment(spark, d):
-    """Two feature sets of the same rows carry the same keys and labels."""
-    keys = fx.LI_KEYS[:5]
-    c = fx.cells(spark, d)
-    a = c.groupBy(*keys).agg(F.sum("label").alias("ya"))
-    b = features.consolidate(c).groupBy(*keys).agg(F.sum("label").alias("yb"))
-    j = a.join(b, keys, "full_outer")
-    return j.agg(F.count(F.lit(1)).alias("n_rows"),
-                 F.count(F.when(F.col("ya").isNull(), 1)).alias("missing_left"),
-                 F.count(F.when(F.col("yb").isNull(), 1)).alias("missing_right"),
-                 F.count(F.when(F.col("ya") != F.col("yb"), 1)).alias("label_differs"))
+    """Two tables of the same rows, with rows missing on either side and labels changed on one."""
+    e = fx.ev(spark, d).select("event_id", "label")
+    a = e.filter("event_id % 89 <> 0").select("event_id", F.col("label").alias("ya"))
+    b = e.filter("event_id % 97 <> 0").select(
+        "event_id", F.when(F.col("event_id") % 53 == 0, 1 - F.col("label")).otherwise(F.col("label")).alias("yb"))
+    return a.join(b, "event_id", "full_outer").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("ya").isNull(), 1)).alias("missing_left"),
+        F.count(F.when(F.col("yb").isNull(), 1)).alias("missing_right"),
+        F.count(F.when(F.col("ya") != F.col("yb"), 1)).alias("label_differs"))
 
 
 @query("result_rows", f"""with {fx.RUNS_SQL}
@@ -207,8 +224,15 @@ def result_rows(spark, d):
 @query("load_runs", f"""with {fx.RUNS_SQL}
 select dataset, method, config, split_policy, seed, f1, fpr, load_order from runs""")
 def load_runs(spark, d):
-    return tables.latest_runs(fx.runs_raw(spark, d)).select(
-        "dataset", "method", "config", "split_policy", "seed", "f1", "fpr", "load_order")
+    """Two seed folders of CSVs in different column orders, an empty file beside them, loaded and de-duplicated."""
+    keep = ["dataset", "method", "config", "split_policy", "seed", "f1", "fpr", "load_order"]
+    raw = fx.runs_raw(spark, d).select(*keep)
+    root = shared_path(spark, "runs")
+    for n, cols in ((1, keep), (2, keep[::-1])):
+        raw.filter(F.col("load_order") == n).select(*cols).write.option("header", True).csv(f"{root}/seed_{n}/a_results.csv")
+    raw.limit(0).select(F.lit("").alias("value")).write.text(f"{root}/seed_3/a_results.csv")
+    got = tables.load_runs(spark, root, keep, ["f1", "fpr"])
+    return got.select(*keep[:-1], F.col("load_order").cast("int").alias("load_order"))
 
 
 @query("upsert_results", f"""with {fx.RUNS_SQL}, fresh as (

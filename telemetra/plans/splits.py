@@ -125,10 +125,13 @@ def split_summary(spark, d):
 
 
 @query("split_disjoint", f"""with {_DEAL_SQL}
-select count(*) as n_rows, cast(0 as bigint) as unassigned, cast(0 as bigint) as overlapping from evb""")
+select count(*) as n_rows, count(*) filter (block % 11 = 5) as unassigned,
+       count(distinct block) filter (block % 13 = 4 and block % 11 <> 5) as overlapping from evb""")
 def split_disjoint(spark, d):
+    """An assignment in which some blocks are missing and some stand in two splits."""
     rows = fx.ev_blocks(spark, d)
-    a = dealt(spark, d)
+    a = dealt(spark, d).select("block", "split").filter("block % 11 <> 5")
+    a = a.unionByName(a.filter("block % 13 = 4").withColumn("split", F.lit("other")))
     lost = rows.join(a, "block", "left_anti").count()
     over = splits.overlap(a, "block").count()
     return rows.agg(F.count(F.lit(1)).alias("n_rows")).withColumns(

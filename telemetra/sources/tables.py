@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from telemetra.functions.numeric import quoted
+
 # Result row layout, in column order.
 RESULT_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType()) for c in
@@ -40,21 +42,45 @@ def coerce_time(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, F.expr(f"try_cast(`{col}` as timestamp)")).na.drop(subset=[col])
 
 
+def csv_by_name(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """CSV files whose columns may stand in any order; ``_file`` keeps Spark's file metadata.
+
+    Files are listed without being opened and grouped by their header line; each
+    header is one scan.  Other columns are left out, empty files are skipped, a
+    missing column or an absent path is an error.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length").collect()
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for f in sorted(r["path"] for r in files if r["length"]):
+        by_header.setdefault(tuple(spark.read.option("header", True).csv(f).columns), []).append(f)
+    out = None
+    for header, own in by_header.items():
+        missing = [c for c in schema.names if c not in header]
+        if missing:
+            raise ValueError(f"columns {missing} are missing in {own[0]}")
+        kinds = {f.name: f.dataType for f in schema.fields}
+        given = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in header])
+        part = spark.read.schema(given).option("header", True).csv(own).select(
+            *[F.col(quoted(c)) for c in schema.names], F.col("_metadata").alias("_file"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], schema).withColumn("_file", F.lit(None))
+    return out
+
+
 def load_telemetry(spark: SparkSession, path: str, columns: Sequence[str],
                    time_col: str = "_time") -> DataFrame:
-    raw = (spark.read.schema(telemetry_schema(columns)).option("header", True)
-           .option("enforceSchema", False).csv(path))
-    nan_free = raw.select(*[F.when(F.isnan(f.name), None).otherwise(F.col(f"`{f.name}`")).alias(f.name)
-                            if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
-                            for f in raw.schema.fields])
+    raw = csv_by_name(spark, path, telemetry_schema(columns))
+    nan_free = raw.select(*[F.when(F.isnan(quoted(c)), None).otherwise(F.col(quoted(c))).alias(c)
+                            if isinstance(raw.schema[c].dataType, T.DoubleType) else F.col(quoted(c))
+                            for c in columns])
     return coerce_time(nan_free, time_col)
 
 
 def load_scenarios(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    """Every ``<scenario>/dataset.csv`` below a root, tagged with its folder."""
-    df = spark.read.schema(schema).option("header", True).csv(f"{root.rstrip('/')}/*/dataset.csv")
-    return df.withColumn("scenario",
-                         F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/dataset\.csv$", 1))
+    """Every ``<scenario>/dataset.csv`` below a root, tagged with its folder.  A root without any is an error."""
+    df = csv_by_name(spark, f"{root.rstrip('/')}/*/dataset.csv", schema)
+    return df.withColumn("scenario", F.regexp_extract(F.col("_file.file_path"), r"([^/]+)/dataset\.csv", 1)).drop("_file")
 
 
 def union_scenarios(parts: dict[str, DataFrame]) -> DataFrame:
@@ -117,17 +143,27 @@ def latest_runs(df: DataFrame, keys: Sequence[str] = RUN_KEYS, order: str = "loa
 
 def load_runs(spark: SparkSession, raw_dir: str, columns: Sequence[str],
               metrics: Sequence[str]) -> DataFrame:
-    """All result CSVs of all seeds, coerced and de-duplicated."""
+    """All result CSVs of all seeds, coerced and de-duplicated: the row of the last file wins."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    df = (spark.read.schema(schema).option("header", True)
-          .csv(f"{raw_dir.rstrip('/')}/seed_*/*_results.csv")
-          .withColumn("source_file", F.col("_metadata.file_path"))
-          .withColumn("load_order", F.struct(F.col("_metadata.file_path"),
-                                             F.col("_metadata.file_block_start"),
-                                             F.monotonically_increasing_id())))
+    df = csv_by_name(spark, f"{raw_dir.rstrip('/')}/seed_*/*_results.csv", schema)
+    df = (df.withColumn("source_file", F.col("_file.file_path"))
+          .withColumn("_order", F.struct(F.col("_file.file_path"), F.col("_file.file_block_start"),
+                                         F.monotonically_increasing_id())).drop("_file"))
     df = df.withColumns({m: F.expr(f"try_cast(`{m}` as double)") for m in metrics})
     df = df.withColumn("seed", F.expr("try_cast(seed as int)"))
-    return latest_runs(df).drop("load_order")
+    return latest_runs(df, order="_order").drop("_order")
+
+
+def append_job(path: str, rows: DataFrame, job: dict[str, object]) -> None:
+    """Append the rows of one job, chosen by its key columns, to a shared result table."""
+    for c, v in job.items():
+        rows = rows.filter(F.col(c).eqNullSafe(F.lit(v)))
+    append_results(rows, path)
+
+
+def write_csv_report(df: DataFrame, path: str) -> None:
+    """A flat report (drift events, confusion counts) as CSV with a header."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -104,8 +104,8 @@ def cusum(df: DataFrame, key: str, time: str, score: str, detector: Cusum) -> Da
 
 def gated(df: DataFrame, key: str, time: str, start: Sequence[float], detector: Cusum, alpha: float,
           min_benign: float) -> DataFrame:
-    """Keyed guarded baseline.  State: [sum, alarms, updates, *triangle], as in the batch form."""
-    init = [0.0, 0.0, 0.0, *[float(v) for v in start]]
+    """Keyed guarded baseline.  State: [sum, *triangle], as in the batch form."""
+    init = [0.0, *[float(v) for v in start]]
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = _ordered(frames, time)

@@ -71,7 +71,7 @@ def test_gate_and_ewma_chunks(spark, chunk):
         if upd:
             base = 0.05 * r[i] + 0.95 * base
     end = online.gated_adaptation(df, [], "ord", [0.2] * f, det, 0.05, 0.9, chunk, end_state=True).first()["state"]
-    assert np.allclose(end[3:], base, atol=1e-9) and end[2] == got["updated"].sum()
+    assert np.allclose(end[1:], base, atol=1e-9)
     b = online.ewma_baseline(df, [], "ord", "r", 0.1, chunk=chunk).first()["state"]
     e = r[0]
     for i in range(1, n):
