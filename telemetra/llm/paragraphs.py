@@ -35,9 +35,10 @@ def tune_bands(threshold: float = 0.8, recall: float = 0.9999, most: int = 128)
     """(bands, rows): the longest bands that reach the recall at the threshold with ``most`` values."""
     best = (most, 1)
     for rows in range(1, most + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold ** rows)) if threshold < 1 else 1
+        alike = threshold ** rows               # chance that one band agrees
+        bands = 1 if alike >= recall else math.ceil(math.log1p(-recall) / math.log1p(-alike)) if alike > 1e-9 else most + 1
         if bands * rows <= most:
-            best = (max(bands, 1), rows)
+            best = (bands, rows)
     return best
 
 
