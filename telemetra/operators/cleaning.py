@@ -6,7 +6,6 @@ of numbers per column) and are then folded into row expressions as literals.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,9 +15,6 @@ from telemetra.functions.numeric import quoted, ratio
 from telemetra.operators.ordering import add_slices, join_null_safe, with_running_sum
 from telemetra.session import materialize
 
-#: Largest number of distinct values an exact percentile buffer may hold.
-EXACT_BUFFER = 1_000_000
-
 
 def missing_percent(df: DataFrame, cols: Sequence[str], top: int | None = 10) -> DataFrame:
     """Share of nulls per column in percent, highest first."""
@@ -31,77 +27,19 @@ def missing_percent(df: DataFrame, cols: Sequence[str], top: int | None = 10) ->
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    where: Column | None = None,
-                    buffer: int = EXACT_BUFFER) -> dict[str, list[float | None]]:
-    """Exact interpolated quantiles of many columns without a shuffle of rows.
-
-    Columns with few distinct values go through ``percentile`` at once.  For the
-    others a bracket around the wanted ranks is narrowed with quantile sketches,
-    each pass shrinking it by orders of magnitude, until what lies inside fits
-    the exact buffer.  A pass is one scan for all open (column, quantile) pairs.
-    """
-    def val(c: str) -> Column:
-        v = F.col(quoted(c)).cast("double")
-        return F.when(where, v) if where is not None else v
+                    where: Column | None = None) -> dict[str, list[float | None]]:
+    """Exact interpolated quantiles of many columns in one pass over the rows.
 
-    head = df.agg(*[f(val(c)).alias(f"{k}{i}") for i, c in enumerate(cols)
-                    for k, f in (("n", F.count), ("d", F.approx_count_distinct))]).first()
-    n = {c: head[f"n{i}"] for i, c in enumerate(cols)}
+    Values are counted per column before the shuffle; ranks then accumulate over
+    slices of the values.  No task holds a column, and no size changes the way.
+    """
+    rows = df.filter(where) if where is not None else df
+    pair = [F.struct(F.lit(i).alias("_col"), F.col(quoted(c)).cast("double").alias("_value")) for i, c in enumerate(cols)]
+    counted = value_counts(rows.select(F.inline(F.array(*pair))), ["_col"], "_value")
+    q = group_quantiles(counted, ["_col"], "_value", {f"q{j}": float(p) for j, p in enumerate(probs)})
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    small = [c for i, c in enumerate(cols) if n[c] and head[f"d{i}"] * 1.1 <= buffer]
-    if small:
-        row = df.agg(*[F.percentile(val(c), [float(p) for p in probs]).alias(f"q{i}")
-                       for i, c in enumerate(small)]).first()
-        for i, c in enumerate(small):
-            out[c] = [float(x) for x in row[f"q{i}"]]
-    todo = {}
-    for c in cols:
-        if n[c] and c not in small:
-            for j, p in enumerate(probs):
-                r = p * (n[c] - 1)
-                todo[c, j] = dict(r=r, lo=-math.inf, hi=math.inf, below=0, m=n[c], eps=2e-4)
-    while todo:
-        keys = list(todo)
-
-        def bracket(c: str, s: dict) -> Column:
-            v = val(c)
-            return F.when((v >= F.lit(s["lo"])) & (v <= F.lit(s["hi"])), v)
-
-        guess = []
-        for i, (c, j) in enumerate(keys):
-            s = todo[c, j]
-            a = max(0.0, (math.floor(s["r"]) - s["below"]) / s["m"] - s["eps"])
-            b = min(1.0, (math.ceil(s["r"]) - s["below"] + 1) / s["m"] + s["eps"])
-            guess.append(F.percentile_approx(bracket(c, s), [a, b], 20_000).alias(f"g{i}"))
-        g = df.agg(*guess).first()
-        checks = []
-        for i, (c, j) in enumerate(keys):
-            v, (a, b) = val(c), g[f"g{i}"]
-            inside = F.when((v >= F.lit(a)) & (v <= F.lit(b)), v)
-            checks += [F.count(F.when(v < F.lit(a), 1)).alias(f"b{i}"), F.count(inside).alias(f"m{i}"),
-                       F.approx_count_distinct(inside).alias(f"d{i}")]
-        k = df.agg(*checks).first()
-        ready = []
-        for i, (c, j) in enumerate(keys):
-            s, (a, b) = todo[c, j], g[f"g{i}"]
-            below, m = k[f"b{i}"], k[f"m{i}"]
-            if below > math.floor(s["r"]) or below + m - 1 < math.ceil(s["r"]):
-                s["eps"] *= 4          # the sketch missed the rank: widen and retry
-                continue
-            s.update(lo=a, hi=b, below=below, m=m)
-            if a == b:
-                out[c][j] = float(a)
-                del todo[c, j]
-            elif k[f"d{i}"] * 1.1 <= buffer:
-                ready.append((c, j))
-        if ready:
-            row = df.agg(*[F.percentile(bracket(c, todo[c, j]),
-                                        (todo[c, j]["r"] - todo[c, j]["below"])
-                                        / max(1, todo[c, j]["m"] - 1)).alias(f"q{i}")
-                           for i, (c, j) in enumerate(ready)]).first()
-            for i, (c, j) in enumerate(ready):
-                out[c][j] = float(row[f"q{i}"])
-                del todo[c, j]
+    for r in q.collect():           # one row per column
+        out[cols[r["_col"]]] = [r[f"q{j}"] for j in range(len(probs))]
     return out
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from telemetra.operators.ordering import with_previous, with_running_sum
+from telemetra.operators.ordering import join_null_safe, with_previous, with_running_sum
 
 
 def window_stats(df: DataFrame, keys: Sequence[str], label: str = "label",
@@ -99,5 +99,5 @@ def with_ordinal(windows: DataFrame, block: str, within: Sequence[str] = (),
                  name: str = "ord") -> DataFrame:
     """Number the windows of a stream across its blocks."""
     first = block_ordinals(windows, block, within)
-    return (windows.join(first, [*within, block])
+    return (join_null_safe(windows, first, [*within, block])
             .withColumn(name, F.col("first_ord") + F.col("win")).drop("first_ord"))
