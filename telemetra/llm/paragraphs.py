@@ -188,24 +188,25 @@ def repeated_paragraphs(docs: DataFrame, ident: str = "doc_id", text: str = "tex
     bands, rows = tune_bands(threshold, recall)
     occ = materialize(paragraphs(docs, ident, text, min_words, words, bands, rows))
     first = F.min(F.struct("doc", "para"))
-    content = materialize(occ.groupBy("pid").agg(first.alias("at"), F.first("keys").alias("keys")))
+    # in the bands a content is a 64-bit hash, half as wide; its exact id returns with the shingles
+    content = materialize(occ.groupBy("pid").agg(first.alias("at"), F.first("keys").alias("keys"))
+                          .withColumn("id", F.xxhash64("pid")))
 
-    member = content.select("pid", F.explode("keys").alias("key"))
-    bucket = (member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("low"),
-                                        F.sum(F.xxhash64("pid") % F.lit(1 << 40)).alias("all"))
+    member = content.select("id", F.explode("keys").alias("key"))
+    bucket = (member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"),
+                                        F.sum(F.col("id") % F.lit(1 << 40)).alias("all"))
               .filter("n > 1").groupBy("n", "low", "all").agg(F.min("key").alias("key")).select("key"))
     met = materialize(member.join(bucket, "key"))
 
     # shingles of what met, from the documents that hold it first
-    wanted = met.select("pid").distinct()
-    holders = content.join(wanted, "pid", "left_semi").select(F.col("at.doc").alias("_doc")).distinct()
+    wanted = content.join(met.select("id").distinct(), "id", "left_semi").select("id", "pid", F.col("at.doc").alias("_doc"))
     texts = docs.select(F.col(ident).alias("_id"), F.col(text).alias("t")).join(
-        holders, F.col("_id").eqNullSafe(F.col("_doc")), "left_semi")
-    sets = (_shingle_table(texts, "_id", "t", min_words, words).join(wanted, "pid", "left_semi")
-            .groupBy("pid").agg(F.first("s").alias("s")))
-    cells = split_cells(met.withColumnRenamed("key", "cell"), "cell", "pid")
+        wanted.select("_doc").distinct(), F.col("_id").eqNullSafe(F.col("_doc")), "left_semi")
+    sets = (_shingle_table(texts, "_id", "t", min_words, words).join(wanted.select("id", "pid"), "pid")
+            .groupBy("id", "pid").agg(F.first("s").alias("s")))
+    cells = split_cells(met.withColumnRenamed("key", "cell"), "cell", "id")
     # the sets join after the members are dealt, so each task gets its own ones once
-    dealt = cells.join(sets, "pid").repartition("cell", "_lo", "_hi").sortWithinPartitions("cell", "_lo", "_hi", "pid")
+    dealt = cells.join(sets, "id").repartition("cell", "_lo", "_hi").sortWithinPartitions("cell", "_lo", "_hi", "pid")
     edges = dealt.select("cell", "_lo", "_hi", "pid", "s").mapInArrow(_verify(threshold), "u binary, v binary")
 
     roots = connected_components(edges).withColumnRenamed("node", "pid")
