@@ -1,7 +1,8 @@
 """SimHash near-duplicates through a segment-popcount embedding.
 
 A 64-bit fingerprint becomes a point with one coordinate per segment: the number
-of one-bits in it.  The Manhattan distance of two points never exceeds the
+of one-bits in it.  Segments of one and two bits alternate: wider ones mean fewer
+cells to visit, narrower ones fewer strangers in a cell.  The Manhattan distance of two points never exceeds the
 Hamming distance of the fingerprints.  Links are found by a grid range join in
 that space: the coordinates are dealt to ``groups``; of two fingerprints within
 ``d`` bits, some group lies within ``d // groups`` by Manhattan distance, and two
@@ -27,7 +28,8 @@ from telemetra.llm.components import connected_components
 from telemetra.session import materialize
 
 BITS = 64
-SEGMENT = 2
+#: (first bit, width) of each segment: every four bits hold two segments of one bit and one of two.
+SEGMENTS = [(4 * i + at, width) for i in range(BITS // 4) for at, width in ((0, 1), (1, 1), (2, 2))]
 #: Below this many members all pairs of a cell are compared at once.
 SHORT = 8
 
@@ -69,24 +71,25 @@ def fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text", wor
 def cells(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, cell) for every unit cell that a fingerprint visits.
 
-    Two-bit segments hold 0, 1 or 2 ones, so 32 coordinates pack into a word.
-    Groups are chosen so that ``distance // groups`` is 2 at most; each side then
-    visits its own cell and, if that is not 0, the cells one step away.  Cells are
-    numbered one to one within a group; two groups may share a number, which
-    costs a comparison and loses nothing.
+    The count of a segment stands in the bits of the segment itself, so the whole
+    point packs into a word.  Groups are chosen so that ``distance // groups`` is 2
+    at most; each side then visits its own cell and, if that is not 0, the cells
+    one step away.  Cells are numbered one to one within a group; two groups may
+    share a number, which costs a comparison and loses nothing.
     """
     groups = distance // 3 + 1
     reach = distance // groups
-    counts = fp - ((fp >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    one, low, pairs = np.uint64(1), np.uint64(0x3333333333333333), np.uint64(0xCCCCCCCCCCCCCCCC)
+    counts = (fp & low) | ((fp - ((fp >> one) & np.uint64(0x5555555555555555))) & pairs)
     rows, out, every = [], [], np.arange(len(fp))
     for g in range(groups):
-        own = range(g, BITS // SEGMENT, groups)
+        own = SEGMENTS[g::groups]
         mix = np.uint64(0x9E3779B97F4A7C15 + 2 * g)
-        point = counts & np.uint64(sum(3 << (2 * i) for i in own))
+        point = counts & np.uint64(sum(((1 << w) - 1) << at for at, w in own))
         found = [(every, point)]
-        for i in own if reach else ():
-            c, one = (counts >> np.uint64(2 * i)) & np.uint64(3), np.uint64(1 << (2 * i))
-            found += [(every[c < 2], point[c < 2] + one), (every[c > 0], point[c > 0] - one)]
+        for at, w in own if reach else ():
+            c, step = (counts >> np.uint64(at)) & np.uint64((1 << w) - 1), np.uint64(1 << at)
+            found += [(every[c < w], point[c < w] + step), (every[c > 0], point[c > 0] - step)]
         rows += [r for r, _ in found]
         out += [p * mix + np.uint64(g) for _, p in found]
     return np.concatenate(rows), np.concatenate(out)
