@@ -1,8 +1,9 @@
 """Token ids as length-delimited binary records with an offset index.
 
 A record is ``length u64 | masked crc of length u32 | payload | masked crc of
-payload u32 | newline``, all little-endian; the payload is ``doc_id i64 | n u32 |
-n ids of u32``.  A null doc_id is written as the smallest long.  Shards are
+payload u32 | newline``, all little-endian; the payload is ``doc_id i64 | bytes of an
+id u32 | n u32 | n ids``.  Ids take two bytes if the vocabulary fits them, else
+four.  A null doc_id is written as the smallest long.  Shards are
 written and read by Spark alone, on any file system it knows: a lost task is
 written again and only committed files count.  The index (doc_id, shard, offset,
 length, n_tokens, start in the shard, crc32) is made by reading the shards back.
@@ -41,13 +42,17 @@ def masked(data: bytes) -> int:
     return (((c >> MASK_SHIFT) | (c << (32 - MASK_SHIFT))) + MASK_ADD) & 0xFFFFFFFF
 
 
-def frame(doc_id: int | None, ids: bytes) -> bytes:
-    body = struct.pack("<qI", NO_ID if doc_id is None else doc_id, len(ids) // 4) + ids
+def frame(doc_id: int | None, ids: bytes, width: int = 4) -> bytes:
+    """A record of ids given as unsigned 32-bit integers and written in ``width`` bytes each."""
+    n = len(ids) // 4
+    if width != 4:
+        ids = np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
+    body = struct.pack("<qII", NO_ID if doc_id is None else doc_id, width, n) + ids
     size = struct.pack("<Q", len(body))
     return b"".join((size, struct.pack("<I", masked(size)), body, struct.pack("<I", masked(body)), b"\n"))
 
 
-def frames(data: bytes) -> Iterator[tuple[int, int, int | None, memoryview]]:
+def frames(data: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
     """(offset, length, doc_id, ids) of each record of a shard; a broken one raises."""
     at, view = 0, memoryview(data)
     while at < len(view):
@@ -59,17 +64,17 @@ def frames(data: bytes) -> Iterator[tuple[int, int, int | None, memoryview]]:
         (crc,) = struct.unpack("<I", view[at + 12 + n:at + 16 + n])
         if crc != masked(body):
             raise ValueError(f"broken record at {at}")
-        doc, k = struct.unpack("<qI", body[:12])
-        if len(body) != 12 + 4 * k:
+        doc, width, k = struct.unpack("<qII", body[:16])
+        if width not in (2, 4) or len(body) != 16 + width * k:
             raise ValueError(f"record at {at} holds another number of ids than it says")
-        yield at, 17 + n, None if doc == NO_ID else doc, body[12:]
+        yield at, 17 + n, None if doc == NO_ID else doc, np.frombuffer(body[16:], f"<u{width}").astype("<u4")
         at += 17 + n
 
 
 def read_record(data: bytes, offset: int, length: int) -> tuple[int | None, list[int]]:
     """One record through its index entry."""
     _, _, doc, ids = next(frames(data[offset:offset + length]))
-    return doc, np.frombuffer(ids, "<u4").tolist()
+    return doc, ids.tolist()
 
 
 class Packed:
@@ -134,6 +139,7 @@ def write_shards(docs: DataFrame, vocab_path: str, out: str, end_id: int | None
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = packed(vocab_path)
         tail = b"" if end_id is None else struct.pack("<I", end_id)
+        width = 2 if max(enc.rules.tokens, default=0) < 1 << 16 > (end_id or 0) else 4
         for b in batches:
             # of at most 512 rows and, a single row apart, about CHARS characters
             texts, ids = b.column("t").to_pylist(), b.column("i").to_pylist()
@@ -142,7 +148,7 @@ def write_shards(docs: DataFrame, vocab_path: str, out: str, end_id: int | None
                 total += len(texts[hi - 1] or "")
                 if hi < len(texts) and hi - lo < 512 and total + len(texts[hi] or "") <= CHARS:
                     continue
-                rec = [frame(i, x + tail)[:-1] for i, x in zip(ids[lo:hi], enc.encode_batch(texts[lo:hi]))]
+                rec = [frame(i, x + tail, width)[:-1] for i, x in zip(ids[lo:hi], enc.encode_batch(texts[lo:hi]))]
                 yield pa.RecordBatch.from_arrays([pa.array(rec, pa.binary())], ["r"])
                 lo, total = hi, 0
 
@@ -166,8 +172,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
             for shard, data in zip(b.column("shard").to_pylist(), b.column("content")):
                 rows, start = [], 0
                 for offset, length, doc, ids in frames(data.as_buffer()):
-                    rows.append((doc, shard, offset, length, len(ids) // 4, start, zlib.crc32(ids)))
-                    start += len(ids) // 4
+                    rows.append((doc, shard, offset, length, len(ids), start, zlib.crc32(ids.tobytes())))
+                    start += len(ids)
                 if rows:
                     kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)

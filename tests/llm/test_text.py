@@ -86,8 +86,9 @@ def test_token_files(spark, lib, tmp_path):
 
 
 def test_broken_records_are_found():
-    data = bytearray(token_files.frame(1, struct.pack("<3I", 5, 6, 7)) + token_files.frame(None, b""))
-    assert [(d, bytes(i)) for _, _, d, i in token_files.frames(bytes(data))] == [(1, struct.pack("<3I", 5, 6, 7)), (None, b"")]
+    ids = struct.pack("<3I", 5, 6, 7)
+    data = bytearray(token_files.frame(1, ids) + token_files.frame(None, b"") + token_files.frame(2, ids, 2))
+    assert [(d, i.tobytes()) for _, _, d, i in token_files.frames(bytes(data))] == [(1, ids), (None, b""), (2, ids)]
     for at in (2, 9, 15, 30):
         bad = data.copy()
         bad[at] ^= 1
