@@ -97,11 +97,19 @@ def paragraph_words(text: str | None, min_words: int) -> Iterator[tuple[int, lis
                 yield no, w
 
 
+def whole_text(text: str | None, min_words: int) -> Iterator[tuple[int, list[str]]]:
+    """(0, words) of the text as one unit, split at white space; texts without a word are copies of each other."""
+    w = (text or "").lower().split() or [""]
+    if len(w) >= min_words:
+        yield 0, w
+
+
 def content_id(words: list[str]) -> bytes:
     return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
 
 
-def paragraphs(docs: DataFrame, ident: str, text: str, min_words: int, words: int, bands: int, rows: int) -> DataFrame:
+def paragraphs(docs: DataFrame, ident: str, text: str, min_words: int, words: int, bands: int, rows: int,
+               units=paragraph_words) -> DataFrame:
     """(doc, para, n_words, pid, keys): every paragraph with its content id and band keys."""
     kind = docs.schema[ident].dataType.simpleString()
     names = ["doc", "para", "n_words", "pid", "keys"]
@@ -113,7 +121,7 @@ def paragraphs(docs: DataFrame, ident: str, text: str, min_words: int, words: in
                 c = b.slice(at, 128)
                 row, para, n, pid, sets = [], [], [], [], []
                 for i, t in enumerate(c.column("t").to_pylist()):
-                    for no, w in paragraph_words(t, min_words):
+                    for no, w in units(t, min_words):
                         row.append(i)
                         para.append(no)
                         n.append(len(w))
@@ -131,12 +139,12 @@ def paragraphs(docs: DataFrame, ident: str, text: str, min_words: int, words: in
         work, f"doc {kind}, para int, n_words int, pid binary, keys array<long>")
 
 
-def _shingle_table(docs: DataFrame, ident: str, text: str, min_words: int, words: int) -> DataFrame:
+def _shingle_table(docs: DataFrame, ident: str, text: str, min_words: int, words: int, units=paragraph_words) -> DataFrame:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher(words, 1, 1)
         for b in batches:
             for t in b.column("t").to_pylist():
-                got = {content_id(w): h.shingles(w) for _, w in paragraph_words(t, min_words)}
+                got = {content_id(w): h.shingles(w) for _, w in units(t, min_words)}
                 if got:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(list(got), pa.binary()), pa.array([s.view(np.int64) for s in got.values()], pa.list_(pa.int64()))],
@@ -162,6 +170,9 @@ def _verify(threshold: float):
                     at = queue.pop()
                     mine, rest = sets[at], []
                     for j in left:
+                        if min(len(mine), len(sets[j])) < threshold * max(len(mine), len(sets[j])) - 1e-9:
+                            rest.append(j)
+                            continue
                         both = len(mine & sets[j])
                         if both >= threshold * (len(mine) + len(sets[j]) - both) - 1e-9:
                             us.append(pids[at])
@@ -177,7 +188,7 @@ def _verify(threshold: float):
 
 
 def repeated_paragraphs(docs: DataFrame, ident: str = "doc_id", text: str = "text", min_words: int = 40,
-                        words: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+                        words: int = 5, threshold: float = 0.8, recall: float = 0.9999, units=paragraph_words) -> DataFrame:
     """(ident, para, n_words, cluster, kept_id, kept_para, removed) for every paragraph that occurs again.
 
     A paragraph is a line; ``para`` counts from 0 within ``text.split('\\n')``.
@@ -186,7 +197,7 @@ def repeated_paragraphs(docs: DataFrame, ident: str = "doc_id", text: str = "tex
     have no paragraphs.  A null ident orders first.  Extra columns are ignored.
     """
     bands, rows = tune_bands(threshold, recall)
-    occ = materialize(paragraphs(docs, ident, text, min_words, words, bands, rows))
+    occ = materialize(paragraphs(docs, ident, text, min_words, words, bands, rows, units))
     first = F.min(F.struct("doc", "para"))
     # in the bands a content is a 64-bit hash, half as wide; its exact id returns with the shingles
     content = materialize(occ.groupBy("pid").agg(first.alias("at"), F.first("keys").alias("keys"))
@@ -202,7 +213,7 @@ def repeated_paragraphs(docs: DataFrame, ident: str = "doc_id", text: str = "tex
     wanted = content.join(met.select("id").distinct(), "id", "left_semi").select("id", "pid", F.col("at.doc").alias("_doc"))
     texts = docs.select(F.col(ident).alias("_id"), F.col(text).alias("t")).join(
         wanted.select("_doc").distinct(), F.col("_id").eqNullSafe(F.col("_doc")), "left_semi")
-    sets = (_shingle_table(texts, "_id", "t", min_words, words).join(wanted.select("id", "pid"), "pid")
+    sets = (_shingle_table(texts, "_id", "t", min_words, words, units).join(wanted.select("id", "pid"), "pid")
             .groupBy("id", "pid").agg(F.first("s").alias("s")))
     cells = split_cells(met.withColumnRenamed("key", "cell"), "cell", "id")
     # the sets join after the members are dealt, so each task gets its own ones once
@@ -231,3 +242,10 @@ def without_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
     joined = docs.join(gone, F.col(ident).eqNullSafe(F.col("_doc")), "left")
     return joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
+
+
+def without_near_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The first document of each group of texts linked by exact Jaccard similarity of their word shingles."""
+    gone = (repeated_paragraphs(docs, ident, text, 1, words, threshold, units=whole_text).filter("removed")
+            .select(F.col(ident).alias("_doc")).distinct())
+    return docs.join(gone, F.col(ident).eqNullSafe(F.col("_doc")), "left_anti")
