@@ -16,6 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keyed(docs: DataFrame, ident: str = "doc_id", text: str = "text", key: str = "_row") -> DataFrame:
+    """The rows with a key that only rows equal in ident and text share, ordered by ident first.
+
+    Where no ident is null or repeated, the ident itself is the key.
+    """
+    ids = docs.groupBy(ident).agg(F.count(F.lit(1)).alias("n"))
+    if ids.filter(F.col(ident).isNull() | (F.col("n") > 1)).limit(1).count():
+        content = F.md5(F.col(text).cast("binary"))         # a null text has a null hash, which no text has
+        return docs.withColumn(key, F.struct(F.col(ident).alias("id"), content.alias("content")))
+    return docs.withColumn(key, F.col(ident))
+
+
 def split_cells(members: DataFrame, cell: str, ident: str, block: int = BLOCK) -> DataFrame:
     """Deal the members of each cell to tasks of bounded size.
 
