@@ -245,7 +245,10 @@ def without_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text",
 
 
 def without_near_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The first document of each group of texts linked by exact Jaccard similarity of their word shingles."""
+    """One row of the first document of each group of texts linked by exact Jaccard similarity of their word shingles.
+
+    ``ident`` has no nulls.  Rows that repeat it hold the same text; they are combined where the join has put them.
+    """
     gone = (repeated_paragraphs(docs, ident, text, 1, words, threshold, units=whole_text).filter("removed")
             .select(F.col(ident).alias("_doc")).distinct())
-    return docs.join(gone, F.col(ident).eqNullSafe(F.col("_doc")), "left_anti")
+    return docs.join(gone, F.col(ident) == F.col("_doc"), "left_anti").dropDuplicates([ident])
