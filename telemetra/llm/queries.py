@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetra.llm import bpe, chat, decontaminate, html_text, langid, licences, paragraphs, simhash, token_files, topk
+from telemetra.llm import bpe, chat, decontaminate, html_text, langid, licences, merkle, paragraphs, simhash, token_files, topk
 from telemetra.llm.common import table
 
 #: Folder of the public tokenizers' module; read where the vocabulary's path is wanted.
@@ -85,6 +85,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest tree of all documents, and a proof of each row; a seventh of the rows is tampered with on the way."""
+    docs = table(spark, sf_dir, "documents")
+    cols = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    told = merkle.leaf_digest(cols)
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    forged = merkle.leaf_digest([*cols[:3], F.col("n_chars") + 1, cols[4]])
+    return merkle.manifest(docs, "doc_id", "lang", told, F.when(hit, forged).otherwise(told))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,7 +103,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_licence_scan, op3_token_files, op4_bpe, op5_html_text, op6_topk, op7_simhash,
-    op8_language_id, op9_chat_format, op10_decontaminate, pipeline)}
+    op8_language_id, op9_chat_format, op10_decontaminate, op13_merkle_manifest, pipeline)}
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
