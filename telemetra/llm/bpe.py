@@ -31,8 +31,9 @@ from telemetra.llm.common import Memo
 LONG = 64
 ROOM = 500_000
 NONE = 1 << 60
-#: Classes of characters: white space, letter or number, symbol, what only str.split takes for space, stop or comma.
-SPACE, WORD, SYMBOL, CONTROL, STOP = 0, 1, 3, 4, 5
+#: Classes of characters: white space, letter or number, symbol, what only str.split takes for space, stop or comma,
+#: and what Python's tables do not know, which the library may have for a letter.
+SPACE, WORD, SYMBOL, CONTROL, STOP, UNKNOWN = 0, 1, 3, 4, 5, 7
 
 
 def byte_symbols() -> list[str]:
@@ -54,7 +55,7 @@ def fold(text: str) -> str:
 @functools.cache
 def classes() -> np.ndarray:
     """The class of every code point."""
-    out = np.array([WORD if unicodedata.category(c)[0] in "LN" else SPACE if c.isspace() else SYMBOL
+    out = np.array([WORD if (k := unicodedata.category(c))[0] in "LN" else SPACE if c.isspace() else UNKNOWN if k == "Cn" else SYMBOL
                     for c in map(chr, range(0x110000))], np.uint8)
     out[0x1C:0x20] = CONTROL
     out[[ord("."), ord(",")]] = STOP
@@ -67,7 +68,7 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
+        model, self.path = spec["model"], path
         self.suffix = model.get("end_of_word_suffix") or ""
         self.ids: dict[str, int] = dict(model["vocab"])
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
@@ -140,18 +141,31 @@ class Vocabulary:
         A chunk holds one piece or several whole ones.  Stops and commas are set
         apart where no other symbol touches them, so that most chunks are plain
         words; other texts are cut by the pattern.  None if the text has control
-        characters that str.split would take for white space.
+        characters that str.split would take for white space, or unknown ones.
         """
         c = fold(text)
         k = classes()[np.frombuffer(c.encode("utf-32-le", "surrogatepass"), "<u4")]
         touch = (np.minimum(k[1:], k[:-1]) >= SYMBOL) & (np.maximum(k[1:], k[:-1]) == STOP)
-        if (k == CONTROL).any():
+        if ((k == CONTROL) | (k == UNKNOWN)).any():
             return None
         return " ".join(self.pieces.findall(c)) if touch.any() else c.replace(".", " . ").replace(",", " , ")
 
-    def split(self, text: str) -> list[str]:
+    @functools.cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def library_pieces(self, text: str) -> list[str]:
+        """The pieces of a text with rare characters, as the library folds and cuts it."""
+        byte = {s: i for i, s in enumerate(self.symbols)}
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(byte[c] for c in p).decode("utf-8") for p, _ in found]
+
+    def encoded(self, text: str, chunk, word) -> Iterator:
+        """``chunk`` of every chunk of a text without special tokens; of rare texts, ``word`` of every piece."""
         s = self.spaced(text)
-        return self.pieces.findall(fold(text)) if s is None else s.split()
+        return map(word, self.library_pieces(text)) if s is None else map(chunk, s.split())
 
     def parts_of(self, text: str) -> Iterator[tuple[bool, str]]:
         """(is special, string) for the special tokens in a text and what lies between them."""
@@ -169,7 +183,7 @@ class Vocabulary:
             if special:
                 out.append(self.special[s])
             else:
-                out.extend(chain.from_iterable(map(self.chunks.__getitem__, self.split(s))))
+                out.extend(chain.from_iterable(self.encoded(s, self.chunks.__getitem__, self.encode_word)))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetra.llm import bpe, chat, decontaminate, html_text, langid, licences, merkle, paragraphs, simhash, spelling, token_files, topk
+from telemetra.llm import bpe, chat, decontaminate, html_text, langid, licences, merkle, packing, paragraphs, simhash, spelling, token_files, topk
 from telemetra.llm.common import table
 
 #: Folder of the public tokenizers' module; read where the vocabulary's path is wanted.
@@ -85,6 +85,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path(), end_id=1)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of all documents, each with its more frequent form one edit away."""
     return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
@@ -108,7 +113,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_licence_scan, op3_token_files, op4_bpe, op5_html_text, op6_topk, op7_simhash,
-    op8_language_id, op9_chat_format, op10_decontaminate, op12_spelling_variants, op13_merkle_manifest, pipeline)}
+    op8_language_id, op9_chat_format, op10_decontaminate, op11_packing, op12_spelling_variants, op13_merkle_manifest, pipeline)}
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 

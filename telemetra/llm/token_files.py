@@ -102,7 +102,7 @@ class Packed:
             if special:
                 out.append(struct.pack("<I", self.rules.special[s]))
             else:
-                out.extend(map(self.chunks.__getitem__, self.rules.split(s)))
+                out.extend(self.rules.encoded(s, self.chunks.__getitem__, self.word))
         return b"".join(out)
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
