@@ -7,7 +7,7 @@ longest first.  Gaps in the windows of a tier are filled from shorter tiers: by
 whole remainders that fit, longest first, then by the beginning of one that is
 cut for it.  A window that still has a gap waits for the next pool of documents;
 at the end of a partition it is cut into lengths that are powers of two, which
-need no padding, down to ``least`` tokens, below which padding is cheaper.
+need no padding, down to ``least`` tokens.
 
 Sequences of a tier form step groups of equal tokens.  Attention costs the square
 of a piece's length, so groups are balanced by it: the costliest sequence goes to
@@ -36,8 +36,8 @@ from telemetra.llm.token_files import CHARS, packed
 TIERS = (256, 512, 1024, 2048)
 #: Tokens packed together; a longer document is a pool by itself.
 POOL = 4_000_000
-#: Shortest sequence that the last windows of a partition are cut to.
-LEAST = 64
+#: Shortest sequence that the last windows of a partition are cut to; what is shorter is padded to the longest tier.
+LEAST = 1
 #: Tokens of a training step.
 STEP = 1 << 17
 #: Bits of a sequence number below the number of its partition.
