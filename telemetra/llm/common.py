@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that the table does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def keyed(docs: DataFrame, ident: str = "doc_id", text: str = "text", key: str = "_row") -> DataFrame:
     """The rows with a key that only rows equal in ident and text share, ordered by ident first.
 

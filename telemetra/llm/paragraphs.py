@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemetra.llm.common import Memo, run_bounds, runs, split_cells
+from telemetra.llm.common import Memo, fresh, run_bounds, runs, split_cells
+from telemetra.llm import passages
 from telemetra.llm.components import connected_components
 from telemetra.session import materialize
 
@@ -31,6 +32,10 @@ CHUNK = 1 << 15
 WORD_ROOM = 300_000
 
 
+#: Share of line pairs at the threshold that meet in a band.
+LINE_RECALL = 0.98
+
+
 def tune_bands(threshold: float = 0.8, recall: float = 0.9999, most: int = 128) -> tuple[int, int]:
     """(bands, rows): the longest bands that reach the recall at the threshold with ``most`` values."""
     best = (most, 1)
@@ -234,14 +239,38 @@ def repeated_paragraphs(docs: DataFrame, ident: str = "doc_id", text: str = "tex
                       (~(F.col("doc").eqNullSafe(F.col("keep.doc")) & (F.col("para") == F.col("keep.para")))).alias("removed"))
 
 
+def repeated_passages(docs: DataFrame, ident: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """All repeated text: lines, as in ``repeated_paragraphs``, and spans of words, as in ``passages.repeated_spans``.
+
+    Columns of both; lines have no start, spans have neither para nor cluster and are always removed.
+    """
+    kind = docs.schema[ident].dataType.simpleString()
+    lines = repeated_paragraphs(docs, ident, text, **{"recall": LINE_RECALL, **how})
+    lines = lines.withColumn("start", F.lit(None).cast("long")).withColumn("kept_start", F.lit(None).cast("long"))
+    spans = (passages.repeated_spans(docs, ident, text).withColumn("n_words", F.col("n_words").cast("int"))
+             .withColumn("removed", F.lit(True)).withColumn("kept_id", F.col("kept_id").cast(kind)))
+    return lines.unionByName(spans, allowMissingColumns=True)
+
+
 def without_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The documents without the paragraphs that occur earlier; columns as before."""
-    gone = (repeated_paragraphs(docs, ident, text, **how).filter("removed")
-            .groupBy(F.col(ident).alias("_doc")).agg(F.collect_set("para").alias("_gone")))
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    joined = docs.join(gone, F.col(ident).eqNullSafe(F.col("_doc")), "left")
-    return joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
+    """The documents without the passages that occur earlier; columns as before."""
+    rows = repeated_passages(docs, ident, text, **how).filter("removed")
+    key, lines, spans = (fresh(docs, x) for x in ("_doc", "_lines", "_spans"))
+    span = F.when(F.col("start").isNotNull(), F.struct("start", F.col("n_words").cast("long").alias("n")))
+    gone = rows.groupBy(F.col(ident).alias(key)).agg(F.collect_set("para").alias(lines), F.collect_set(span).alias(spans))
+    joined = docs.join(gone, F.col(ident).eqNullSafe(F.col(key)), "left")
+    at, names = docs.columns.index(text), docs.columns
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told = b.column(at).to_pylist()
+            for i in b.column(lines).is_valid().to_numpy(zero_copy_only=False).nonzero()[0].tolist():
+                if told[i] is not None:
+                    told[i] = passages.cut_text(told[i], b.column(lines)[i].as_py(), [(x["start"], x["n"]) for x in b.column(spans)[i].as_py()])
+            cols = [pa.array(told, b.column(at).type) if j == at else b.column(j) for j in range(len(names))]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return joined.mapInArrow(work, docs.schema)
 
 
 def without_near_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -249,6 +278,7 @@ def without_near_copies(docs: DataFrame, ident: str = "doc_id", text: str = "tex
 
     ``ident`` has no nulls.  Rows that repeat it hold the same text; they are combined where the join has put them.
     """
+    key = fresh(docs, "_doc")
     gone = (repeated_paragraphs(docs, ident, text, 1, words, threshold, units=whole_text).filter("removed")
-            .select(F.col(ident).alias("_doc")).distinct())
-    return docs.join(gone, F.col(ident) == F.col("_doc"), "left_anti").dropDuplicates([ident])
+            .select(F.col(ident).alias(key)).distinct())
+    return docs.join(gone, F.col(ident) == F.col(key), "left_anti").dropDuplicates([ident])

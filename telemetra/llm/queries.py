@@ -21,8 +21,8 @@ def vocabulary_path(name: str = "word_bpe_49k.json", folder: str = TOKENIZERS) -
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every paragraph of 40 words or more that occurs again in the documents, exactly or nearly."""
-    return (paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    """Every passage that occurs again in the documents: lines of 40 words or more, exactly or nearly, and spans of words."""
+    return (paragraphs.repeated_passages(table(spark, sf_dir, "documents"))
             .withColumnRenamed("kept_id", "kept_doc_id"))
 
 
