@@ -56,11 +56,16 @@ class Hasher:
         self.a = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1)
         self.b = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
         self.mix = rng.integers(1, 1 << 63, words, dtype=np.uint64) | np.uint64(1)
-        self.word = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), WORD_ROOM)
+        self.word = Memo(lambda w: xxhash.xxh64_intdigest(w.lower().encode("utf-8", "surrogatepass")), WORD_ROOM)
 
     def shingles(self, words: list[str]) -> np.ndarray:
         """Distinct shingle hashes, sorted; fewer than k words are one shingle."""
-        w = np.array([self.word[x] for x in words], np.uint64)
+        return self.shingles_of(self.hashes(words))
+
+    def hashes(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.word.__getitem__, words), np.uint64, len(words))
+
+    def shingles_of(self, w: np.ndarray) -> np.ndarray:
         if not len(w):
             return w
         k = min(self.k, len(w))
@@ -71,22 +76,35 @@ class Hasher:
             h ^= h >> np.uint64(29)
         return np.unique(h)
 
-    def signatures(self, sets: list[np.ndarray]) -> np.ndarray:
-        """One band key per set and band."""
-        out = np.full((len(sets), self.bands * self.rows), np.iinfo(np.uint64).max, np.uint64)
-        first = 0
-        while first < len(sets):                      # sets of about CHUNK shingles together
-            last, total = first + 1, len(sets[first])
-            while last < len(sets) and total + len(sets[last]) <= CHUNK:
-                total += len(sets[last])
-                last += 1
-            flat = np.concatenate(sets[first:last])
-            starts = np.cumsum([0, *[len(s) for s in sets[first:last - 1]]])
+    def shingles_of_all(self, units: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Shingle hashes of all units, given as hashes of words, one after another; and where each unit's start."""
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        if size.min() < self.k:                       # short units are one shingle
+            sets = [self.shingles_of(u) for u in units]
+            return np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
+        w = np.concatenate(units)
+        n, end = len(w) - self.k + 1, np.cumsum(size)
+        h = np.zeros(n, np.uint64)
+        for j in range(self.k):
+            h = (h ^ (w[j:j + n] * self.mix[j])) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        inside = np.ones(len(w), bool)
+        for j in range(1, self.k):
+            inside[end - j] = False
+        return h[inside[:n]], np.concatenate([[0], np.cumsum(size - self.k + 1)[:-1]])
+
+    def signatures(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """One band key per set and band; ``flat`` holds the sets one after another."""
+        out = np.full((len(starts), self.bands * self.rows), np.iinfo(np.uint64).max, np.uint64)
+        first, ends = 0, np.append(starts[1:], len(flat))
+        while first < len(starts):                    # sets of about CHUNK shingles together
+            last = max(first + 1, int(np.searchsorted(ends, starts[first] + CHUNK, "right")))
+            part, at = flat[starts[first]:ends[last - 1]], starts[first:last] - starts[first]
             for i in range(len(self.a)):
-                x = flat * self.a[i] + self.b[i]
-                out[first:last, i] = np.minimum.reduceat(x >> np.uint64(16), starts)
+                x = part * self.a[i] + self.b[i]
+                out[first:last, i] = np.minimum.reduceat(x >> np.uint64(16), at)
             first = last
-        keys = np.zeros((len(sets), self.bands), np.uint64)
+        keys = np.zeros((len(starts), self.bands), np.uint64)
         for r in range(self.rows):
             keys = (keys ^ out[:, r::self.rows]) * np.uint64(0xC2B2AE3D27D4EB4F)
             keys ^= keys >> np.uint64(31)
@@ -97,7 +115,7 @@ def paragraph_words(text: str | None, min_words: int) -> Iterator[tuple[int, lis
     """(number, words) of every line of the text with at least ``min_words`` words."""
     for no, line in enumerate((text or "").split("\n")):
         if len(line) >= 2 * min_words - 1:
-            w = WORD.findall(line.lower())
+            w = WORD.findall(line)
             if len(w) >= min_words:
                 yield no, w
 
@@ -110,7 +128,8 @@ def whole_text(text: str | None, min_words: int) -> Iterator[tuple[int, list[str
 
 
 def content_id(words: list[str]) -> bytes:
-    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+    """Of the words in lower case."""
+    return xxhash.xxh3_128_digest(" ".join(words).lower().encode("utf-8", "surrogatepass"))
 
 
 def paragraphs(docs: DataFrame, ident: str, text: str, min_words: int, words: int, bands: int, rows: int,
@@ -124,17 +143,17 @@ def paragraphs(docs: DataFrame, ident: str, text: str, min_words: int, words: in
         for b in batches:
             for at in range(0, b.num_rows, 128):
                 c = b.slice(at, 128)
-                row, para, n, pid, sets = [], [], [], [], []
+                row, para, n, pid, held = [], [], [], [], []
                 for i, t in enumerate(c.column("t").to_pylist()):
                     for no, w in units(t, min_words):
                         row.append(i)
                         para.append(no)
                         n.append(len(w))
                         pid.append(content_id(w))
-                        sets.append(h.shingles(w))
+                        held.append(h.hashes(w))
                 if not row:
                     continue
-                keys = h.signatures(sets).view(np.int64)
+                keys = h.signatures(*h.shingles_of_all(held)).view(np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [c.column("i").take(pa.array(row)), pa.array(para, pa.int32()), pa.array(n, pa.int32()),
@@ -144,6 +163,47 @@ def paragraphs(docs: DataFrame, ident: str, text: str, min_words: int, words: in
         work, f"doc {kind}, para int, n_words int, pid binary, keys array<long>")
 
 
+def paragraphs_and_windows(docs: DataFrame, ident: str, text: str, min_words: int, words: int, bands: int, rows: int) -> DataFrame:
+    """The rows of ``paragraphs`` (with a pid) and one row with all windows of each text (lists at, id, more), from one reading."""
+    kind = docs.schema[ident].dataType.simpleString()
+    longs = pa.list_(pa.int64())
+    names = ["doc", "para", "n_words", "pid", "keys", "at", "id", "more"]
+    kinds = [None, pa.int32(), pa.int32(), pa.binary(), longs, longs, longs, longs]
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, cut = Hasher(words, bands, rows), passages.Windows()
+        for b in batches:
+            for at in range(0, b.num_rows, 128):
+                c = b.slice(at, 128)
+                row, para, n, pid, held, found = [], [], [], [], [], []
+                for i, t in enumerate(c.column("t").to_pylist()):
+                    lines = [WORD.findall(x) for x in (t or "").split("\n")]
+                    w = h.hashes([x for line in lines for x in line])
+                    found.append(cut(w))
+                    start = 0
+                    for no, line in enumerate(lines):
+                        if len(line) >= min_words:
+                            row.append(i)
+                            para.append(no)
+                            n.append(len(line))
+                            pid.append(content_id(line))
+                            held.append(w[start:start + len(line)])
+                        start += len(line)
+                if row:
+                    keys = h.signatures(*h.shingles_of_all(held)).view(np.int64)
+                    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
+                    yield pa.RecordBatch.from_arrays(
+                        [c.column("i").take(pa.array(row)), pa.array(para, pa.int32()), pa.array(n, pa.int32()),
+                         pa.array(pid, pa.binary()), flat, *[pa.nulls(len(row), longs)] * 3], names)
+                ends = pa.array(np.cumsum([0, *[len(x[0]) for x in found]]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in zip(*found)]
+                yield pa.RecordBatch.from_arrays(
+                    [c.column("i"), *[pa.nulls(len(found), k) for k in kinds[1:5]], *lists], names)
+
+    return docs.select(F.col(ident).alias("i"), F.col(text).alias("t")).mapInArrow(
+        work, f"doc {kind}, para int, n_words int, pid binary, keys array<long>, at array<long>, id array<long>, more array<long>")
+
+
 def _shingle_table(docs: DataFrame, ident: str, text: str, min_words: int, words: int, units=paragraph_words) -> DataFrame:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher(words, 1, 1)
@@ -193,16 +253,18 @@ def _verify(threshold: float):
 
 
 def repeated_paragraphs(docs: DataFrame, ident: str = "doc_id", text: str = "text", min_words: int = 40,
-                        words: int = 5, threshold: float = 0.8, recall: float = 0.9999, units=paragraph_words) -> DataFrame:
+                        words: int = 5, threshold: float = 0.8, recall: float = 0.9999, units=paragraph_words,
+                        found: DataFrame | None = None) -> DataFrame:
     """(ident, para, n_words, cluster, kept_id, kept_para, removed) for every paragraph that occurs again.
 
     A paragraph is a line; ``para`` counts from 0 within ``text.split('\\n')``.
     Lines of fewer than ``min_words`` words take no part, so short stock phrases
     stay.  Rows that repeat an ident and its text are one document.  Null texts
     have no paragraphs.  A null ident orders first.  Extra columns are ignored.
+    ``found`` gives the rows of ``paragraphs`` where they are stored already.
     """
     bands, rows = tune_bands(threshold, recall)
-    occ = materialize(paragraphs(docs, ident, text, min_words, words, bands, rows, units))
+    occ = materialize(paragraphs(docs, ident, text, min_words, words, bands, rows, units)) if found is None else found
     first = F.min(F.struct("doc", "para"))
     # in the bands a content is a 64-bit hash, half as wide; its exact id returns with the shingles
     content = materialize(occ.groupBy("pid").agg(first.alias("at"), F.first("keys").alias("keys"))
@@ -239,15 +301,20 @@ def repeated_paragraphs(docs: DataFrame, ident: str = "doc_id", text: str = "tex
                       (~(F.col("doc").eqNullSafe(F.col("keep.doc")) & (F.col("para") == F.col("keep.para")))).alias("removed"))
 
 
-def repeated_passages(docs: DataFrame, ident: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def repeated_passages(docs: DataFrame, ident: str = "doc_id", text: str = "text", min_words: int = 40, words: int = 5,
+                      threshold: float = 0.8, recall: float = LINE_RECALL) -> DataFrame:
     """All repeated text: lines, as in ``repeated_paragraphs``, and spans of words, as in ``passages.repeated_spans``.
 
     Columns of both; lines have no start, spans have neither para nor cluster and are always removed.
     """
     kind = docs.schema[ident].dataType.simpleString()
-    lines = repeated_paragraphs(docs, ident, text, **{"recall": LINE_RECALL, **how})
+    bands, rows = tune_bands(threshold, recall)
+    found = materialize(paragraphs_and_windows(docs, ident, text, min_words, words, bands, rows))
+    units = found.filter("pid is not null").select("doc", "para", "n_words", "pid", "keys")
+    lines = repeated_paragraphs(docs, ident, text, min_words, words, threshold, recall, found=units)
     lines = lines.withColumn("start", F.lit(None).cast("long")).withColumn("kept_start", F.lit(None).cast("long"))
-    spans = (passages.repeated_spans(docs, ident, text).withColumn("n_words", F.col("n_words").cast("int"))
+    windows = found.filter("at is not null").select("doc", F.explode(F.arrays_zip("at", "id", "more")).alias("w")).select("doc", "w.*")
+    spans = (passages.repeated_spans(docs, ident, text, found=windows).withColumn("n_words", F.col("n_words").cast("int"))
              .withColumn("removed", F.lit(True)).withColumn("kept_id", F.col("kept_id").cast(kind)))
     return lines.unionByName(spans, allowMissingColumns=True)
 

@@ -35,10 +35,9 @@ _BASE, _OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 class Windows:
-    """(first word, hash, second hash) of each window of a text."""
+    """(first word, hash, second hash) of each window of a text, from the hashes of its words."""
 
     def __init__(self):
-        self.word = Memo(lambda w: xxhash.xxh64_intdigest(w.lower().encode("utf-8", "surrogatepass")), WORD_ROOM)
         self.grow(1 << 12)
 
     def grow(self, n: int) -> None:
@@ -48,15 +47,12 @@ class Windows:
         self.up = [powers(_BASE), powers(_OTHER)]
         self.down = [powers(pow(_BASE, -1, 1 << 64)), powers(pow(_OTHER, -1, 1 << 64))]
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        words = WORD.findall(text or "")
-        n = len(words)
+    def __call__(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(w)
         if n < 2 * HALF:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if n >= len(self.up[0]):
             self.grow(2 * n)
-        get = self.word.__getitem__
-        w = np.fromiter(map(get, words), np.uint64, n)
         c = (w[:-1] * np.uint64(_OTHER)) ^ (w[1:] * np.uint64(_BASE))
         c = (c ^ (c >> np.uint64(29))) * np.uint64(_OTHER)
         least = np.ones(n - 1, bool)
@@ -80,10 +76,15 @@ def windows(docs: DataFrame, ident: str, text: str) -> DataFrame:
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Windows()
+        word = Memo(lambda w: xxhash.xxh64_intdigest(w.lower().encode("utf-8", "surrogatepass")), WORD_ROOM).__getitem__
+
+        def hashes(t: str | None) -> np.ndarray:
+            return np.fromiter(map(word, WORD.findall(t or "")), np.uint64)
+
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                got = [cut(t) for t in part.column("t").to_pylist()]
+                got = [cut(hashes(t)) for t in part.column("t").to_pylist()]
                 row = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
                 if len(row):
                     cols = [pa.array(np.concatenate(c)) for c in zip(*got)]
@@ -107,19 +108,21 @@ def spans_of(found: list[dict], least: int) -> list[tuple[int, int, object, int]
     return [(s[0], s[1], s[2], s[3]) for s in out if s[1] - s[0] >= least]
 
 
-def repeated_spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+def repeated_spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: int = LEAST,
+                   found: DataFrame | None = None) -> DataFrame:
     """(ident, start, n_words, kept_id, kept_start) of every span of words that occurs earlier.
 
     Places count words ``\\w+`` of the text from 0.  Null texts and texts of fewer than a window's words have no spans;
     rows that repeat an ident and its text are one document; a null ident orders first; extra columns are ignored.
+    ``found`` gives the rows of ``windows`` where they are stored already.
     """
-    every = materialize(windows(docs, ident, text))
+    every = materialize(windows(docs, ident, text)) if found is None else found
     again = (every.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at", "more")).alias("k"))
              .filter("n > 1").select("id", "k"))
     earlier = ~(F.col("doc").eqNullSafe(F.col("k.doc")) & (F.col("at") == F.col("k.at")))
-    found = (every.join(again, "id").filter((F.col("more") == F.col("k.more")) & earlier)
+    later = (every.join(again, "id").filter((F.col("more") == F.col("k.more")) & earlier)
              .select("doc", "at", F.col("k.doc").alias("kdoc"), F.col("k.at").alias("kat")))
-    by_doc = found.groupBy("doc").agg(F.collect_set(F.struct("at", "kdoc", "kat")).alias("found"))
+    by_doc = later.groupBy("doc").agg(F.collect_set(F.struct("at", "kdoc", "kat")).alias("found"))
     kind = docs.schema[ident].dataType.simpleString()
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
