@@ -2,8 +2,8 @@
 
 Up to about a dozen features the correlations are covariance aggregates in one
 ``groupBy``: partial aggregation reduces each window to a few numbers before the
-shuffle.  For wider vectors numpy computes one window at a time in Arrow groups
-of a fixed row count, and the baseline is summed from per-partition moments.
+shuffle.  More columns go by ``comoments``, many windows to a batch; the baseline
+of a vector table is summed from per-partition moments.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemetra.functions.numeric import total
+from telemetra.operators import comoments
+from telemetra.operators.ordering import join_null_safe
 from telemetra.operators.windows import with_preceding
 
 FLAT = 1e-12  # deviation at or below which a column counts as constant
@@ -88,9 +90,21 @@ def row_scores(df: DataFrame, keys: Sequence[str], features: Sequence[str],
     A one-row remainder takes the score of the window before it in the same
     block; a block of one row gets 0.
     """
-    w = with_preceding(window_scores(df, keys, features, base), keys, {"divergence": "_before"})
+    return attach_scores(df, window_scores(df, keys, features, base), keys, name)
+
+
+def wide_row_scores(df: DataFrame, keys: Sequence[str], features: Sequence[str], base: np.ndarray,
+                    name: str = "graph_frob_div") -> DataFrame:
+    """The same for many columns, against a baseline matrix; a window's rows with a missing value are left out of it."""
+    got = comoments.divergences(df, [*keys, "win"], comoments.vector(features), base)
+    every = join_null_safe(df.select(*keys, "win").distinct(), got, [*keys, "win"], "left")
+    return attach_scores(df, every, keys, name)
+
+
+def attach_scores(df: DataFrame, scored: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    w = with_preceding(scored, keys, {"divergence": "_before"})
     scores = w.select(*keys, "win", F.coalesce("divergence", "_before", F.lit(0.0)).alias(name))
-    return df.join(scores, [*keys, "win"])
+    return join_null_safe(df, scores, [*keys, "win"])
 
 
 def edges(wide: DataFrame, keys: Sequence[str], features: Sequence[str], cut: float = 0.6) -> DataFrame:
@@ -145,10 +159,6 @@ def wide_baseline(df: DataFrame, col: str, dim: int) -> np.ndarray:
 
 
 def wide_window_scores(df: DataFrame, col: str, base: np.ndarray) -> DataFrame:
-    """Divergence of each window of a vector table; windows have a fixed row count."""
-    def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf[col].to_numpy()).astype(float)
-        v = float(np.linalg.norm(matrix(x) - base)) if len(x) >= 2 else 0.0
-        return pd.DataFrame({"win": [key[0]], "n": [len(x)], "divergence": [v]})
-
-    return df.select("win", col).groupBy("win").applyInPandas(score, "win long, n long, divergence double")
+    """Divergence of each window of a vector table; a window of one row has 0."""
+    got = comoments.divergences(df, ["win"], F.col(col), base)
+    return got.withColumn("divergence", F.coalesce("divergence", F.lit(0.0)))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from telemetra.operators.ordering import join_null_safe
 from telemetra.functions.numeric import ratio
 from telemetra.functions.student import t_quantile
 
@@ -53,7 +54,7 @@ def summary_wide(long: DataFrame, metrics: Sequence[str]) -> DataFrame:
     seeds = long.groupBy(*CELL).agg(F.count_distinct("seed").alias("n_seeds"))
     wide = s.groupBy(*CELL).pivot("metric", list(metrics)).agg(
         *[F.first(c).alias(c) for c in ("mean", "std", "ci_low", "ci_high", "n")])
-    return seeds.join(wide, CELL)
+    return join_null_safe(seeds, wide, CELL)
 
 
 def paired(long: DataFrame, target: str, baselines: Sequence[str]) -> DataFrame:
@@ -62,7 +63,7 @@ def paired(long: DataFrame, target: str, baselines: Sequence[str]) -> DataFrame:
     left = long.filter(F.col("method") == target).select(*k, F.col("value").alias("proposed"))
     right = long.filter(F.col("method").isin(list(baselines))).select(
         *k, F.col("method").alias("baseline_method"), F.col("value").alias("baseline"))
-    return left.join(right, k)
+    return join_null_safe(left, right, k)
 
 
 def signed_rank(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -83,7 +84,7 @@ def signed_rank(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     t = F.col("t")
     w = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("pos")).alias("w_plus"),
                                   F.sum(t * t * t - t).alias("ties"))
-    out = alln.join(w, list(keys), "left")
+    out = join_null_safe(alln, w, keys, "left")
     return out.withColumns({
         "w_plus": F.when(F.col("_max") <= 1e-8, 0.0).otherwise(F.coalesce("w_plus", F.lit(0.0))),
         "ties": F.coalesce("ties", F.lit(0)), "all_zero": F.col("_max") <= 1e-8,

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telemetra.operators.ordering import join_null_safe
 from telemetra.session import materialize
 
 #: (rows of one chunk in order, state before) -> (output columns, state after)
@@ -90,16 +91,15 @@ def chunked_scan(df: DataFrame, stream: Sequence[str], ordinal: str, step: Step,
         ends = materialize(run(data, states, state_ddl, end))
         while True:
             nxt = ends.select(*stream, (F.col("_chunk") + 1).alias("_chunk"), F.col("_out").alias("_new"))
-            joined = states.join(nxt, keys, "left").withColumn("_new", F.coalesce("_new", start))
+            joined = join_null_safe(states, nxt, keys, "left").withColumn("_new", F.coalesce("_new", start))
             moved = materialize(joined.filter(_differs("_in", "_new", tol))
                                 .select(*keys, F.col("_new").alias("_in")))
-            states = materialize(states.join(moved.select(*keys), keys, "left_anti")
-                                 .unionByName(moved))
+            states = materialize(join_null_safe(states, moved.select(*keys), keys, "left_anti").unionByName(moved))
             if not moved.take(1):
                 break
-            todo = data.join(moved.select(*keys), keys, "left_semi")
+            todo = join_null_safe(data, moved.select(*keys), keys, "left_semi")
             again = run(todo, moved, state_ddl, end)
-            ends = materialize(ends.join(moved.select(*keys), keys, "left_anti").unionByName(again))
+            ends = materialize(join_null_safe(ends, moved.select(*keys), keys, "left_anti").unionByName(again))
     if end_state:
         ends = run(data, states, state_ddl, end) if ends is None else ends
         return (ends.groupBy(*stream).agg(F.max_by("_out", "_chunk").alias("state")) if stream

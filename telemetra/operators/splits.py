@@ -162,7 +162,7 @@ def deal_groups(df: DataFrame, policy: SplitPolicy, group: str) -> DataFrame:
 
 def attach(df: DataFrame, assignment: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Bring the split to the rows; adaptive execution broadcasts a small table."""
-    return df.join(assignment.select(*keys, "split"), list(keys))
+    return join_null_safe(df, assignment.select(*keys, "split"), keys)
 
 
 def assign_scenarios(df: DataFrame, sides: dict[str, str], scenario: str = "scenario") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from telemetra.operators.ordering import join_null_safe
 from telemetra.functions.numeric import ratio
 from telemetra.operators.metrics import curve_of, curve_totals, score_counts
 
@@ -152,7 +153,7 @@ def window_thresholds(df: DataFrame, keys: Sequence[str], size: int, keep_partia
            ("fn", (F.col("y") == 1) & (F.col("p") < g["threshold"])))])
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     fallback = ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
-    w = local.join(at_global, list(keys)).select(
+    w = join_null_safe(local, at_global, keys).select(
         *keys, "n", F.when(both, F.col("threshold")).otherwise(F.lit(g["threshold"])).alias("threshold"),
         F.when(both, F.col("f1")).otherwise(fallback).alias("f1"), both.alias("local"))
     return (w if keep_partial else w.filter(F.col("n") == size)), g

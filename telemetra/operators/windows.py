@@ -81,7 +81,7 @@ def with_preceding(windows: DataFrame, keys: Sequence[str], cols: dict[str, str]
     """
     before = windows.select(*keys, (F.col(ordinal) + 1).alias(ordinal),
                             *[F.col(s).alias(d) for s, d in cols.items()])
-    return windows.join(before, [*keys, ordinal], "left")
+    return join_null_safe(windows, before, [*keys, ordinal], "left")
 
 
 def block_ordinals(windows: DataFrame, block: str, within: Sequence[str] = ()) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from telemetra.operators.ordering import join_null_safe
 from telemetra.operators import checks
 from telemetra.operators.features import CLOCK_SUFFIXES, numeric_features
 from telemetra.plans.registry import query
@@ -46,7 +47,7 @@ def data_quality_report(spark, d):
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("y"), F.min("ts").alias("a"), F.max("ts").alias("b")))
     one = F.count(F.lit(1))
     blocks = per.groupBy("block").agg((F.unix_micros(F.max("b")) - F.unix_micros(F.min("a"))).alias("span"))
-    dealt_rows = per.join(a.select("block", "split"), "block")
+    dealt_rows = join_null_safe(per, a.select("block", "split"), ["block"])
     scen = dealt_rows.groupBy("event_type").agg(F.count_distinct("split").alias("k"))
     rates = dealt_rows.groupBy("split").agg((F.sum("y") / F.sum("n")).alias("rate"))
     clocks = [c for c in numeric_features(e.schema) if c.endswith(CLOCK_SUFFIXES)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from telemetra.functions.numeric import ratio
 from telemetra.operators import attribution as at
 from telemetra.operators import windows
-from telemetra.operators.ordering import add_slices, with_position
+from telemetra.operators.ordering import add_slices, join_null_safe, with_position
 from telemetra.plans import windows as wq
 from telemetra.plans.graph import KEYS
 from telemetra.plans.registry import frac, query, r6
@@ -143,7 +143,7 @@ def drift_feature(spark, d):
     """The window's flag on each of its rows; a block's remainder carries the last one."""
     s = shifts(spark, d).select(*KEYS, "win", "flag").withColumn("n", F.lit(N))
     f = windows.carry_values(s, KEYS, N, "flag")
-    return fx.li_windows(spark, d).join(f, [*KEYS, "win"], "left").select(
+    return join_null_safe(fx.li_windows(spark, d), f, [*KEYS, "win"], "left").select(
         *_ROWKEY, F.col("flag").alias("drift_flag"))
 
 
@@ -189,7 +189,7 @@ def fast_drift(spark, d):
     q = fx.li_windows(spark, d, 100)
     s = at.sampled(q, [*KEYS, "win"], 50, 42, ["pos"])
     full = q.groupBy(*KEYS, "win").agg(F.count(F.lit(1)).alias("size")).filter("size = 100").drop("size")
-    w = at.window_importance(s, [*KEYS, "win"], m).join(full, [*KEYS, "win"], "left_semi")
+    w = join_null_safe(at.window_importance(s, [*KEYS, "win"], m), full, [*KEYS, "win"], "left_semi")
     t = at.tau_vs_reference(at.with_ranks(w, FEATS), FEATS, ref, nan_tau=0.0)
     return t.select(*KEYS, "win", (F.round("tau", 6) + 0.0).alias("tau"), "drift")
 

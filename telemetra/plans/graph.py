@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from telemetra.operators import comoments, thresholds, windows
 from telemetra.operators import correlation as co
-from telemetra.operators import thresholds, windows
 from telemetra.operators.ordering import with_position
 from telemetra.plans.registry import query, r6
 from telemetra.sources import fixtures as fx
@@ -141,3 +141,39 @@ def wide_window_divergence(spark, d):
     e = fx.emb(spark, d)
     base = co.wide_baseline(e.filter("label <> 0"), "embedding", 64)
     return co.wide_window_scores(e, "embedding", base).withColumn("divergence", F.round("divergence", 4))
+
+
+@query("wide_correlation", f"""with p as (
+  select *, (row_number() over (order by vec_id) - 1) // 50 as win from embeddings),
+e as (select vec_id, win, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as i from p)
+select a.win, cast(a.i as int) as i, cast(b.i as int) as j,
+       {r6('case when stddev_samp(a.x) > 1e-12 and stddev_samp(b.x) > 1e-12 then corr(a.x, b.x) else 0.0 end')} as r
+from e a join e b on a.vec_id = b.vec_id and a.i < b.i group by a.win, a.i, b.i having count(*) >= 2""")
+def wide_correlation(spark, d):
+    """The 2,016 correlations of 64 columns in every window of vectors."""
+    r = comoments.correlations(fx.emb(spark, d), ["win"], F.col("embedding"), 64).filter("n >= 2")
+    return comoments.long_form(r, ["win"], list(range(64))).withColumn("r", F.round("r", 6) + 0.0)
+
+
+#: Columns of the wide shipment view: residues of sums of its keys, so that both engines agree to the bit.
+_WIDE = {f"g{k}": f"(l_orderkey * {3 * k + 1} + l_partkey * {5 * k + 2} + l_suppkey * {k * k + 7} + l_linenumber * {11 * k + 3}) % {17 + 6 * k}"
+         for k in range(38)}
+_WIDE_KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+
+
+@query("wide_graph_feature", f"""with {fx.LIW_SQL}, v as (
+  select *, {', '.join(f'cast({e} as double) as {k}' for k, e in _WIDE.items())} from liw),
+base as (select {corr_sql(list(_WIDE))} from v where attack = 0 and split = 'train'),
+wc as (select stream, block, win, count(*) as n, {corr_sql(list(_WIDE))} from v group by stream, block, win),
+sc as (select stream, block, win, n, case when n >= 2 then {frob_sql(list(_WIDE))} end as div from wc, base),
+t as (select a.*, coalesce(a.div, b.div, 0.0) as score from sc a
+      left join sc b on b.stream = a.stream and b.block = a.block and b.win = a.win - 1)
+select {_WIDE_KEYS}, {r6('score')} as graph_frob_div from v join t using (stream, block, win)""")
+def wide_graph_feature(spark, d):
+    """Divergence of 38 columns per window, on every row."""
+    x = fx.li_windows(spark, d)
+    x = x.select("*", *[F.expr(e).cast("double").alias(k) for k, e in _WIDE.items()])
+    names = list(_WIDE)
+    base = comoments.baseline(x.filter("attack = 0 and split = 'train'"), comoments.vector(names), len(names))
+    return co.wide_row_scores(x, KEYS, names, base).select(
+        *_WIDE_KEYS.split(", "), F.round("graph_frob_div", 6).alias("graph_frob_div"))

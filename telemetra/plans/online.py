@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from telemetra.operators import correlation as co
 from telemetra.operators import online, windows
-from telemetra.operators.ordering import add_slices, with_position
+from telemetra.operators.ordering import add_slices, join_null_safe, with_position
 from telemetra.plans.graph import KEYS, corr_sql, frob_sql
 from telemetra.plans.registry import query, r6
 from telemetra.session import materialize
@@ -110,7 +110,7 @@ def change_detection(spark, d):
     fit = w.filter((F.col("n_pos") == 0) & (F.col("is_train") == 1) & (F.col("n") >= 2))
     det = online.calibrate(fit, "divergence", allow_empty=True)
     a = online.cusum_alarms(w, ["stream"], "ord", "divergence", det)
-    return w.join(a, ["stream", "ord"]).select(
+    return join_null_safe(w, a, ["stream", "ord"]).select(
         *KEYS, "win", "n", "start_us", "end_us", F.round(F.col("n_pos") / F.col("n"), 6).alias("attack_fraction"),
         F.round("divergence", 6).alias("divergence"), (F.round("z", 6) + 0.0).alias("z"), "alarm")
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from telemetra.operators import attribution as at
 from telemetra.operators import correlation as co
 from telemetra.operators import cleaning, features, metrics, models, online, thresholds, windows
-from telemetra.operators.ordering import add_slices, with_position
+from telemetra.operators.ordering import add_slices, join_null_safe, with_position
 from telemetra.session import materialize, shared_path
 from telemetra.sources import tables
 
@@ -148,18 +148,18 @@ def extension_method(src: Source, config: models.TreeConfig) -> dict:
     test = scored.filter("split = 'test'")
     tw = numbered(test.select(*KEYS, "win").distinct()).withColumn("slot", F.pmod("ord", F.lit(n)))
     tw = tw.join(slots.select(F.col("ord").alias("slot"), "threshold"), "slot").select(*KEYS, "win", "threshold")
-    pred = test.join(tw, [*KEYS, "win"]).select(
+    pred = join_null_safe(test, tw, [*KEYS, "win"]).select(
         F.col("label").alias("y"), "p", F.when(F.col("p") >= F.col("threshold"), 1).otherwise(0).alias("pred"))
     return {"model": m, "source": ext, "scored": scored, "thresholds": learned, "global": g, "pred": pred}
 
 
 def numbered(df: DataFrame) -> DataFrame:
     """Global number of each window in (stream, block, win) order."""
-    w = df.withColumn("_k", F.concat_ws("#", "stream", F.format_string("%012d", F.col("block").cast("long"))))
-    per = w.groupBy("_k").agg(F.count(F.lit(1)).alias("n"))
-    before = W.partitionBy(F.lit(0)).orderBy("_k").rowsBetween(W.unboundedPreceding, -1)
-    first = per.select("_k", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
-    return w.join(first, "_k").withColumn("ord", F.col("_first") + F.col("win")).drop("_k", "_first")
+    per = df.groupBy("stream", "block").agg(F.count(F.lit(1)).alias("n"))
+    # one row per block
+    before = W.partitionBy(F.lit(0)).orderBy("stream", "block").rowsBetween(W.unboundedPreceding, -1)
+    first = per.select("stream", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
+    return join_null_safe(df, first, ["stream", "block"]).withColumn("ord", F.col("_first") + F.col("win")).drop("_first")
 
 
 def replay(src: Source, scored: DataFrame, base: dict[str, float], names_in: Sequence[str], tau: float,

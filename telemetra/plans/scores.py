@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from telemetra.operators.ordering import join_null_safe
 from telemetra.functions.numeric import ratio
 from telemetra.operators import metrics, splits, thresholds, windows
 from telemetra.plans.registry import frac, query, r6
@@ -194,14 +195,14 @@ def _windowed_predictions(spark, d, last: bool = False, complete_only: bool = Fa
     val, test = s.filter(F.col("block") % 5 == 3), s.filter(F.col("block") % 5 == 4)
     if complete_only:
         sizes = test.groupBy("block", "win").agg(F.count(F.lit(1)).alias("n"))
-        test = test.join(sizes.filter(F.col("n") == fx.EV_WINDOW).drop("n"), ["block", "win"])
+        test = join_null_safe(test, sizes.filter(F.col("n") == fx.EV_WINDOW).drop("n"), ["block", "win"])
     learned, _ = thresholds.window_thresholds(val, ["block", "win"], fx.EV_WINDOW)
     learned = windows.with_ordinal(learned, "block", name="slot").select("slot", "threshold")
     n = learned.count()
     tw = windows.with_ordinal(test.select("block", "win").distinct(), "block")
     slot = F.least(F.col("ord"), F.lit(n - 1)) if last else F.pmod(F.col("ord"), F.lit(n))
     tw = tw.select("block", "win", slot.alias("slot")).join(learned, "slot").drop("slot")
-    return test.join(tw, ["block", "win"]).withColumn(
+    return join_null_safe(test, tw, ["block", "win"]).withColumn(
         "pred", F.when(F.col("p") >= F.col("threshold"), 1).otherwise(0))
 
 

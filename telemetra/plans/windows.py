@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from telemetra.operators import windows
-from telemetra.operators.ordering import add_slices, with_position
+from telemetra.operators.ordering import add_slices, join_null_safe, with_position
 from telemetra.plans.registry import query, r6
 from telemetra.session import shared_path
 from telemetra.sources import fixtures as fx
@@ -38,7 +38,7 @@ def carry_forward_windows(spark, d):
     e = fx.ev_windows(spark, d)
     w = windows.window_stats(e, ["block"], extra={"v": F.avg("f1")})
     v = windows.carry_values(w, ["block"], W, "v")
-    return e.join(v, ["block", "win"], "left").select("event_id", F.round("v", 6).alias("v"))
+    return join_null_safe(e, v, ["block", "win"], "left").select("event_id", F.round("v", 6).alias("v"))
 
 
 @query("sliding_windows", f"""with {fx.EVP_SQL}, s as (
