@@ -77,6 +77,12 @@ def reference_ranks(df: DataFrame, model: dict[str, tuple[float, float]]) -> dic
     return {f: row[f"rank_{f}"] for f in model}
 
 
+def ranks_of(row, features: Sequence[str]) -> dict[str, int]:
+    """Ranking by the importances in one row; ties go to the earlier feature."""
+    order = sorted(features, key=lambda f: (-row[f"imp_{f}"], features.index(f)))
+    return {f: order.index(f) for f in features}
+
+
 def kendall(features: Sequence[str], left: dict[str, Column], right: dict[str, Column],
             nan_tau: float = 1.0) -> Column:
     """Rank correlation of two permutations; ``nan_tau`` answers for fewer than two features."""

@@ -102,16 +102,22 @@ def distillation_losses(df: DataFrame, student: str, teacher: str, label: str) -
 
 # --- tree attributions --------------------------------------------------------
 
-def tree_tables(model: GBTClassificationModel, spark) -> list[dict[str, np.ndarray]]:
-    """Node arrays per tree, read from the saved model (its size is that of the model)."""
+def tree_tables(model, spark) -> list[dict[str, np.ndarray]]:
+    """Node arrays per tree, read from the saved model (its size is that of the model).
+
+    ``model`` is a boosted classifier or a single regression tree.
+    """
     path = shared_path(spark, "trees")
     model.write().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select(
-        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
-        F.col("nodeData.split.featureIndex").alias("feature"),
-        F.get("nodeData.split.leftCategoriesOrThreshold", 0).alias("threshold")).toPandas()
+    data = spark.read.parquet(f"{path}/data")
+    alone = "nodeData" not in data.columns
+    at = "" if alone else "nodeData."
+    nodes = data.select(
+        (F.lit(0) if alone else F.col("treeID")).alias("treeID"), f"{at}id", f"{at}prediction", f"{at}leftChild", f"{at}rightChild",
+        F.col(f"{at}split.featureIndex").alias("feature"),
+        F.get(f"{at}split.leftCategoriesOrThreshold", 0).alias("threshold")).toPandas()
     out = []
-    for i, w in enumerate(model.treeWeights):
+    for i, w in enumerate([1.0] if alone else model.treeWeights):
         t = nodes[nodes["treeID"] == i].sort_values("id")
         out.append({"w": np.float64(w), "pred": t["prediction"].to_numpy(float), "left": t["leftChild"].to_numpy(int),
                     "right": t["rightChild"].to_numpy(int), "feature": t["feature"].to_numpy(int),
@@ -119,6 +125,12 @@ def tree_tables(model: GBTClassificationModel, spark) -> list[dict[str, np.ndarr
     return out
 
 
+def tree_importance(model: GBTClassificationModel, df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """(keys, n, imp_ per feature): mean absolute attribution of the fitted trees, summed map-side."""
+    a = tree_attribution(model, df, features, list(keys) or df.columns[:1])
+    return a.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.abs(F.col(f"a_{f}"))).alias(f"imp_{f}") for f in features])
+
+
 def tree_attribution(model: GBTClassificationModel, df: DataFrame, features: Sequence[str],
                      keep: Sequence[str]) -> DataFrame:
     """Path attributions: the change of a node's value is credited to the feature split on.

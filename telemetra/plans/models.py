@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from telemetra.operators import metrics, models, neighbours, splits, thresholds
+from telemetra.operators import metrics, models, neighbours, replay, splits, thresholds
 from telemetra.plans import pipelines as pl
 from telemetra.plans.registry import query, r6
 from telemetra.session import materialize
@@ -47,9 +47,11 @@ def extension_pipeline(spark, d):
     pred = materialize(r["pred"])
     auc = metrics.roc_auc(pred).first()["roc_auc"]
     t = r["thresholds"].agg(F.count(F.lit(1)).alias("n"), F.avg("threshold").alias("m")).first()
+    drift = r["drift"].agg(F.sum("drift").alias("n"), F.avg("tau").alias("tau")).first()
     return metrics.with_rates(metrics.confusion_counts(pred)).withColumns(
         {"roc_auc": F.round(F.lit(auc), 6), "n_val_windows": F.lit(t["n"]), "mean_threshold": F.round(F.lit(t["m"]), 6),
-         "global_threshold": F.lit(r["global"]["threshold"])})
+         "global_threshold": F.lit(r["global"]["threshold"]), "drift_windows": F.lit(drift["n"]).cast("long"),
+         "mean_tau": F.round(F.lit(drift["tau"]).cast("double"), 6)})
 
 
 def _summary(name: str, r: dict, stages: pl.Stages):
@@ -102,11 +104,16 @@ def distill_student(spark, d):
 
 @query("edge_adaptation")
 def edge_adaptation(spark, d):
-    """Guarded replay of the validation windows, gated by the student's predictions."""
+    """Validation rows scored by the student with the divergence its own guarded replay reached in their window."""
     src = source(spark, d)
     r = pl.proposed_method(src, models.small(EXT, 3), pl.Stages(cusum=False, drift=False))
-    base = pl.baseline_of(src)
-    return pl.replay(src, r["student"], base, FEATS, r["threshold"], p="student_p")
+    names = [*FEATS, pl.DRIFT]
+    trail = materialize(pl.replay(src, r["scored"], pl.baseline_of(src), FEATS, r["threshold"], r["student_trees"], names, replay.clipped))
+    keys = [*pl.KEYS, "win"]
+    rows = replay.replayed_rows(r["scored"].filter("split = 'val'"), trail.select(*keys, "divergence", "alarm", "updated"), keys, pl.DRIFT)
+    edge = models.student_score(r["student_model"], rows, names, "edge_p")
+    return edge.select(*keys, *ROW, "label", F.col(pl.DRIFT).alias("divergence"), "edge_p",
+                       F.when(F.col("edge_p") >= r["threshold"], 1).otherwise(0).alias("pred"))
 
 
 @query("batch_inference")
@@ -145,3 +152,12 @@ def distill_losses(spark, d):
                                F.round(F.col("f1") / (F.col("f1") + 40), 6).alias("s"))
     out = models.distillation_losses(s, "s", "p", "y")
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@query("attribution_drift")
+def attribution_drift(spark, d):
+    """Kendall's tau of each validation window's attribution ranks, by the trees of the extension method."""
+    src, _ = pl.with_divergence(source(spark, d))
+    m = models.fit_trees(src.rows, src.features, EXT, None, src.key)
+    t = pl.attribution_drift(m, src.rows, src.features, src.window)
+    return t.select(*pl.KEYS, "win", "n", *[f"imp_{f}" for f in src.features], "tau", "drift")

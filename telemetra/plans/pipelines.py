@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from telemetra.operators import attribution as at
 from telemetra.operators import correlation as co
 from telemetra.operators import cleaning, features, metrics, models, online, thresholds, windows
+from telemetra.operators import replay as rp
 from telemetra.operators.ordering import add_slices, join_null_safe, with_position
 from telemetra.session import materialize, shared_path
 from telemetra.sources import tables
@@ -150,7 +151,8 @@ def extension_method(src: Source, config: models.TreeConfig) -> dict:
     tw = tw.join(slots.select(F.col("ord").alias("slot"), "threshold"), "slot").select(*KEYS, "win", "threshold")
     pred = join_null_safe(test, tw, [*KEYS, "win"]).select(
         F.col("label").alias("y"), "p", F.when(F.col("p") >= F.col("threshold"), 1).otherwise(0).alias("pred"))
-    return {"model": m, "source": ext, "scored": scored, "thresholds": learned, "global": g, "pred": pred}
+    return {"model": m, "source": ext, "scored": scored, "thresholds": learned, "global": g, "pred": pred,
+            "drift": attribution_drift(m, scored, ext.features, src.window)}
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -162,15 +164,22 @@ def numbered(df: DataFrame) -> DataFrame:
     return join_null_safe(df, first, ["stream", "block"]).withColumn("ord", F.col("_first") + F.col("win")).drop("_first")
 
 
-def replay(src: Source, scored: DataFrame, base: dict[str, float], names_in: Sequence[str], tau: float,
-           p: str = "p", alpha: float = 0.05) -> DataFrame:
-    """Guarded baseline replay of the validation windows; predictions drive the gate."""
+DRIFT = "graph_frob_div"
+
+
+def replay(src: Source, scored: DataFrame, base: dict[str, float], names_in: Sequence[str], tau: float, trees: Sequence[rp.Tree],
+           features_in: Sequence[str], link=rp.boosted_probability, alpha: float = 0.05) -> DataFrame:
+    """Guarded baseline replay of the validation windows.
+
+    Each window's divergence from the adapted baseline is the drift feature of its rows; the model's predictions on
+    these drive the gate.  Returns stream, block, win, ord and the trail.
+    """
     names = [co.pair_name(a, b) for a, b in co.pairs(names_in)]
     start = [base[k] for k in names]
 
-    def matrices(df: DataFrame, benign: Column) -> DataFrame:
-        w = co.correlations(df, [*KEYS, "win"], names_in, extra={"benign_fraction": F.avg(benign)})
-        w = materialize(w.select(*KEYS, "win", "n", "benign_fraction", F.array(*names).alias("r")))
+    def matrices(df: DataFrame, benign: Column | None = None) -> DataFrame:
+        w = co.correlations(df, [*KEYS, "win"], names_in, extra={"benign_fraction": F.avg(benign)} if benign is not None else None)
+        w = materialize(w.select(*KEYS, "win", "n", *(["benign_fraction"] if benign is not None else []), F.array(*names).alias("r")))
         # windows of a split are renumbered without gaps inside their stream
         order = add_slices(w, F.col("block"), F.col("win"))
         return with_position(order, ["stream"], [F.col("block"), F.col("win")], "ord").drop("_slice")
@@ -179,8 +188,19 @@ def replay(src: Source, scored: DataFrame, base: dict[str, float], names_in: Seq
     ok = fit.filter("benign_fraction >= 0.9 and n >= 2").select("stream", F.col("ord").alias("t"), "r")
     ok = with_position(add_slices(ok, F.col("t")), ["stream"], [F.col("t")], "k").drop("_slice")
     det = online.calibrate(online.benign_scores(ok, ["stream"], "k", start, alpha), "divergence", allow_empty=True)
-    val = matrices(scored.filter("split = 'val'"), F.when(F.col(p) < tau, 1.0).otherwise(0.0))
-    return online.gated_adaptation(val, ["stream"], "ord", start, det, alpha)
+    rows = scored.filter("split = 'val'")
+    shares, cuts = rp.interval_shares(rows, [*KEYS, "win"], trees, features_in, DRIFT, tau, link) if DRIFT in features_in else (None, None)
+    val = materialize(join_null_safe(matrices(rows), shares, [*KEYS, "win"]))
+    trail = rp.feedback_replay(val, ["stream"], "ord", start, det, cuts, alpha)
+    return join_null_safe(val.select(*KEYS, "win", "ord"), trail, ["stream", "ord"])
+
+
+def attribution_drift(model, rows: DataFrame, names: Sequence[str], size: int, nan_tau: float = 1.0) -> DataFrame:
+    """Tau of each complete validation window's attribution ranks against those of the training rows, by the fitted trees."""
+    names = list(names)
+    ref = at.ranks_of(models.tree_importance(model, rows.filter("split = 'train'"), [], names).first(), names)
+    w = models.tree_importance(model, rows.filter("split = 'val'"), [*KEYS, "win"], names)
+    return at.tau_vs_reference(at.with_ranks(windows.complete(w, size), names), names, ref, nan_tau=nan_tau)
 
 
 def proposed_method(src: Source, config: models.TreeConfig, stages: Stages = Stages()) -> dict:
@@ -194,18 +214,17 @@ def proposed_method(src: Source, config: models.TreeConfig, stages: Stages = Sta
     out = {"model": m, "scored": scored, "threshold": tau, "events": None, "updates": None, "student": None,
            "losses": None, "drift": None}
     if stages.drift:
-        lin = at.fit_linear(scored.filter("split = 'train'"), list(ext.features))
-        ref = at.reference_ranks(scored.filter("split = 'train'"), lin)
-        w = at.window_importance(scored.filter("split = 'val'"), [*KEYS, "win"], lin)
-        w = at.with_ranks(windows.complete(w, src.window), list(ext.features))
-        out["drift"] = at.tau_vs_reference(w, list(ext.features), ref, nan_tau=0.0)
+        out["drift"] = attribution_drift(m, scored, ext.features, src.window, nan_tau=0.0)
     if stages.cusum and base is not None:
-        r = replay(src, scored, base, list(src.features), tau).agg(
+        trees = models.tree_tables(m, scored.sparkSession)
+        r = replay(src, scored, base, list(src.features), tau, trees, ext.features).agg(
             F.sum("alarm").alias("a"), F.sum("updated").alias("u")).first()
         out["events"], out["updates"] = int(r["a"] or 0), int(r["u"] or 0)
     if stages.distill:
         soft = scored.withColumn("target", models.soft_target(F.col("p"), F.col("label")))
         student = models.fit_student(soft.filter("split = 'train'"), list(ext.features), "target")
+        out["student_trees"] = models.tree_tables(student, scored.sparkSession)
+        out["student_model"] = student
         both = materialize(models.student_score(student, scored, list(ext.features)))
         out["student"] = both
         out["losses"] = models.distillation_losses(both.filter("split = 'train'"), "student_p", "p", "label")
