@@ -164,11 +164,11 @@ def paragraphs(docs: DataFrame, ident: str, text: str, min_words: int, words: in
 
 
 def paragraphs_and_windows(docs: DataFrame, ident: str, text: str, min_words: int, words: int, bands: int, rows: int) -> DataFrame:
-    """The rows of ``paragraphs`` (with a pid) and one row with all windows of each text (lists at, id, more), from one reading."""
+    """The rows of ``paragraphs`` (with a pid) and one row with all windows of each text (lists at, id), from one reading."""
     kind = docs.schema[ident].dataType.simpleString()
     longs = pa.list_(pa.int64())
-    names = ["doc", "para", "n_words", "pid", "keys", "at", "id", "more"]
-    kinds = [None, pa.int32(), pa.int32(), pa.binary(), longs, longs, longs, longs]
+    names = ["doc", "para", "n_words", "pid", "keys", "at", "id"]
+    kinds = [None, pa.int32(), pa.int32(), pa.binary(), longs, longs, longs]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, cut = Hasher(words, bands, rows), passages.Windows()
@@ -194,14 +194,14 @@ def paragraphs_and_windows(docs: DataFrame, ident: str, text: str, min_words: in
                     flat = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
                     yield pa.RecordBatch.from_arrays(
                         [c.column("i").take(pa.array(row)), pa.array(para, pa.int32()), pa.array(n, pa.int32()),
-                         pa.array(pid, pa.binary()), flat, *[pa.nulls(len(row), longs)] * 3], names)
+                         pa.array(pid, pa.binary()), flat, *[pa.nulls(len(row), longs)] * 2], names)
                 ends = pa.array(np.cumsum([0, *[len(x[0]) for x in found]]), pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in zip(*found)]
                 yield pa.RecordBatch.from_arrays(
                     [c.column("i"), *[pa.nulls(len(found), k) for k in kinds[1:5]], *lists], names)
 
     return docs.select(F.col(ident).alias("i"), F.col(text).alias("t")).mapInArrow(
-        work, f"doc {kind}, para int, n_words int, pid binary, keys array<long>, at array<long>, id array<long>, more array<long>")
+        work, f"doc {kind}, para int, n_words int, pid binary, keys array<long>, at array<long>, id array<long>")
 
 
 def _shingle_table(docs: DataFrame, ident: str, text: str, min_words: int, words: int, units=paragraph_words) -> DataFrame:
@@ -313,7 +313,7 @@ def repeated_passages(docs: DataFrame, ident: str = "doc_id", text: str = "text"
     units = found.filter("pid is not null").select("doc", "para", "n_words", "pid", "keys")
     lines = repeated_paragraphs(docs, ident, text, min_words, words, threshold, recall, found=units)
     lines = lines.withColumn("start", F.lit(None).cast("long")).withColumn("kept_start", F.lit(None).cast("long"))
-    windows = found.filter("at is not null").select("doc", F.explode(F.arrays_zip("at", "id", "more")).alias("w")).select("doc", "w.*")
+    windows = found.filter("at is not null").select("doc", F.explode(F.arrays_zip("at", "id")).alias("w")).select("doc", "w.*")
     spans = (passages.repeated_spans(docs, ident, text, found=windows).withColumn("n_words", F.col("n_words").cast("int"))
              .withColumn("removed", F.lit(True)).withColumn("kept_id", F.col("kept_id").cast(kind)))
     return lines.unionByName(spans, allowMissingColumns=True)

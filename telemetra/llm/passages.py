@@ -3,8 +3,9 @@
 A window surrounds an anchor: a pair of words whose hash is the least among
 ``RADIUS`` neighbours on both sides.  Anchors depend on nearby words alone, so a
 passage has the same ones wherever it stands, however lines are broken.  Windows
-with equal words are combined by a 96-bit hash; the first occurrence (smallest
-document, then place) stays.  Overlapping windows that occur earlier join into a
+with equal words are combined by a 64-bit hash; the first occurrence (smallest
+document, then place) stays.  A span needs several windows, so that a chance
+equality of two hashes makes none.  Overlapping windows that occur earlier join into a
 span, also over a short gap if both its sides match the same place, so that an
 edited word does not divide it.
 """
@@ -35,7 +36,7 @@ _BASE, _OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 class Windows:
-    """(first word, hash, second hash) of each window of a text, from the hashes of its words."""
+    """(first word, hash) of each window of a text, from the hashes of its words."""
 
     def __init__(self):
         self.grow(1 << 12)
@@ -44,14 +45,13 @@ class Windows:
         def powers(base: int) -> np.ndarray:
             return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
 
-        self.up = [powers(_BASE), powers(_OTHER)]
-        self.down = [powers(pow(_BASE, -1, 1 << 64)), powers(pow(_OTHER, -1, 1 << 64))]
+        self.up, self.down = powers(_BASE), powers(pow(_BASE, -1, 1 << 64))
 
-    def __call__(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(w)
         if n < 2 * HALF:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if n >= len(self.up[0]):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if n >= len(self.up):
             self.grow(2 * n)
         c = (w[:-1] * np.uint64(_OTHER)) ^ (w[1:] * np.uint64(_BASE))
         c = (c ^ (c >> np.uint64(29))) * np.uint64(_OTHER)
@@ -62,16 +62,14 @@ class Windows:
             least[:-k] &= ~less
         at = least.nonzero()[0]
         at = at[(at >= HALF) & (at + HALF <= n)] - HALF
-        h = []
-        for up, down, x in zip(self.up, self.down, (w, w ^ (w >> np.uint64(32)))):
-            s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up[:n])])
-            v = (s[at + 2 * HALF] - s[at]) * down[at]
-            h.append((v ^ (v >> np.uint64(31))) * np.uint64(_BASE))
-        return at.astype(np.int64), h[0].view(np.int64), (h[1] >> np.uint64(32)).astype(np.int64)
+        s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * self.up[:n])])
+        h = (s[at + 2 * HALF] - s[at]) * self.down[at]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(_OTHER)
+        return at.astype(np.int64), h.view(np.int64)
 
 
 def windows(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """(doc, at, id, more): every window of the texts."""
+    """(doc, at, id): every window of the texts."""
     kind = docs.schema[ident].dataType.simpleString()
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,9 +86,9 @@ def windows(docs: DataFrame, ident: str, text: str) -> DataFrame:
                 row = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
                 if len(row):
                     cols = [pa.array(np.concatenate(c)) for c in zip(*got)]
-                    yield pa.RecordBatch.from_arrays([part.column("i").take(pa.array(row)), *cols], ["doc", "at", "id", "more"])
+                    yield pa.RecordBatch.from_arrays([part.column("i").take(pa.array(row)), *cols], ["doc", "at", "id"])
 
-    return docs.select(F.col(ident).alias("i"), F.col(text).alias("t")).mapInArrow(work, f"doc {kind}, at long, id long, more long")
+    return docs.select(F.col(ident).alias("i"), F.col(text).alias("t")).mapInArrow(work, f"doc {kind}, at long, id long")
 
 
 def spans_of(found: list[dict], least: int) -> list[tuple[int, int, object, int]]:
@@ -117,10 +115,10 @@ def repeated_spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", l
     ``found`` gives the rows of ``windows`` where they are stored already.
     """
     every = materialize(windows(docs, ident, text)) if found is None else found
-    again = (every.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at", "more")).alias("k"))
+    again = (every.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at")).alias("k"))
              .filter("n > 1").select("id", "k"))
     earlier = ~(F.col("doc").eqNullSafe(F.col("k.doc")) & (F.col("at") == F.col("k.at")))
-    later = (every.join(again, "id").filter((F.col("more") == F.col("k.more")) & earlier)
+    later = (every.join(again, "id").filter(earlier)
              .select("doc", "at", F.col("k.doc").alias("kdoc"), F.col("k.at").alias("kat")))
     by_doc = later.groupBy("doc").agg(F.collect_set(F.struct("at", "kdoc", "kat")).alias("found"))
     kind = docs.schema[ident].dataType.simpleString()
