@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from telemetra.llm.common import fresh
 from telemetra.session import materialize
 
 WORDS = 5
@@ -101,5 +102,6 @@ def contaminated(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text:
 
 def clean(docs: DataFrame, items: DataFrame, ident: str = "doc_id", **how) -> DataFrame:
     """The documents that contain no item."""
-    bad = contaminated(docs, items, ident, **how).select(F.col(ident).alias("_bad")).distinct()
-    return docs.join(bad, F.col(ident).eqNullSafe(F.col("_bad")), "left_anti")
+    bad = fresh(docs, "_bad")
+    gone = contaminated(docs, items, ident, **how).select(F.col(ident).alias(bad)).distinct()
+    return docs.join(gone, F.col(ident).eqNullSafe(F.col(bad)), "left_anti")
