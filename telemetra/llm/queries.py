@@ -171,4 +171,95 @@ hit as (select doc_id, item_id, count(*) as n_shared from ds join sh using (s) g
 select doc_id, item_id, n_shared, n_shingles, round(cast(n_shared as double) / n_shingles, 6) as containment
 from hit join n using (item_id) where n_shared >= 0.8 * n_shingles - 1e-9"""
 
-ORACLE = {"op2_licence_scan": _op2_sql(), "op6_topk": _OP6, "op9_chat_format": _OP9, "op10_decontaminate": _OP10}
+#: In order: checksums of ``doc_id:word`` byte by byte, words, words that share all letters but one, forms, where they end.
+_OP12 = """
+with recursive
+step(b, k, v) as (
+  select b, 0, cast(b as bigint) from range(256) r(b)
+  union all select b, k + 1, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end from step where k < 8),
+tab as materialized (select b, v from step where k = 8),
+runs as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as r from documents),
+low as (select doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w from runs),
+occ as materialized (select doc_id, w, count(*) as n from low group by all),
+keys as materialized (select doc_id, w, hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || w)) as s from occ),
+crc(doc_id, w, s, k, v) as (
+  select doc_id, w, s, 0, cast(4294967295 as bigint) from keys
+  union all select doc_id, w, s, k + 1, xor(c.v // 256, t.v)
+  from crc c join tab t on t.b = xor(c.v % 256, cast('0x' || substr(s, 2 * k + 1, 2) as int)) where 2 * k < length(s)),
+h as (select doc_id, w, xor(v, 4294967295) as h from crc where 2 * k = length(s)),
+m as (select case when h % 97 = 0 then substr(occ.w, 1, cast(h % length(occ.w) as int)) || substr(occ.w, cast(h % length(occ.w) as int) + 2) else occ.w end as word, n
+      from occ join h on h.w = occ.w and h.doc_id is not distinct from occ.doc_id),
+v as materialized (select word, sum(n)::bigint as n from m where length(word) >= 5 group by word having sum(n) >= 3),
+cut as materialized (select word, n, i, substr(word, 1, cast(i as int)) || substr(word, cast(i as int) + 2) as c
+      from (select word, n, unnest(range(length(word))) as i from v)),
+near as (select a.word, b.word as other, b.n from cut a join cut b on a.i = b.i and a.c = b.c and a.word <> b.word
+         union select a.word, b.word, b.n from cut a join v b on a.c = b.word
+         union select b.word, a.word, a.n from cut a join v b on a.c = b.word),
+best as (select word, count(*) as n_near, arg_min(other, (-n, other)) as other, max(n) as top from near group by word),
+form as materialized (select v.word, v.n, coalesce(n_near, 0) as n_near, case when top >= 2 * v.n then other end as form,
+                case when top >= 2 * v.n then top end as form_n from v left join best using (word)),
+up(word, root, form) as (
+  select word, word, form from form
+  union all select u.word, f.word, f.form from up u join form f on f.word = u.form)
+select f.word, f.form, u.root, f.n, f.n_near, f.form_n from form f join up u on u.word = f.word and u.form is null"""
+
+
+#: In order: checksums of the ids bit by bit, leaves, levels of every tree, of the tree over their roots, and the climb.
+_OP13 = """
+with recursive
+step(b, k, v) as (
+  select b, 0, cast(b as bigint) from range(256) r(b)
+  union all select b, k + 1, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end from step where k < 8),
+tab as (select b, v from step where k = 8),
+crc(doc_id, s, k, v) as (
+  select distinct doc_id, cast(doc_id as varchar), 0, cast(4294967295 as bigint) from documents where doc_id is not null
+  union all select doc_id, s, k + 1, xor(c.v // 256, t.v) from crc c join tab t on t.b = xor(c.v % 256, ascii(substr(s, k + 1, 1))) where k < length(s)),
+hit as (select doc_id from crc where k = length(s) and xor(v, 4294967295) % 7 = 0),
+d as (select doc_id, source, lang, n_chars, text, doc_id in (select doc_id from hit) as hit from documents),
+f as (select doc_id, lang, hit, n_chars,
+  {0} || {1} || {2} as a, {3} as n, {4} as more, {5} as z from d),
+leaf as (select doc_id, lang, sha256(a || n || z) as digest, sha256(a || case when hit then more else n end || z) as altered from f),
+num as (select *, row_number() over (partition by lang order by doc_id nulls first, digest) - 1 as pos from leaf),
+lv(lang, k, pos, digest, n) as (
+  select lang, 0, pos, digest, count(*) over (partition by lang) from num
+  union all
+  select lang, k + 1, pos // 2, string_agg_hash, (n + 1) // 2 from (
+    select lang, k, n, pos, case when pos % 2 = 0 then sha256(digest || coalesce(lead(digest) over (partition by lang, k order by pos), '')) end as string_agg_hash
+    from lv where n > 1) where pos % 2 = 0),
+sub as (select lang, digest as subroot, k as depth from lv where n = 1),
+tops as (select subroot, lang, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n from sub),
+tv(k, pos, digest, n) as (
+  select 0, pos, subroot, n from tops
+  union all
+  select k + 1, pos // 2, x, (n + 1) // 2 from (
+    select k, n, pos, case when pos % 2 = 0 then sha256(digest || coalesce(lead(digest) over (partition by k order by pos), '')) end as x
+    from tv where n > 1) where pos % 2 = 0),
+root as (select digest as root from tv where n = 1),
+nodes as (select 0 as top, lang, k, pos, digest, n from lv union all select 1, null, k, pos, digest, n from tv),
+ids as (select num.*, row_number() over () as id from num),
+climb(id, lang, top, k, pos, x, told, subroot) as (
+  select id, lang, 0, 0, pos, altered, '', null::varchar from ids
+  union all
+  select c.id, c.lang, case when m.n = 1 then 1 else c.top end, case when m.n = 1 then 0 else c.k + 1 end,
+    case when m.n = 1 then t.pos else c.pos // 2 end,
+    case when m.n = 1 then c.x when s.digest is null then sha256(c.x) when c.pos % 2 = 1 then sha256(s.digest || c.x) else sha256(c.x || s.digest) end,
+    case when m.n = 1 then c.told else c.told || coalesce(s.digest, '') end,
+    case when m.n = 1 then m.digest else c.subroot end
+  from climb c
+  join nodes m on m.top = c.top and (c.top = 1 or m.lang is not distinct from c.lang) and m.k = c.k and m.pos = c.pos and (m.n > 1 or c.top = 0)
+  left join nodes s on s.top = c.top and (c.top = 1 or s.lang is not distinct from c.lang) and s.k = c.k and s.pos = xor(c.pos, 1)
+  join tops t on t.lang is not distinct from c.lang),
+done as (select c.* from climb c join tv on tv.n = 1 and c.top = 1 and c.k = tv.k)
+select doc_id, ids.digest as leaf, subroot, root, sha256(told) as proof_sha256, x as folded_root, x = root as verified
+from done join ids using (id), root"""
+
+
+def _op13_sql() -> str:
+    def field(x: str) -> str:
+        return f"coalesce(octet_length(encode(cast({x} as varchar))) || ':' || cast({x} as varchar), '-')"
+
+    return _OP13.format(*map(field, ("doc_id", "source", "lang", "n_chars", "(n_chars + 1)", "text")))
+
+
+ORACLE = {"op2_licence_scan": _op2_sql(), "op6_topk": _OP6, "op9_chat_format": _OP9, "op10_decontaminate": _OP10, "op12_spelling_variants": _OP12,
+          "op13_merkle_manifest": _op13_sql()}
