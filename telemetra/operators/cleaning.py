@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from telemetra.functions.numeric import quoted, ratio
 from telemetra.operators.ordering import add_slices, join_null_safe, with_running_sum
+from telemetra.operators.quantiles import exact_quantiles
 from telemetra.session import materialize
 
 
@@ -26,23 +27,6 @@ def missing_percent(df: DataFrame, cols: Sequence[str], top: int | None = 10) ->
     return out.limit(top) if top else out
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    where: Column | None = None) -> dict[str, list[float | None]]:
-    """Exact interpolated quantiles of many columns in one pass over the rows.
-
-    Values are counted per column before the shuffle; ranks then accumulate over
-    slices of the values.  No task holds a column, and no size changes the way.
-    """
-    rows = df.filter(where) if where is not None else df
-    pair = [F.struct(F.lit(i).alias("_col"), F.col(quoted(c)).cast("double").alias("_value")) for i, c in enumerate(cols)]
-    counted = value_counts(rows.select(F.inline(F.array(*pair))), ["_col"], "_value")
-    q = group_quantiles(counted, ["_col"], "_value", {f"q{j}": float(p) for j, p in enumerate(probs)})
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    for r in q.collect():           # one row per column
-        out[cols[r["_col"]]] = [r[f"q{j}"] for j in range(len(probs))]
-    return out
-
-
 def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Rows per (group, value), combined on the map side and stored once."""
     return materialize(df.filter(F.col(value).isNotNull()).groupBy(*group, value)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemetra.functions.numeric import ratio
-from telemetra.operators.cleaning import exact_quantiles, group_quantiles, value_counts
+from telemetra.operators.cleaning import group_quantiles, value_counts
 from telemetra.operators.ordering import add_slices, join_null_safe, with_position
+from telemetra.operators.quantiles import exact_quantiles
 from telemetra.session import materialize
 
 

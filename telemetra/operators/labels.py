@@ -6,9 +6,10 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from telemetra.operators.ordering import range_slices, with_position, with_running_max, with_running_sum
+
 Interval = tuple[str, str, str]  # (name, start, end), both ends inclusive, UTC
 
 #: A dictionary table is broadcast only up to this many rows.
@@ -27,13 +28,16 @@ def interval_flag(ts: Column, intervals: Sequence[Interval]) -> Column:
 
 
 def merge_intervals(intervals: DataFrame) -> DataFrame:
-    """Unite overlapping intervals so that each row can match at most one."""
-    order = W.partitionBy(F.lit(0)).orderBy("start_ts", "end_ts")
-    reach = F.max("end_ts").over(order.rowsBetween(W.unboundedPreceding, -1))
-    return (intervals.withColumn("_new", F.when(reach.isNull() | (F.col("start_ts") > reach), 1)
-                                 .otherwise(0))
-            .withColumn("_island", F.sum("_new").over(order))
-            .groupBy("_island")
+    """Unite overlapping intervals so that each row can match at most one.
+
+    The furthest end before an interval is a running maximum over slices, and
+    the number of its island a running sum, so no task holds the whole table.
+    """
+    order = [F.col("start_ts"), F.col("end_ts")]
+    cut = range_slices(intervals.select("start_ts", "end_ts").distinct(), "start_ts", "end_ts")
+    seen = with_running_max(cut, [], order, {"end_ts": "_reach"})
+    new = seen.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("start_ts") > F.col("_reach")), 1).otherwise(0))
+    return (with_running_sum(new, [], order, {"_island": F.col("_new")}).groupBy("_island")
             .agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
             .drop("_island"))
 
@@ -79,7 +83,7 @@ def bool_label(col: Column) -> Column:
 def code_map(values: DataFrame, col: str, default: str = "normal") -> DataFrame:
     """Sorted distinct values -> 0-based codes; null takes the default value."""
     known = values.select(F.coalesce(F.col(col), F.lit(default)).alias(col)).distinct()
-    return known.select(col, (F.row_number().over(W.orderBy(col)) - 1).alias("code"))
+    return with_position(range_slices(known, col), [], [F.col(col)], "code").select(col, "code")
 
 
 def extend_code_map(codes: DataFrame, values: DataFrame, col: str,
@@ -88,5 +92,5 @@ def extend_code_map(codes: DataFrame, values: DataFrame, col: str,
     new = (values.select(F.coalesce(F.col(col), F.lit(default)).alias(col)).distinct()
            .join(codes, col, "left_anti"))
     first = codes.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    fresh = new.select(col, (F.row_number().over(W.orderBy(col)) - 1 + F.lit(first)).alias("code"))
-    return codes.unionByName(fresh)
+    fresh = with_position(range_slices(new, col), [], [F.col(col)], "code")
+    return codes.unionByName(fresh.select(col, (F.col("code") + F.lit(first)).alias("code")))

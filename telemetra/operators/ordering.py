@@ -16,12 +16,15 @@ from __future__ import annotations
 import operator
 from collections.abc import Sequence
 from functools import reduce
+from math import isfinite
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from telemetra.session import materialize
+
 SLICE = "_slice"
 NULL_SLICE = -1     # rows without an order value form a slice of their own, before all others
 ROWS_PER_SLICE = 250_000
@@ -49,25 +52,33 @@ def add_slices(df: DataFrame, lead: Column, tie: Column | None = None,
     literals, so every evaluation, retries included, sees the same slices.  Rows
     whose ``lead`` or ``tie`` is null come first, as nulls do in an ascending order.
     """
-    aggs = [F.count(F.lit(1)).alias("n"), F.min(lead).alias("lo")]
+    aggs = [F.count(F.lit(1)).alias("n"), F.min(F.when(F.abs(lead) < float("inf"), lead)).alias("lo")]
     if tie is not None:
         aggs += [F.min(tie).alias("t0"), F.max(tie).alias("t1")]
     s = df.agg(*aggs).first()
     if not s["n"]:
         return df.withColumn(name, F.lit(0))
-    key = (lead - F.lit(s["lo"])).cast("double")
+    key = (lead - F.lit(s["lo"] or 0)).cast("double")
     if tie is not None:
         key = key + (tie - F.lit(s["t0"])).cast("double") / F.lit(float(s["t1"] - s["t0"] + 1))
     k = min(MAX_SLICES, max(MIN_SLICES, -(-s["n"] // rows_per_slice)))
     at = [i / k for i in range(1, k)]
     bounds = df.agg(F.percentile_approx(key, at, max(10_000, 4 * k)).alias("b")).first()["b"] or []
-    cuts = sorted(set(bounds)) or [0.0]
+    cuts = sorted({b for b in bounds if isfinite(b)}) or [0.0]
     splits = [float("-inf"), *cuts, float("inf")]
     keyed = df.withColumn("_slice_key", key)
     out = Bucketizer(splits=splits, inputCol="_slice_key", outputCol=name).transform(keyed)
     return out.withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(NULL_SLICE))).drop("_slice_key")
 
 
+def range_slices(df: DataFrame, *order: str) -> DataFrame:
+    """Slices of an order of any types (texts, several columns), stored so that every reader sees the same ones.
+
+    Rows equal in all of ``order`` share a slice, so give columns that tell rows apart.
+    """
+    return materialize(df.repartitionByRange(*order).withColumn(SLICE, F.spark_partition_id()))
+
+
 def _group(group: Sequence[str]) -> list:
     """Grouping for the small per-slice tables; a literal stands for 'no group'."""
     return list(group) if group else [F.lit(0)]
@@ -93,6 +104,35 @@ def with_running_sum(df: DataFrame, group: Sequence[str], order: Sequence[Column
     return out.drop(*[f"_off_{n}" for n in values])
 
 
+def with_running_max(df: DataFrame, group: Sequence[str], order: Sequence[Column],
+                     cols: dict[str, str], slice_col: str = SLICE) -> DataFrame:
+    """Largest value of the rows before, as ``{source column: new column}``; null where there is none."""
+    tops = df.groupBy(*group, slice_col).agg(*[F.max(s).alias(f"_top_{d}") for s, d in cols.items()])
+    earlier = W.partitionBy(*_group(group)).orderBy(slice_col).rowsBetween(W.unboundedPreceding, -1)
+    carried = tops.select(*group, slice_col, *[F.max(f"_top_{d}").over(earlier).alias(f"_top_{d}") for d in cols.values()])
+    inside = W.partitionBy(*group, slice_col).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = join_null_safe(df, carried, [*group, slice_col])
+    for s, d in cols.items():
+        out = out.withColumn(d, F.greatest(F.max(s).over(inside), F.col(f"_top_{d}")))
+    return out.drop(*[f"_top_{d}" for d in cols.values()])
+
+
+def with_last_known(df: DataFrame, group: Sequence[str], order: Sequence[Column],
+                    cols: dict[str, str], slice_col: str = SLICE) -> DataFrame:
+    """The row's value or else the last one known before it, as ``{source column: new column}``."""
+    last = df.groupBy(*group, slice_col).agg(*[
+        F.max_by(F.when(F.col(s).isNotNull(), F.col(s)), F.when(F.col(s).isNotNull(), F.struct(*order))).alias(f"_last_{d}")
+        for s, d in cols.items()])
+    earlier = W.partitionBy(*_group(group)).orderBy(slice_col).rowsBetween(W.unboundedPreceding, -1)
+    carried = last.select(*group, slice_col, *[F.last(f"_last_{d}", ignorenulls=True).over(earlier).alias(f"_last_{d}")
+                                               for d in cols.values()])
+    inside = W.partitionBy(*group, slice_col).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = join_null_safe(df, carried, [*group, slice_col])
+    for s, d in cols.items():
+        out = out.withColumn(d, F.coalesce(F.last(s, ignorenulls=True).over(inside), F.col(f"_last_{d}")))
+    return out.drop(*[f"_last_{d}" for d in cols.values()])
+
+
 def with_position(df: DataFrame, group: Sequence[str], order: Sequence[Column],
                   name: str = "pos", slice_col: str = SLICE) -> DataFrame:
     """0-based position in the group.  ``order`` must be total inside a group."""

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from telemetra.operators.ordering import join_null_safe, with_previous, with_running_sum
+from telemetra.operators.ordering import join_null_safe, range_slices, with_previous, with_running_sum
 
 
 def window_stats(df: DataFrame, keys: Sequence[str], label: str = "label",
@@ -87,12 +86,11 @@ def with_preceding(windows: DataFrame, keys: Sequence[str], cols: dict[str, str]
 def block_ordinals(windows: DataFrame, block: str, within: Sequence[str] = ()) -> DataFrame:
     """First window number of each block in its stream, blocks taken in order.
 
-    The table has one row per block, so the running count is over few rows.
+    One row per block, counted up over slices of the block order.
     """
     per = windows.groupBy(*within, block).agg(F.count(F.lit(1)).alias("n_win"))
-    part = W.partitionBy(*within) if within else W.partitionBy(F.lit(0))
-    before = part.orderBy(block).rowsBetween(W.unboundedPreceding, -1)
-    return per.select(*within, block, F.coalesce(F.sum("n_win").over(before), F.lit(0)).alias("first_ord"))
+    run = with_running_sum(range_slices(per, block, *within), within, [F.col(block)], {"_run": F.col("n_win")})
+    return run.select(*within, block, (F.col("_run") - F.col("n_win")).alias("first_ord"))
 
 
 def with_ordinal(windows: DataFrame, block: str, within: Sequence[str] = (),

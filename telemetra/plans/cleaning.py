@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from telemetra.operators import cleaning
 from telemetra.plans.registry import query, r6
+from telemetra.session import materialize
 from telemetra.sources import fixtures as fx
 
 _SPARSE = ["cell_1_m", "cell_3_m", "cell_1_x", "cell_3_x", "cell_1_ul_retx", "cell_3_ul_retx"]
@@ -27,7 +28,7 @@ def missing_percent(spark, d):
 med as (select {', '.join(f'median({c}) as m_{c}' for c in _SPARSE)} from cells)
 select {_KEY}, {', '.join(f'coalesce({c}, m_{c}) as {c}' for c in _SPARSE)} from cells, med""")
 def impute_median(spark, d):
-    c = fx.cells(spark, d).select(*_KEYS, *_SPARSE)
+    c = materialize(fx.cells(spark, d).select(*_KEYS, *_SPARSE))
     return cleaning.impute(c, cleaning.medians(c, _SPARSE))
 
 
@@ -37,8 +38,8 @@ med as (select {', '.join(f"coalesce(median(case when split = 'train' then {c} e
                           for c in [*_SPARSE, 'dead'])} from c2)
 select {_KEY}, {', '.join(f'coalesce({c}, m_{c}) as {c}' for c in [*_SPARSE, 'dead'])} from c2, med""")
 def impute_train_median(spark, d):
-    c = fx.cells(spark, d).withColumn("dead", F.lit(None).cast("double"))
     cols = [*_SPARSE, "dead"]
+    c = materialize(fx.cells(spark, d).withColumn("dead", F.lit(None).cast("double")).select(*_KEYS, "split", *cols))
     fit = cleaning.medians(c, cols, F.col("split") == "train")
     return cleaning.impute(c.select(*_KEYS, *cols), fit, empty=0.0)
 

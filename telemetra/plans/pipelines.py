@@ -11,14 +11,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telemetra.operators import attribution as at
 from telemetra.operators import correlation as co
 from telemetra.operators import cleaning, features, metrics, models, online, thresholds, windows
 from telemetra.operators import replay as rp
-from telemetra.operators.ordering import add_slices, join_null_safe, with_position
+from telemetra.operators.ordering import add_slices, join_null_safe, range_slices, with_position, with_running_sum
 from telemetra.session import materialize, shared_path
 from telemetra.sources import tables
 
@@ -73,6 +72,7 @@ def prepare_table(df: DataFrame, keep: Sequence[str], train: str = "train") -> t
     spark = df.sparkSession
     flat = features.consolidate(df)
     cols = features.numeric_features(flat.schema, exclude=keep)
+    flat = materialize(flat.select(*keep, *cols))
     fit = F.col("split") == train
     medians = cleaning.medians(flat, cols, fit)
     full = cleaning.impute(flat.select(*keep, *cols), medians, empty=0.0)
@@ -158,9 +158,8 @@ def extension_method(src: Source, config: models.TreeConfig) -> dict:
 def numbered(df: DataFrame) -> DataFrame:
     """Global number of each window in (stream, block, win) order."""
     per = df.groupBy("stream", "block").agg(F.count(F.lit(1)).alias("n"))
-    # one row per block
-    before = W.partitionBy(F.lit(0)).orderBy("stream", "block").rowsBetween(W.unboundedPreceding, -1)
-    first = per.select("stream", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
+    run = with_running_sum(range_slices(per, "stream", "block"), [], [F.col("stream"), F.col("block")], {"_run": F.col("n")})
+    first = run.select("stream", "block", (F.col("_run") - F.col("n")).alias("_first"))
     return join_null_safe(df, first, ["stream", "block"]).withColumn("ord", F.col("_first") + F.col("win")).drop("_first")
 
 
