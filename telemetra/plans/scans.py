@@ -10,7 +10,7 @@ from telemetra.functions.seeded import shuffle_key
 from telemetra.operators import features, labels, splits
 from telemetra.operators.ordering import add_slices, with_position
 from telemetra.plans.registry import frac, query, r6
-from telemetra.session import shared_path
+from telemetra.session import materialize, shared_path
 from telemetra.sources import fixtures as fx
 from telemetra.sources import tables
 
@@ -235,6 +235,32 @@ def load_runs(spark, d):
     return got.select(*keep[:-1], F.col("load_order").cast("int").alias("load_order"))
 
 
+@query("append_jobs", f"""with {fx.RUNS_SQL}
+select dataset, method, config, split_policy, seed, f1, fpr from runs where method <> 'base' and seed <= 2""")
+def append_jobs(spark, d):
+    """Jobs of a sweep write their rows to one table; two of them ran twice, first with other numbers."""
+    path = shared_path(spark, "jobs")
+    r = materialize(tables.latest_runs(fx.runs_raw(spark, d)))
+    stale = r.withColumn("f1", F.lit(0.0))
+    for rows, method, seed in ((stale, "extension", 1), (r, "extension", 1), (r, "extension", 2), (r, "proposed", 1),
+                               (stale, "proposed", 2), (r, "proposed", 2)):
+        tables.append_job(path, rows, {"seed": seed, "method": method})
+    return tables.read_jobs(spark, path).select("dataset", "method", "config", "split_policy", "seed", "f1", "fpr")
+
+
+@query("report_sinks", f"""with {fx.RUNS_SQL}
+select 'document' as sink, dataset, method, seed, f1 from runs union all select 'csv', dataset, method, seed, f1 from runs""")
+def report_sinks(spark, d):
+    """Result documents (JSON) and flat reports (CSV), written and read back."""
+    r = materialize(tables.latest_runs(fx.runs_raw(spark, d)).select("dataset", "method", "seed", "f1"))
+    docs, flat = shared_path(spark, "documents"), shared_path(spark, "report")
+    tables.write_documents(r.select(F.struct("dataset", "method", "seed").alias("run"), F.struct("f1").alias("metrics")), docs)
+    tables.write_csv_report(r, flat)
+    read = spark.read.schema("run struct<dataset string, method string, seed int>, metrics struct<f1 double>").json(docs)
+    csv = spark.read.schema("dataset string, method string, seed int, f1 double").option("header", True).csv(flat)
+    return read.select(F.lit("document").alias("sink"), "run.*", "metrics.*").unionByName(csv.withColumn("sink", F.lit("csv")))
+
+
 @query("upsert_results", f"""with {fx.RUNS_SQL}, fresh as (
   select * replace (round(fpr / 2, 6) as fpr) from runs where seed in (4, 5))
 select dataset, config, seed, f1, fpr from runs where seed not in (4, 5)

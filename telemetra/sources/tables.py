@@ -24,6 +24,7 @@ RESULT_SCHEMA = T.StructType(
     + [T.StructField(c, T.LongType()) for c in ("n_train", "n_test")]
     + [T.StructField(c, T.DoubleType()) for c in ("inference_latency_ms", "model_size_kb")]
     + [T.StructField("notes", T.StringType())])
+COMBINED_RUNS = "multiseed_all_runs.csv"
 RUN_KEYS = ["dataset", "method", "config", "split_policy", "seed"]
 
 # Columns of the raw device telemetry that are not doubles.
@@ -143,11 +144,13 @@ def latest_runs(df: DataFrame, keys: Sequence[str] = RUN_KEYS, order: str = "loa
 
 def load_runs(spark: SparkSession, raw_dir: str, columns: Sequence[str],
               metrics: Sequence[str]) -> DataFrame:
-    """All result CSVs of all seeds, coerced and de-duplicated: the row of the last file wins."""
+    """All result CSVs of all seeds and then the combined file, if there is one, coerced and
+    de-duplicated: the row of the last file wins."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    df = csv_by_name(spark, f"{raw_dir.rstrip('/')}/seed_*/*_results.csv", schema)
+    df = csv_by_name(spark, f"{raw_dir.rstrip('/')}/{{seed_*/*_results.csv,{COMBINED_RUNS}}}", schema)
+    combined = F.col("_file.file_path").contains(f"/{COMBINED_RUNS}")
     df = (df.withColumn("source_file", F.col("_file.file_path"))
-          .withColumn("_order", F.struct(F.col("_file.file_path"), F.col("_file.file_block_start"),
+          .withColumn("_order", F.struct(combined, F.col("_file.file_path"), F.col("_file.file_block_start"),
                                          F.monotonically_increasing_id())).drop("_file"))
     df = df.withColumns({m: F.expr(f"try_cast(`{m}` as double)") for m in metrics})
     df = df.withColumn("seed", F.expr("try_cast(seed as int)"))
@@ -155,10 +158,21 @@ def load_runs(spark: SparkSession, raw_dir: str, columns: Sequence[str],
 
 
 def append_job(path: str, rows: DataFrame, job: dict[str, object]) -> None:
-    """Append the rows of one job, chosen by its key columns, to a shared result table."""
+    """Write the rows of one job, chosen by its key columns, into a shared result table.
+
+    The table is partitioned by the key columns and a job overwrites its own
+    partition only: a job that runs again leaves one copy, other jobs stay.  A
+    job without rows changes nothing.  All jobs of a table need the same key columns.
+    """
     for c, v in job.items():
         rows = rows.filter(F.col(c).eqNullSafe(F.lit(v)))
-    append_results(rows, path)
+    (as_result_rows(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*job).parquet(path))
+
+
+def read_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """The result table of ``append_job`` in the result layout."""
+    return spark.read.schema(RESULT_SCHEMA).parquet(path).select(*RESULT_SCHEMA.names)
 
 
 def write_csv_report(df: DataFrame, path: str) -> None:

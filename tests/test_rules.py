@@ -273,3 +273,25 @@ def test_dotted_names(spark):
     df = spark.createDataFrame([(1.0, 2.0, True)], "`Profile.timestamp` double, `a.b` double, ok boolean")
     assert features.numeric_features(df.schema) == ["a.b"]
     assert features.consolidate(df).columns == df.columns
+
+
+def test_combined_run_file_is_read_last(spark, tmp_path):
+    cols = ["dataset", "method", "config", "split_policy", "seed", "f1"]
+    (tmp_path / "seed_1").mkdir()
+    pd.DataFrame([["d", "m", "c", "p", s, 0.1] for s in (1, 2)], columns=cols).to_csv(tmp_path / "seed_1" / "m_results.csv", index=False)
+    alone = tables.load_runs(spark, str(tmp_path), cols, ["f1"]).collect()
+    assert sorted((r["seed"], r["f1"]) for r in alone) == [(1, 0.1), (2, 0.1)]
+    pd.DataFrame([[0.9, "d", "m", "c", "p", 2], [0.8, "d", "m", "c", "p", 3]], columns=["f1", *cols[:-1]]).to_csv(
+        tmp_path / "multiseed_all_runs.csv", index=False)
+    got = tables.load_runs(spark, str(tmp_path), cols, ["f1"]).collect()
+    assert sorted((r["seed"], r["f1"]) for r in got) == [(1, 0.1), (2, 0.9), (3, 0.8)]
+
+
+def test_a_job_written_twice_leaves_one_copy(spark, tmp_path):
+    path = str(tmp_path / "jobs")
+    rows = spark.createDataFrame([("m", 1, 0.5), ("m", 2, 0.6), ("n", None, 0.7), ("n", 1, 0.8)], "method string, seed int, f1 double")
+    for method, seed in (("m", 1), ("m", 2), ("n", None), ("m", 1), ("n", None), ("x", 9)):
+        tables.append_job(path, rows, {"seed": seed, "method": method})
+    got = tables.read_jobs(spark, path)
+    assert got.columns == tables.RESULT_SCHEMA.names
+    assert sorted((r["method"], r["seed"] or 0, r["f1"]) for r in got.collect()) == [("m", 1, 0.5), ("m", 2, 0.6), ("n", 0, 0.7)]
