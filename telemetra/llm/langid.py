@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 #: Hash buckets of n-grams: with the codeword bits they bound the model's size.
 BUCKETS = 1 << 15
-#: Labelled rows to learn from at most, in expectation (a hash sample of the eligible rows).
-TRAIN_ROWS = 20_000
+#: Different labelled texts of each language to learn from at most, in expectation (a hash sample).
+TRAIN_ROWS = 4_000
+#: Languages learned at most, the most frequent labels: bounds the model and what reaches the driver.
+LANGUAGES = 256
 #: Bytes scored at once of a very long text.
 CHUNK = 1 << 20
 #: Difference of the two best codewords' probability below which a text is ambiguous.
@@ -85,15 +87,25 @@ class Model:
 
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", train_rows: int = TRAIN_ROWS) -> Model:
-    """Learn from labelled rows: at most about ``train_rows`` of them, chosen by a hash of the text.
-
-    Counts of (language, bucket) are summed by Spark; what reaches the driver is
-    bounded by languages x buckets.  Rows with a null text or language are passed over.
+    """Learn from labelled rows: at most about ``train_rows`` different texts of each language, chosen by a hash.
+
+    Every language has its own share, so a rare one keeps all its rows however
+    large the table is; texts that repeat within a language count once.  A text
+    labelled with several languages counts for each.  Labels beyond the
+    ``LANGUAGES`` most frequent (ties: smaller first) are not learned.  Counts of
+    (language, bucket) are summed by Spark; what reaches the driver is at most
+    ``LANGUAGES`` x ``BUCKETS`` numbers.  Rows with a null text or language are
+    passed over; without any, the model has no language.
     """
     rows = rows.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).filter("t is not null and l is not null")
-    n = rows.count()
-    if n > train_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(1_000_000 * train_rows / n))
+    sizes = (rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("t")).alias("d"))
+             .orderBy(F.desc("n"), "l").limit(LANGUAGES).collect())
+    share = {r["l"]: min(1.0, train_rows / max(1, r["d"])) for r in sizes}
+    cut = F.lit(None).cast("long")
+    if share:
+        cut = F.create_map(*[F.lit(x) for l_, s in sorted(share.items()) for x in (l_, int(1_000_000 * s))])[F.col("l")]
+    # an unknown label has no cut and goes
+    rows = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < cut).distinct()
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}

@@ -30,8 +30,10 @@ from telemetra.session import shared_path
 #: Rotation and constant of the masked checksum.
 MASK_SHIFT, MASK_ADD = 15, 0xA282EAD8
 NO_ID = -(1 << 63)
-#: Documents in a file at most, so that a file can be read whole.
-RECORDS_PER_FILE = 20_000
+#: Documents in a file at most, and bytes of a file, so that it can be read whole.
+RECORDS_PER_FILE, FILE_BYTES = 20_000, 1 << 30
+#: Bytes that normalisation makes of one byte at most; an id stands for at least one.
+GROWTH = 3
 #: Characters encoded together.
 CHARS = 4_000_000
 
@@ -129,12 +131,19 @@ def packed(path: str) -> Packed:
     return Packed(path)
 
 
+def records_per_file(longest: int) -> int:
+    """Records of texts of up to ``longest`` bytes that fit a file for certain, with ids of four bytes."""
+    return max(1, min(RECORDS_PER_FILE, FILE_BYTES // (4 * GROWTH * longest + 64)))
+
+
 def write_shards(docs: DataFrame, vocab_path: str, out: str, end_id: int | None = 2,
                  ident: str = "doc_id", text: str = "text") -> None:
     """Encode every whole text and write the records in ascending order of ident.
 
     Rows are dealt by ranges of ident, so file names ascend with it; equal idents
     are ordered by text.  Null text is empty: its record holds the end id alone.
+    The longest text tells how many records keep a file below ``FILE_BYTES``; a
+    record that is larger than that alone has a file of its own.
     """
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = packed(vocab_path)
@@ -155,9 +164,10 @@ def write_shards(docs: DataFrame, vocab_path: str, out: str, end_id: int | None
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(ident).cast("long").alias("i"), F.col(text).alias("t"))
+    longest = rows.agg(F.max(F.octet_length("t"))).first()[0] or 0
     (rows.repartitionByRange(n, "i").sortWithinPartitions("i", "t").mapInArrow(work, "r binary")
      .select(F.col("r").cast("string").alias("value")).write.option("lineSep", "\n")
-     .option("maxRecordsPerFile", RECORDS_PER_FILE).text(out))
+     .option("maxRecordsPerFile", records_per_file(longest)).text(out))
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:

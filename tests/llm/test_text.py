@@ -98,6 +98,45 @@ def test_broken_records_are_found():
         list(token_files.frames(bytes(data[:30])))
 
 
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    assert [token_files.records_per_file(n) for n in (0, 100, 1_000_000, 1 << 31)] == [20_000, 20_000, 89, 1]
+    monkeypatch.setattr(token_files, "FILE_BYTES", 40_000)
+    df = spark.createDataFrame([(i, f"w{i} " * (10 + 390 * (i % 3 == 0))) for i in range(60)], "doc_id long, text string")
+    path, index = token_files.write_token_files(df, PATH, str(tmp_path / "b"))
+    assert max(f.stat().st_size for f in (tmp_path / "b" / "shards").glob("part-*")) <= 40_000
+    got = index.orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == list(range(60)) and len({r["shard"] for r in got}) > 8
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(got, got[1:]))
+
+
+def test_language_model_by_brute_force(spark):
+    """Every language has its own share of the sample; repeated texts count once; weights follow from plain counts."""
+    rnd = random.Random(4)
+    words = {"en": "the and cat dog house", "de": "der und hund katze haus", "fr": "le et chat chien maison", "ca": "els i gos gat casa"}
+    rows = [(" ".join(rnd.choices(words[x].split(), k=6)) + f" {i}", x) for x, n in (("en", 900), ("de", 300), ("fr", 40)) for i in range(n)]
+    rows += [("els gats i els gossos", "ca")] * 400                # a language of one text
+    df = spark.createDataFrame([*rows, (None, "xx"), ("a", None)], "text string, lang string")
+    m = langid.fit(df, train_rows=60)
+    assert m.langs == ["ca", "de", "en", "fr"]                     # none is lost to the sample
+    assert langid.fit(df, train_rows=60).weights.tobytes() == langid.fit(df.repartition(7), train_rows=60).weights.tobytes()
+
+    m = langid.fit(df)
+    dist = np.full((4, langid.BUCKETS), 0.0)
+    for t, x in set(rows):
+        data = f" {t.lower()} ".encode()
+        at = [((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 2654435761 % (1 << 32)) >> 17 for i in range(len(data) - 2)]
+        for g in at:
+            dist[m.langs.index(x), g] += 1 / len(at)
+    dist = dist / dist.sum(axis=1, keepdims=True) + 1e-7
+    for j in range(m.code.shape[1]):
+        up = m.code[:, j] > 0
+        assert np.allclose(m.weights[:, j], np.log(dist[up].mean(axis=0) / dist[~up].mean(axis=0)), atol=1e-3)
+    for t, x in rows[::97]:
+        margin = m.weights[langid.grams(t)].mean(axis=0) * langid.SCALE
+        loss = [sum(np.logaddexp(0, -c * v) for c, v in zip(m.code[i], margin)) for i in range(4)]
+        assert m.predict(t)[0] == m.langs[int(np.argmin(loss))] == x
+
+
 def test_language_id_held_out(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = queries.QUERIES["op8_language_id"](spark, sf).join(docs.select("doc_id", "lang"), "doc_id").collect()
