@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from telemetra.functions.numeric import ratio
@@ -115,11 +113,6 @@ sf as (select sh.*, case when shift > m + 1.5 * s then 1 else 0 end as flag from
        (select avg(shift) as m, stddev_pop(shift) as s from sh))"""
 
 
-def _once(sql: str) -> str:
-    """Steps that the oracle reads more than once are computed once."""
-    return re.sub(r"(?m)(^|, |,\n)(\w+) as \((?=select)", r"\1\2 as materialized (", sql)
-
-
 def shifts(spark, d):
     """1 - tau between consecutive windows of a stream; the first window scores 0."""
     r = materialize(ranked_windows(spark, d, model(spark, d)).select(*KEYS, "win", *[f"rank_{f}" for f in FEATS]))
@@ -135,10 +128,11 @@ def rank_shift(spark, d):
     return shifts(spark, d).select(*KEYS, "win", "ord", (F.round("shift", 6) + 0.0).alias("shift"), "flag")
 
 
-@query("drift_feature", f"""with {_once(_SHIFT_SQL)}
-select {', '.join(f'liw.{k}' for k in _ROWKEY)}, coalesce(a.flag, b.flag) as drift_flag from liw
-left join sf a on a.stream = liw.stream and a.block = liw.block and a.win = liw.win
-left join sf b on b.stream = liw.stream and b.block = liw.block and b.win = liw.win - 1""")
+@query("drift_feature", f"""with {_WI_SQL}, wo as (select wr.*, lag(wr) over (partition by stream order by block, win) as p from wr),
+sh as (select stream, block, win, case when p is null then 0.0 else 1.0 - {_tau('wo', 'p')} end as shift from wo),
+sf as (select stream, block, win, case when shift > avg(shift) over () + 1.5 * stddev_pop(shift) over () then 1 else 0 end as flag from sh),
+fl as (select * from sf union all select stream, block, max(win) + 1, arg_max(flag, win) from sf group by stream, block)
+select {', '.join(f'liw.{k}' for k in _ROWKEY)}, fl.flag as drift_flag from liw left join fl using (stream, block, win)""")
 def drift_feature(spark, d):
     """The window's flag on each of its rows; a block's remainder carries the last one."""
     s = shifts(spark, d).select(*KEYS, "win", "flag").withColumn("n", F.lit(N))

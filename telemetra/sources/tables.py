@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telemetra.functions.numeric import quoted
+from telemetra.session import materialize
 
 # Result row layout, in column order.
 RESULT_SCHEMA = T.StructType(
@@ -43,22 +46,56 @@ def coerce_time(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, F.expr(f"try_cast(`{col}` as timestamp)")).na.drop(subset=[col])
 
 
+def first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line): the first line with any character of every file, read by one job.
+
+    Every file has a task of its own, which takes one small batch of lines and
+    leaves the rest unread.
+    """
+    # no two files share a task if opening one counts as much as a task may hold
+    own = {"spark.sql.files.openCostInBytes": spark.conf.get("spark.sql.files.maxPartitionBytes"),
+           "spark.sql.execution.arrow.maxRecordsPerBatch": "16"}
+    before = {k: spark.conf.get(k) for k in own}
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.column("at")[0].as_py():       # a later part of a file
+                return
+            for i, line in enumerate(b.column("value").to_pylist()):
+                if line.strip():
+                    yield b.slice(i, 1).select(["file", "value"])
+                    return
+
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        return materialize(lines.mapInArrow(work, "file string, value string")).withColumnRenamed("value", "line")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def csv_by_name(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV files whose columns may stand in any order; ``_file`` keeps Spark's file metadata.
 
-    Files are listed without being opened and grouped by their header line; each
-    header is one scan.  Other columns are left out, empty files are skipped, a
-    missing column or an absent path is an error.
+    One job reads the first line of every file; files are grouped by it and each
+    different header is one scan, so the number of jobs does not follow the number
+    of files.  Only with several headers are file names listed on the driver.
+    Other columns are left out, empty files are skipped, a missing column or an
+    absent path is an error.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "length").collect()
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for f in sorted(r["path"] for r in files if r["length"]):
-        by_header.setdefault(tuple(spark.read.option("header", True).csv(f).columns), []).append(f)
+    heads = first_lines(spark, path)
+    kinds_of_file = heads.groupBy("line").agg(F.min("file").alias("file")).orderBy("file").collect()
     out = None
-    for header, own in by_header.items():
+    for r in kinds_of_file:
+        one = unquote(r["file"])
+        own = path if len(kinds_of_file) == 1 else sorted(
+            unquote(f["file"]) for f in heads.filter(F.col("line") == r["line"]).select("file").collect())
+        header = spark.read.option("header", True).csv(one).columns
         missing = [c for c in schema.names if c not in header]
         if missing:
-            raise ValueError(f"columns {missing} are missing in {own[0]}")
+            raise ValueError(f"columns {missing} are missing in {one}")
         kinds = {f.name: f.dataType for f in schema.fields}
         given = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in header])
         part = spark.read.schema(given).option("header", True).csv(own).select(

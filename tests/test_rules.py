@@ -287,6 +287,32 @@ def test_combined_run_file_is_read_last(spark, tmp_path):
     assert sorted((r["seed"], r["f1"]) for r in got) == [(1, 0.1), (2, 0.9), (3, 0.8)]
 
 
+def test_headers_of_many_files_take_a_fixed_number_of_jobs(spark, tmp_path):
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("a", T.DoubleType()), T.StructField("b", T.StringType())])
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    for n in (8, 60):
+        root = tmp_path / f"n {n}+1"             # names that need escapes
+        root.mkdir()
+        for i in range(n):
+            cols = ("a,b", "b,c,a", "a,\"b\"")[i % 3]
+            row = {"a": f"{i}.5", "b": f"t{i}", "c": "z", '"b"': f"t{i}"}
+            lines = [cols, *[",".join(row[c] for c in cols.split(","))] * 40]
+            (root / f"f{i}.csv").write_text("\n" * (i % 2) + "\n".join(lines))
+        (root / "empty.csv").write_text("")
+        spark.sparkContext.setJobGroup(f"heads{n}", "heads")
+        df = tables.csv_by_name(spark, str(root), schema)
+        jobs.append(len(tracker.getJobIdsForGroup(f"heads{n}")))
+        spark.sparkContext.setJobGroup("rest", "rest")
+        got = df.groupBy("a", "b").count().collect()
+        assert sorted((r["a"], r["b"], r["count"]) for r in got) == [(i + 0.5, f"t{i}", 40) for i in range(n)]
+    assert jobs[0] == jobs[1]
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    with pytest.raises(ValueError):
+        tables.csv_by_name(spark, str(root), T.StructType([T.StructField("nope", T.StringType())]))
+
+
 def test_a_job_written_twice_leaves_one_copy(spark, tmp_path):
     path = str(tmp_path / "jobs")
     rows = spark.createDataFrame([("m", 1, 0.5), ("m", 2, 0.6), ("n", None, 0.7), ("n", 1, 0.8)], "method string, seed int, f1 double")
