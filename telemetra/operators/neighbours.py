@@ -9,6 +9,7 @@ visitors of a cell are divided into groups of limited size.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -80,10 +81,14 @@ def knn(df: DataFrame, features: Sequence[str], k: int, leaf: int = LEAF, group:
     """(features, neighbours): the k nearest rows of each distinct vector, itself excluded.
 
     Equal rows are combined first with their count, so any number of copies is
-    one member; copies are neighbours at distance 0.
+    one member; copies are neighbours at distance 0.  Distances to a null or NaN
+    are not defined: a row with one is an error, to be imputed or dropped before.
     """
     names = list(features)
     pts = materialize(df.groupBy(*names).agg(F.count(F.lit(1)).alias("m")))
+    gaps = [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in names]
+    if pts.filter(functools.reduce(Column.__or__, gaps)).limit(1).count():
+        raise ValueError("rows with a missing feature have no neighbours")
     n = pts.count()
     sample = pts.orderBy(shuffle_key(0, *[F.col(c) for c in names])).limit(SAMPLE_ROWS).select(*names).toPandas()
     depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(max(1, n) / leaf)))))

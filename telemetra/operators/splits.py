@@ -187,3 +187,18 @@ def overlap(assignment: DataFrame, key: str) -> DataFrame:
     """Keys that fall in more than one split; empty when the split is sound."""
     return (assignment.groupBy(key).agg(F.count_distinct("split").alias("n_splits"))
             .filter(F.col("n_splits") > 1))
+
+
+def resplit_windows(windows: DataFrame, policy: SplitPolicy, strategy: str, *, key: Column, order: Sequence[str] = (),
+                    group: str = "", label: str = "y") -> DataFrame:
+    """Divide windows anew: ``random`` (stratified), ``temporal`` (``windows`` carries order slices) or ``group``.
+
+    With ``group`` all windows of a device share a side; a null device is a device of its own.
+    """
+    if strategy == "random":
+        return split_random(windows, policy, key, label)
+    if strategy == "temporal":
+        return split_temporal(windows, policy, order)
+    if strategy == "group":
+        return attach(windows, deal_groups(windows, policy, group), [group])
+    raise ValueError(f"unknown strategy {strategy!r}")

@@ -198,3 +198,20 @@ def window_split(spark, d):
     sliced = add_slices(rnd, fx.micros())
     return splits.split_temporal(sliced, _TEMPORAL, ["ts", "block", "win"]).select(
         "block", "win", "y", F.col("split").alias("split_temporal"), "split_random")
+
+
+@query("window_group_split", f"""with {fx.EV_SQL}, p as (
+  select *, (row_number() over (partition by user_id order by ts, event_id) - 1) // 4 as win from ev),
+w as (select user_id, win, max(label) as y from p group by all having count(*) = 4),
+u as (select user_id, row_number() over (order by md5('42|' || user_id)) - 1 as rk, count(*) over () as n from (select distinct user_id from w)),
+c as (select *, ceil(n * cast(0.2 as double)) as t from u),
+s as (select user_id, case when rk < t then 'test'
+        when rk < t + ceil((n - t) * (cast(0.1 as double) / (1 - cast(0.2 as double)))) then 'val' else 'train' end as split from c)
+select user_id, win, y, split from w join s using (user_id)""")
+def window_group_split(spark, d):
+    """Windows of four events of a device, divided by device."""
+    e = add_slices(fx.ev(spark, d).withColumn("ts_us", fx.micros()), F.col("ts_us"), F.col("event_id"))
+    w = (with_position(e, ["user_id"], ["ts_us", "event_id"]).withColumn("win", F.expr("pos div 4"))
+         .groupBy("user_id", "win").agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("y")).filter("n = 4"))
+    return splits.resplit_windows(materialize(w), splits.SplitPolicy("group", 0.2, 0.1), "group", key=F.col("win"), group="user_id").select(
+        "user_id", "win", "y", "split")

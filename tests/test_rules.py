@@ -134,6 +134,27 @@ def test_neighbours_are_exact(spark):
         assert np.allclose(d, r.distances)
 
 
+def test_missing_features_have_no_neighbours(spark):
+    for odd in (None, float("nan")):
+        df = spark.createDataFrame([(1.0, 2.0), (2.0, odd), (3.0, 1.0)], "a double, b double")
+        with pytest.raises(ValueError):
+            neighbours.knn(df, ["a", "b"], 1)
+    assert neighbours.knn(df.filter("not isnan(b)"), ["a", "b"], 1).count() == 2
+
+
+def test_window_resplit_by_group(spark):
+    w = spark.createDataFrame([(u, i, i % 2) for u in [*range(20), None] for i in range(3)], "ue int, win int, y int")
+    got = splits.resplit_windows(w, splits.SplitPolicy("group", 0.2, 0.1), "group", key=F.col("win"), group="ue").collect()
+    sides = {}
+    for r in got:
+        sides.setdefault(r["ue"], set()).add(r["split"])
+    assert len(got) == 63 and len(sides) == 21 and all(len(s) == 1 for s in sides.values())
+    n = [sum(s == {x} for s in sides.values()) for x in ("test", "val", "train")]
+    assert n == [5, 2, 14]
+    with pytest.raises(ValueError):
+        splits.resplit_windows(w, splits.SplitPolicy("group", 0.2, 0.1), "other", key=F.col("win"))
+
+
 def test_smote_counts_and_convexity(spark):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame(rng.normal(size=(120, 2)), columns=["a", "b"]).assign(label=[1] * 25 + [0] * 95)
