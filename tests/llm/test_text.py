@@ -166,8 +166,18 @@ def test_codewords_are_apart():
     assert min((a != b).sum() for i, a in enumerate(langid.codewords(4)) for b in langid.codewords(4)[:i]) == 4
 
 
+APACHE = next(t for x, part, t in licences.TEMPLATES if (x, part) == ("Apache-2.0", "notice"))
+
+
+def test_related_licences_are_told_apart(spark):
+    """Every template is found as itself, so no licence is taken for a related one."""
+    df = spark.createDataFrame([(i, t.lower()) for i, (_, _, t) in enumerate(licences.TEMPLATES)], "doc_id int, text string")
+    got = {r["doc_id"]: (r["licence"], r["part"], r["dice"]) for r in licences.licence_scan(df, licences.template_table(spark)).collect()}
+    assert got == {i: (x, part, 1.0) for i, (x, part, _) in enumerate(licences.TEMPLATES)}
+
+
 def test_licences(spark):
-    lines = "Some prose.\nReleased under the MIT license!\n" + licences.TEMPLATES[1][2].upper() + "\nreleased under a permissive thing"
+    lines = "Some prose.\nReleased under the MIT license!\n" + APACHE.upper() + "\nreleased under a permissive thing"
     df = spark.createDataFrame([(1, lines, "a"), (2, None, "a"), (3, "", "a"), (4, "All rights reserved.", "a"), (4, "All rights reserved.", "b"),
                                 (5, "x y " * 50_000, "a"), (None, "Licensed under CC BY-NC 4.0.", "a")], "doc_id long, text string, part string")
     got = {(r["doc_id"], r["line"]): (r["licence"], r["part"], r["dice"]) for r in licences.licence_scan(df, licences.template_table(spark)).collect()}
