@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from telemetra.operators import comoments, thresholds, windows
 from telemetra.operators import correlation as co
 from telemetra.operators.ordering import with_position
 from telemetra.plans.registry import query, r6
+from telemetra.session import materialize
 from telemetra.sources import fixtures as fx
 
 FEATS = fx.LI_FEATURES
@@ -161,6 +163,13 @@ _WIDE = {f"g{k}": f"(l_orderkey * {3 * k + 1} + l_partkey * {5 * k + 2} + l_supp
 _WIDE_KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 
 
+def wide_values(order, line, part, supp) -> np.ndarray:
+    """The columns of ``_WIDE`` for arrays of the keys."""
+    k = np.arange(len(_WIDE), dtype=np.int64)
+    o, n, p, s = (np.asarray(x, np.int64)[:, None] for x in (order, line, part, supp))
+    return np.fmod(o * (3 * k + 1) + p * (5 * k + 2) + s * (k * k + 7) + n * (11 * k + 3), 17 + 6 * k).astype(float)
+
+
 @query("wide_graph_feature", f"""with {fx.LIW_SQL}, v as (
   select *, {', '.join(f'cast({e} as double) as {k}' for k, e in _WIDE.items())} from liw),
 base as (select {corr_sql(list(_WIDE))} from v where attack = 0 and split = 'train'),
@@ -171,9 +180,10 @@ t as (select a.*, coalesce(a.div, b.div, 0.0) as score from sc a
 select {_WIDE_KEYS}, {r6('score')} as graph_frob_div from v join t using (stream, block, win)""")
 def wide_graph_feature(spark, d):
     """Divergence of 38 columns per window, on every row."""
-    x = fx.li_windows(spark, d)
-    x = x.select("*", *[F.expr(e).cast("double").alias(k) for k, e in _WIDE.items()])
-    names = list(_WIDE)
-    base = comoments.baseline(x.filter("attack = 0 and split = 'train'"), comoments.vector(names), len(names))
-    return co.wide_row_scores(x, KEYS, names, base).select(
-        *_WIDE_KEYS.split(", "), F.round("graph_frob_div", 6).alias("graph_frob_div"))
+    row = _WIDE_KEYS.split(", ")
+    # stored without the wide columns: four passes read it, and a window's rows stand together
+    x = materialize(fx.li_windows(spark, d).select(*KEYS, "win", "attack", "split", *row))
+    values = comoments.Derived(row, wide_values)
+    base = comoments.baseline(x.filter("attack = 0 and split = 'train'"), values, len(_WIDE))
+    return co.wide_row_scores(x, KEYS, values, base, size=fx.LI_WINDOW).select(
+        *row, F.round("graph_frob_div", 6).alias("graph_frob_div"))

@@ -1,6 +1,7 @@
 """Replay with feedback, attribution ranks of trees, null keys and wide correlations against plain loops."""
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -153,3 +154,33 @@ def test_null_keys_in_folds_and_window_scores(spark):
                                  "dataset string, split_policy string, metric string, seed int, method string, value double")
     pairs = runstats.paired(runs, "t", ["b"])
     assert pairs.count() == 6 and runstats.signed_rank(pairs, ["dataset", "metric"]).first()["w_plus"] == 21.0
+
+
+def test_windows_of_full_size_are_finished_in_their_task(spark):
+    """With the window's size known, moments are shuffled only of windows that are cut or short; equal results."""
+    from telemetra.plans import graph
+    rng = np.random.default_rng(5)
+    rows = [(w // 7, w, *map(int, rng.integers(1, 900, 4))) for w in range(40) for _ in range(12 if w % 9 else 5)]
+    df = spark.createDataFrame(rows, "block long, win long, o long, l long, p long, s long").repartition(3, "block")
+    values = comoments.Derived(["o", "l", "p", "s"], graph.wide_values)
+    dim = len(graph._WIDE)
+    base = comoments.baseline(df, values, dim)
+    plain = comoments.vector(graph._WIDE)
+    names = dict(zip(("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ("o", "l", "p", "s")))
+    cols = df.withColumnsRenamed({b: a for a, b in names.items()})
+    cols = cols.select("*", *[F.expr(e).cast("double").alias(k) for k, e in graph._WIDE.items()])
+    assert np.allclose(base, comoments.baseline(cols, plain, dim))
+    want = {r["win"]: r["divergence"] for r in comoments.divergences(cols, ["block", "win"], plain, base).collect()}
+    got = {r["win"]: r["divergence"] for r in comoments.divergences(df, ["block", "win"], values, base, 12).collect()}
+    x = np.array([r[2:] for r in rows]).T
+    for w in range(40):
+        m = graph.wide_values(*x[:, [r[1] == w for r in rows]])
+        live = m.std(axis=0) > 0
+        c = np.where(np.outer(live, live), np.corrcoef(m.T + 0.0), 0.0) if live.all() else None
+        if c is not None:
+            assert abs(np.linalg.norm(c - base) - got[w]) < 1e-9
+    assert len(want) == 40 and all(abs(want[w] - got[w]) < 1e-9 for w in want)
+    parts = comoments.partial_moments(df, ["block", "win"], values, dim, 12, "divergence double",
+                                      lambda n, dev: {"divergence": pa.array(np.zeros(len(dev)))}).collect()
+    assert {r["win"] for r in parts if r["mean"] is None} == {w for w in range(40) if w % 9}
+    assert all(r["n"] == 5 for r in parts if r["mean"] is not None)
