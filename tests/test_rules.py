@@ -155,6 +155,20 @@ def test_window_resplit_by_group(spark):
         splits.resplit_windows(w, splits.SplitPolicy("group", 0.2, 0.1), "other", key=F.col("win"))
 
 
+def test_undersample_keeps_the_first_of_the_shuffle_without_moving_rows(spark):
+    """The same rows as by a rank over all digests, also where rows of one digest straddle the cut; no row is shuffled."""
+    from telemetra.functions.seeded import shuffle_key
+    df = spark.range(30_000).select((F.col("id") % 7_000).alias("k"), "id", F.when(F.col("id") % 10 == 0, 1).otherwise(0).alias("label"))
+    ranked = df.filter("label = 0").select("id", shuffle_key(3, F.col("id")).alias("h")).toPandas().sort_values("h")
+    got, sizes = balance.undersampled(df, 2.5, F.col("id"), 3)
+    assert {r["id"] for r in got.filter("label = 0").collect()} == set(ranked["id"][:7_500])
+    assert sizes == {1: 3_000, 0: 7_500} and got.filter("label = 1").count() == 3_000
+    assert "Window" not in got._jdf.queryExecution().toString() and "Exchange" not in got._jdf.queryExecution().toString()
+    for ratio in (0.0, 1.0, 2.0, 2.0005, 2.001, 9.0, 20.0):
+        u = balance.undersample(df, ratio, F.col("k"), 3)
+        assert u.filter("label = 0").count() == min(27_000, round(3_000 * ratio)) and u.select("id").distinct().count() == u.count()
+
+
 def test_smote_counts_and_convexity(spark):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame(rng.normal(size=(120, 2)), columns=["a", "b"]).assign(label=[1] * 25 + [0] * 95)
