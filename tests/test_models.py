@@ -45,3 +45,25 @@ def test_proposed_method(spark, sf):
     assert 0 < r["threshold"] < 1 and r["events"] is not None and r["updates"] is not None
     row = pl.result(r["scored"], r["threshold"]).first()
     assert row["tp"] + row["fp"] + row["fn"] + row["tn"] == src.rows.filter("split = 'test'").count()
+
+
+def test_ablations_share_their_stages(spark, sf, monkeypatch):
+    """Two fits of trees (with and without the divergence) and one student serve all rows of the ladder."""
+    fits, students = [], []
+    trees, student = models.fit_trees, models.fit_student
+    monkeypatch.setattr(models, "fit_trees", lambda *a, **k: fits.append(1) or trees(*a, **k))
+    monkeypatch.setattr(models, "fit_student", lambda *a, **k: students.append(1) or student(*a, **k))
+    rows = {r["config"]: r for r in mq.ablation_runs(spark, sf).collect()}
+    assert list(rows) == ["P0", "P1", "P2", "P3", "P4", "P6", "P7"]
+    assert len(fits) == 2 and len(students) == 1
+    assert rows["P1"]["f1"] == rows["P2"]["f1"] and rows["P3"]["f1"] == rows["P6"]["f1"]
+    assert rows["P1"]["drift_events"] is None and rows["P2"]["drift_events"] is not None
+    assert rows["P3"]["drift_windows"] is None and rows["P4"]["drift_windows"] == rows["P7"]["drift_windows"] is not None
+    assert rows["P4"]["label_loss"] is None and rows["P6"]["label_loss"] == rows["P7"]["label_loss"] is not None
+
+
+def test_a_fit_reads_partitions_of_bounded_size(spark):
+    wide = spark.range(0, 1_300_000, 1, 1)
+    n = models.dealt(wide, 1_300_000).rdd.getNumPartitions()
+    assert n == max(spark.sparkContext.defaultParallelism, 6)
+    assert models.dealt(wide, 40 * models.FIT_ROWS + 1).rdd.getNumPartitions() == 41
