@@ -1,6 +1,7 @@
 """Tokens, languages, licences, pages, vectors and chats."""
 
 import random
+import re
 import struct
 import unicodedata
 import zlib
@@ -8,6 +9,7 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from telemetra.llm import bpe, chat, html_text, langid, licences, queries, token_files, topk
@@ -281,3 +283,50 @@ def test_escape_is_reversible(spark):
 
 def test_fold_is_nfc_and_plain_lower():
     assert bpe.fold("ΑΣ é") == unicodedata.normalize("NFC", "ασ é")
+
+
+def test_every_page_is_differenced_with_its_nearest_differing_page(spark, monkeypatch):
+    """Neighbours by a loop over the sorted pages of a host; runs of copies and the number of partitions change nothing."""
+    rnd = random.Random(8)
+    frame = ["Home", "Imprint", "All rights"]
+    rows = []
+    for i in range(90):
+        body = [f"own {i} {k}" for k in range(rnd.randrange(1, 5))] if i % 9 else ["copied"]
+        lines = [frame[0], *body, *(frame[1:] if i % 4 else frame[1:2])]
+        mark = "<article><p>kept</article>" if i % 10 == 3 else ""
+        rows.append((i, f"http://h{i % 3}.de/{'abc'[i % 2]}/{i // 9 if i % 5 else 0}", "".join(f"<p>{x}</p>" for x in lines) + mark))
+    rows += [(200 + i, "http://h1.de/b/copy", "<p>Home<p>same<p>Imprint") for i in range(20)]
+    rows += [(300, None, "<p>Home"), (301, "http://h0.de/x", None), (302, "http://alone.de/", "<p>Home")]
+    page = {i: (re.sub(r"^http://", "", u or "").split("/", 1)[0], "/" + (u or "").split("/", 3)[3] if u else "", html_text.blocks(h)) for i, u, h in rows}
+
+    def digest(i):
+        return xxhash.xxh128_digest(b"".join(xxhash.xxh64_digest(s.encode()) for _, s in page[i][2]))
+
+    order = sorted(page, key=lambda i: (page[i][0], page[i][1], digest(i)))
+
+    def beside(i, steps):
+        for j in steps:
+            if page[j][0] != page[i][0]:
+                return None
+            if digest(j) != digest(i):
+                return page[j]
+        return None
+
+    want = {}
+    for at, i in enumerate(order):
+        want[i] = html_text._text(page[i], beside(i, order[:at][::-1]), beside(i, order[at + 1:]))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 2, 8):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert {r["page_id"]: r["text"] for r in html_text.main_text(df.repartition(n)).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert all(want[200 + i] == "same" for i in range(20)) and "Home" not in want[200]
+
+    # differencing runs for pages that markup decides, too
+    seen, plain = [], html_text.common
+    monkeypatch.setattr(html_text, "common", lambda a, b: seen.append(1) or plain(a, b))
+    a = ("h", "/1", html_text.blocks("<nav>Top</nav><article><p>text</article>"))
+    assert html_text._text(a, ("h", "/2", html_text.blocks("<nav>Top</nav><article><p>text<p>more</article>")), None) == "text" and seen
