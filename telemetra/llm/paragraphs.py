@@ -3,7 +3,9 @@
 Equal paragraphs are combined by a 128-bit hash of their words before anything
 is compared.  Different ones collide in bands of MinHash values; the bands are
 tuned so that a pair at the threshold meets with the wanted recall.  Band buckets
-with equal members are looked at once.  In each bucket a breadth-first search
+with equal members are looked at once.  Whole texts are grouped by SimHash before
+that, and the bands look only for links between what these groups leave apart.
+In each bucket or group a breadth-first search
 verifies pairs by exact Jaccard similarity of their word shingles and emits a
 spanning forest.  Components of the links are the clusters; the first occurrence
 (smallest document, then paragraph) stays.
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemetra.llm.common import Memo, fresh, run_bounds, runs, split_cells
-from telemetra.llm import passages
+from telemetra.llm import passages, simhash
 from telemetra.llm.components import connected_components
 from telemetra.session import materialize
 
@@ -30,6 +32,8 @@ WORD = re.compile(r"\w+")
 #: Shingles hashed at once per permutation: the working set stays in cache.
 CHUNK = 1 << 15
 WORD_ROOM = 300_000
+#: Shingles of a bucket from which their sets are compared as arrays: a Python set takes ten times the memory.
+ARRAYS = 1 << 13
 
 
 #: Share of line pairs at the threshold that meet in a band.
@@ -134,9 +138,9 @@ def content_id(words: list[str]) -> bytes:
 
 def paragraphs(docs: DataFrame, ident: str, text: str, min_words: int, words: int, bands: int, rows: int,
                units=paragraph_words) -> DataFrame:
-    """(doc, para, n_words, pid, keys): every paragraph with its content id and band keys."""
+    """(doc, para, n_words, pid, keys, fp): every paragraph with its content id, band keys and SimHash of its shingles."""
     kind = docs.schema[ident].dataType.simpleString()
-    names = ["doc", "para", "n_words", "pid", "keys"]
+    names = ["doc", "para", "n_words", "pid", "keys", "fp"]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher(words, bands, rows)
@@ -153,14 +157,15 @@ def paragraphs(docs: DataFrame, ident: str, text: str, min_words: int, words: in
                         held.append(h.hashes(w))
                 if not row:
                     continue
-                keys = h.signatures(*h.shingles_of_all(held)).view(np.int64)
+                sets = h.shingles_of_all(held)
+                keys = h.signatures(*sets).view(np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [c.column("i").take(pa.array(row)), pa.array(para, pa.int32()), pa.array(n, pa.int32()),
-                     pa.array(pid, pa.binary()), flat], names)
+                     pa.array(pid, pa.binary()), flat, pa.array(simhash.majorities(*sets).view(np.int64))], names)
 
     return docs.select(F.col(ident).alias("i"), F.col(text).alias("t")).mapInArrow(
-        work, f"doc {kind}, para int, n_words int, pid binary, keys array<long>")
+        work, f"doc {kind}, para int, n_words int, pid binary, keys array<long>, fp long")
 
 
 def paragraphs_and_windows(docs: DataFrame, ident: str, text: str, min_words: int, words: int, bands: int, rows: int) -> DataFrame:
@@ -218,6 +223,31 @@ def _shingle_table(docs: DataFrame, ident: str, text: str, min_words: int, words
     return docs.select(F.col(text).alias("t")).mapInArrow(work, "pid binary, s array<long>")
 
 
+def _forest(flat: np.ndarray, size: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets that stand one after another in ``flat``; memory as that of the sets."""
+    codes = np.unique(flat, return_inverse=True)[1]
+    ends = np.cumsum(size)
+    mark = np.zeros(int(codes.max(initial=-1)) + 1, bool)
+    out, left, held = [], np.arange(1, len(size)), codes[size[0]:]
+    queue = [0]
+    while queue or len(left):
+        if not queue:
+            queue, held, left = [int(left[0])], held[size[left[0]]:], left[1:]
+        at = queue.pop()
+        if not len(left):
+            break
+        mine = codes[ends[at] - size[at]:ends[at]]
+        mark[mine] = True
+        both = np.diff(np.concatenate([[0], np.cumsum(mark[held])])[np.concatenate([[0], np.cumsum(size[left])])])
+        mark[mine] = False
+        hit = both >= threshold * (size[at] + size[left] - both) - 1e-9
+        if hit.any():
+            out += [(at, j) for j in left[hit].tolist()]
+            queue += left[hit].tolist()
+            held, left = held[np.repeat(~hit, size[left])], left[~hit]
+    return out
+
+
 def _verify(threshold: float):
     keys = ["cell", "_lo", "_hi"]
 
@@ -227,7 +257,13 @@ def _verify(threshold: float):
             for a, b in run_bounds(t, keys):
                 part = t.slice(a, b - a)
                 pids = part.column("pid").to_pylist()
-                sets = [frozenset(x) for x in part.column("s").to_pylist()]
+                s = part.column("s").combine_chunks()
+                if len(s.flatten()) > ARRAYS:
+                    for i, j in _forest(s.flatten().to_numpy(), s.value_lengths().to_numpy(), threshold):
+                        us.append(pids[i])
+                        vs.append(pids[j])
+                    continue
+                sets = [frozenset(x) for x in s.to_pylist()]
                 left, queue = list(range(1, len(pids))), [0]
                 while queue or left:
                     if not queue:
@@ -252,9 +288,18 @@ def _verify(threshold: float):
     return work
 
 
+def fingerprint_groups(content: DataFrame, distance: int) -> DataFrame:
+    """(cell, id): the contents (id, fp) whose SimHashes are linked by steps of at most ``distance`` bits, in groups of two or more."""
+    near = simhash.links(content.select("fp").distinct(), distance)
+    roots = connected_components(near).withColumnRenamed("node", "fp")
+    grouped = content.select("id", "fp").join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("cell"), "id")
+    many = grouped.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cell")
+    return grouped.join(many, "cell")
+
+
 def repeated_paragraphs(docs: DataFrame, ident: str = "doc_id", text: str = "text", min_words: int = 40,
                         words: int = 5, threshold: float = 0.8, recall: float = 0.9999, units=paragraph_words,
-                        found: DataFrame | None = None) -> DataFrame:
+                        found: DataFrame | None = None, distance: int | None = None) -> DataFrame:
     """(ident, para, n_words, cluster, kept_id, kept_para, removed) for every paragraph that occurs again.
 
     A paragraph is a line; ``para`` counts from 0 within ``text.split('\\n')``.
@@ -262,30 +307,42 @@ def repeated_paragraphs(docs: DataFrame, ident: str = "doc_id", text: str = "tex
     stay.  Rows that repeat an ident and its text are one document.  Null texts
     have no paragraphs.  A null ident orders first.  Extra columns are ignored.
     ``found`` gives the rows of ``paragraphs`` where they are stored already.
+    With a ``distance``, paragraphs are first grouped by SimHash links of at most so many bits and
+    verified inside the groups; the bands then look only for links between paragraphs that stay apart.
     """
     bands, rows = tune_bands(threshold, recall)
     occ = materialize(paragraphs(docs, ident, text, min_words, words, bands, rows, units)) if found is None else found
     first = F.min(F.struct("doc", "para"))
     # in the bands a content is a 64-bit hash, half as wide; its exact id returns with the shingles
-    content = materialize(occ.groupBy("pid").agg(first.alias("at"), F.first("keys").alias("keys"))
+    content = materialize(occ.groupBy("pid").agg(first.alias("at"), F.first("keys").alias("keys"),
+                                                 *([] if distance is None else [F.first("fp").alias("fp")]))
                           .withColumn("id", F.xxhash64("pid")))
 
-    member = content.select("id", F.explode("keys").alias("key"))
-    bucket = (member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"),
-                                        F.sum(F.col("id") % F.lit(1 << 40)).alias("all"))
-              .filter("n > 1").groupBy("n", "low", "all").agg(F.min("key").alias("key")).select("key"))
-    met = materialize(member.join(bucket, "key"))
-
-    # shingles of what met, from the documents that hold it first
-    wanted = content.join(met.select("id").distinct(), "id", "left_semi").select("id", "pid", F.col("at.doc").alias("_doc"))
-    texts = docs.select(F.col(ident).alias("_id"), F.col(text).alias("t")).join(
-        wanted.select("_doc").distinct(), F.col("_id").eqNullSafe(F.col("_doc")), "left_semi")
-    sets = (_shingle_table(texts, "_id", "t", min_words, words, units).join(wanted.select("id", "pid"), "pid")
-            .groupBy("id", "pid").agg(F.first("s").alias("s")))
-    cells = split_cells(met.withColumnRenamed("key", "cell"), "cell", "id")
-    # the sets join after the members are dealt, so each task gets its own ones once
-    dealt = cells.join(sets, "id").repartition("cell", "_lo", "_hi").sortWithinPartitions("cell", "_lo", "_hi", "pid")
-    edges = dealt.select("cell", "_lo", "_hi", "pid", "s").mapInArrow(_verify(threshold), "u binary, v binary")
+    def verified(met: DataFrame) -> DataFrame:
+        """Links (u, v) between the pids that share a cell; ``met`` (cell, id) is stored."""
+        # shingles of what met, from the documents that hold it first
+        wanted = content.join(met.select("id").distinct(), "id", "left_semi").select("id", "pid", F.col("at.doc").alias("_doc"))
+        texts = docs.select(F.col(ident).alias("_id"), F.col(text).alias("t")).join(
+            wanted.select("_doc").distinct(), F.col("_id").eqNullSafe(F.col("_doc")), "left_semi")
+        sets = (_shingle_table(texts, "_id", "t", min_words, words, units).join(wanted.select("id", "pid"), "pid")
+                .groupBy("id", "pid").agg(F.first("s").alias("s")))
+        # the sets join after the members are dealt, so each task gets its own ones once
+        dealt = (split_cells(met, "cell", "id").join(sets, "id").repartition("cell", "_lo", "_hi")
+                 .sortWithinPartitions("cell", "_lo", "_hi", "pid"))
+        return dealt.select("cell", "_lo", "_hi", "pid", "s").mapInArrow(_verify(threshold), "u binary, v binary")
+
+    told, lead, close = content, F.col("id"), None
+    if distance is not None:
+        close = materialize(verified(materialize(fingerprint_groups(content, distance))))
+        led = connected_components(close).select(F.col("node").alias("pid"), F.xxhash64("root").alias("lead"))
+        told, lead = content.join(led, "pid", "left"), F.coalesce("lead", "id")
+    member = told.select("id", lead.alias("lead"), F.explode("keys").alias("cell"))
+    bucket = (member.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"),
+                                         F.sum(F.col("id") % F.lit(1 << 40)).alias("all"),
+                                         F.min("lead").alias("one"), F.max("lead").alias("other"))
+              .filter("n > 1 and one <> other").groupBy("n", "low", "all").agg(F.min("cell").alias("cell")).select("cell"))
+    edges = verified(materialize(member.select("cell", "id").join(bucket, "cell")))
+    edges = edges if close is None else edges.unionByName(close)
 
     roots = connected_components(edges).withColumnRenamed("node", "pid")
     named = content.select("pid", "at").join(roots, "pid", "left").select("pid", "at", F.coalesce("root", "pid").alias("root"))
@@ -340,12 +397,14 @@ def without_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     return joined.mapInArrow(work, docs.schema)
 
 
-def without_near_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
+def without_near_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8,
+                        distance: int = 5) -> DataFrame:
     """One row of the first document of each group of texts linked by exact Jaccard similarity of their word shingles.
 
+    SimHash links of at most ``distance`` bits group the texts first; the bands find the alike texts that differ in more bits.
     ``ident`` has no nulls.  Rows that repeat it hold the same text; they are combined where the join has put them.
     """
     key = fresh(docs, "_doc")
-    gone = (repeated_paragraphs(docs, ident, text, 1, words, threshold, units=whole_text).filter("removed")
+    gone = (repeated_paragraphs(docs, ident, text, 1, words, threshold, units=whole_text, distance=distance).filter("removed")
             .select(F.col(ident).alias(key)).distinct())
     return docs.join(gone, F.col(ident) == F.col(key), "left_anti").dropDuplicates([ident])

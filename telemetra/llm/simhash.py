@@ -56,6 +56,20 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(s), bitorder="little").view("<u8")[0])
 
 
+def majorities(flat: np.ndarray, starts: np.ndarray, chunk: int = 1 << 15) -> np.ndarray:
+    """The fingerprint of each set of hashes; ``flat`` holds the sets one after another, none of them empty."""
+    out, ends, first = np.zeros(len(starts), np.uint64), np.append(starts[1:], len(flat)), 0
+    while first < len(starts):                    # sets of about ``chunk`` hashes together
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + chunk, "right")))
+        part, at = flat[starts[first]:ends[last - 1]], starts[first:last] - starts[first]
+        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
+        most = ones * 2 > np.diff(np.append(at, len(part)))[:, None]
+        out[first:last] = np.packbits(most, axis=1, bitorder="little").view("<u8").ravel()
+        first = last
+    return out
+
+
 def fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
     """(ident, fp): the fingerprint of every whole text as a signed long.  Null text counts as empty."""
     kind = docs.schema[ident].dataType.simpleString()
