@@ -134,6 +134,38 @@ def test_neighbours_are_exact(spark):
         assert np.allclose(d, r.distances)
 
 
+def test_tied_neighbours_do_not_depend_on_the_cells(spark):
+    """On a grid most distances are tied: the smaller vector wins, whatever the cells and groups."""
+    x = np.array([(a, b) for a in range(18) for b in range(18)], float)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double").repartition(5)
+    for leaf, group in ((1_000, 1_000), (20, 15)):
+        got = {(r.a, r.b): [tuple(v) for v in r.neighbours] for r in neighbours.knn(df, ["a", "b"], 6, leaf, group).collect()}
+        for q in x:
+            want = sorted((float(np.sqrt(((q - v) ** 2).sum())), *v) for v in x if (v != q).any())[:6]
+            assert got[tuple(q)] == [w[1:] for w in want]
+
+
+def test_cells_within_a_radius(spark):
+    rng = np.random.default_rng(3)
+    x, q = rng.normal(size=(2_000, 3)), rng.normal(size=(200, 3))
+    cells, radius = neighbours.Cells(x, 6), rng.uniform(0, 2, 200)
+    lo, hi = cells.lo[cells.n - 1:], cells.hi[cells.n - 1:]
+    row, cell = cells.within(q, radius)
+    gap = np.maximum(np.maximum(lo - q[:, None], q[:, None] - hi), 0)
+    assert set(zip(row.tolist(), cell.tolist())) == set(zip(*(v.tolist() for v in np.nonzero(np.sqrt((gap ** 2).sum(2)) <= radius[:, None]))))
+    assert len(row) < 200 * 64
+
+
+def test_smote_makes_copies_after_the_join(spark):
+    """Each base row is joined with its neighbours once or twice, not once per copy, and no position is numbered."""
+    pdf = pd.DataFrame({"a": [float(i) for i in range(300)], "label": [1] * 20 + [0] * 280})
+    s = neighbours.smote(spark.createDataFrame(pdf), ["a"], F.col("a").cast("string"), 3)
+    plan = s._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode") < plan.index("Join") and "row_number" not in plan
+    got = s.groupBy("base_a").agg(F.count(F.lit(1)).alias("n"), F.collect_list("copy").alias("c")).collect()
+    assert len(got) == 20 and sum(r["n"] for r in got) == 260 and all(sorted(r["c"]) == list(range(13)) for r in got)
+
+
 def test_missing_features_have_no_neighbours(spark):
     for odd in (None, float("nan")):
         df = spark.createDataFrame([(1.0, 2.0), (2.0, odd), (3.0, 1.0)], "a double, b double")
