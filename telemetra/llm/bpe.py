@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemetra.llm.common import Memo
+from telemetra.llm.common import Memo, held
 
 LONG = 64
 ROOM = 500_000
@@ -192,10 +192,9 @@ class Vocabulary:
         return " ".join([known[i] for i in ids if i in known])
 
 
-@functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
-    """Read once per Python worker."""
-    return Vocabulary(path)
+    """Read once per Python worker, and held with the words it has encoded."""
+    return held(("bpe", path), lambda: Vocabulary(path))
 
 
 def encode_documents(docs: DataFrame, vocab_path: str, ident: str = "doc_id", text: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemetra.llm.common import Memo, fresh, run_bounds, runs, split_cells
+from telemetra.llm.common import Memo, fresh, let_go, run_bounds, runs, split_cells
 from telemetra.llm import passages, simhash
 from telemetra.llm.components import connected_components
 from telemetra.session import materialize
@@ -143,6 +143,7 @@ def paragraphs(docs: DataFrame, ident: str, text: str, min_words: int, words: in
     names = ["doc", "para", "n_words", "pid", "keys", "fp"]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         h = Hasher(words, bands, rows)
         for b in batches:
             for at in range(0, b.num_rows, 128):
@@ -176,6 +177,7 @@ def paragraphs_and_windows(docs: DataFrame, ident: str, text: str, min_words: in
     kinds = [None, pa.int32(), pa.int32(), pa.binary(), longs, longs, longs]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         h, cut = Hasher(words, bands, rows), passages.Windows()
         for b in batches:
             for at in range(0, b.num_rows, 128):
@@ -211,6 +213,7 @@ def paragraphs_and_windows(docs: DataFrame, ident: str, text: str, min_words: in
 
 def _shingle_table(docs: DataFrame, ident: str, text: str, min_words: int, words: int, units=paragraph_words) -> DataFrame:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         h = Hasher(words, 1, 1)
         for b in batches:
             for t in b.column("t").to_pylist():
@@ -252,6 +255,7 @@ def _verify(threshold: float):
     keys = ["cell", "_lo", "_hi"]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for t in runs(batches, keys):
             us, vs = [], []
             for a, b in run_bounds(t, keys):
@@ -386,6 +390,7 @@ def without_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     at, names = docs.columns.index(text), docs.columns
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             told = b.column(at).to_pylist()
             for i in b.column(lines).is_valid().to_numpy(zero_copy_only=False).nonzero()[0].tolist():

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemetra.llm.common import Memo
+from telemetra.llm.common import Memo, let_go
 from telemetra.session import materialize
 
 WORD = re.compile(r"\w+")
@@ -73,6 +73,7 @@ def windows(docs: DataFrame, ident: str, text: str) -> DataFrame:
     kind = docs.schema[ident].dataType.simpleString()
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         cut = Windows()
         word = Memo(lambda w: xxhash.xxh64_intdigest(w.lower().encode("utf-8", "surrogatepass")), WORD_ROOM).__getitem__
 
@@ -124,6 +125,7 @@ def repeated_spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", l
     kind = docs.schema[ident].dataType.simpleString()
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             for i in range(b.num_rows):
                 spans = spans_of(b.column("found")[i].as_py(), least)

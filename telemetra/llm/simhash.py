@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemetra.llm.common import run_bounds, runs, split_cells
+from telemetra.llm.common import let_go, run_bounds, runs, split_cells
 from telemetra.llm.components import connected_components
 from telemetra.session import materialize
 
@@ -75,6 +75,7 @@ def fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text", wor
     kind = docs.schema[ident].dataType.simpleString()
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             fp = np.array([fingerprint(t, words) for t in b.column("t").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(fp, pa.int64())], [ident, "fp"])
@@ -111,6 +112,7 @@ def cells(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _visit(distance: int):
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             fp = b.column("fp").to_numpy()
             for at in range(0, len(fp), 1 << 12):
@@ -141,6 +143,7 @@ def _verify(distance: int):
     keys = ["cell", "_lo", "_hi"]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for t in runs(batches, keys):
             v = t.column("fp").to_numpy().view(np.uint64)
             us, vs, bounds = [], [], run_bounds(t, keys)

@@ -1,12 +1,14 @@
 """The near-dedup stage: SimHash groups first, bands for the rest, exact Jaccard for all."""
 
 import random
+import weakref
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from telemetra.llm import paragraphs, simhash
+from telemetra.llm import bpe, paragraphs, simhash
+from telemetra.llm.queries import vocabulary_path
 from test_dedup import docs_of, groups, prose
 
 
@@ -74,3 +76,26 @@ def test_forest_of_arrays_links_what_sets_do(seed):
     ids = range(len(sets))
     alike = {(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert {(min(x), max(x)) for x in got} <= alike and groups(got, ids) == groups(alike, ids)
+
+
+class Steps:
+    """Stands for a table and catches the function that a step gives to its Python workers."""
+
+    def select(self, *cols):
+        return self
+
+    def mapInArrow(self, work, kind):
+        self.work = work
+        return self
+
+
+def test_a_worker_lets_the_words_of_bpe_go(spark):
+    """The workers of the pipeline live through all stages: what BPE keeps in them must not add to near-dedup's memory."""
+    path = vocabulary_path()
+    gone = weakref.ref(bpe.vocabulary(path))
+    assert bpe.vocabulary(path) is gone()
+    bpe.vocabulary(path).encode("some words to keep")
+    near = Steps()
+    paragraphs._shingle_table(near, "doc_id", "text", 1, 5)
+    assert not list(near.work(iter([]))) and gone() is None
+    assert bpe.vocabulary(path).encode("some words to keep")
