@@ -67,3 +67,61 @@ def test_a_fit_reads_partitions_of_bounded_size(spark):
     n = models.dealt(wide, 1_300_000).rdd.getNumPartitions()
     assert n == max(spark.sparkContext.defaultParallelism, 6)
     assert models.dealt(wide, 40 * models.FIT_ROWS + 1).rdd.getNumPartitions() == 41
+
+
+def test_small_models_as_columns_give_what_spark_ml_gives(fitted, monkeypatch):
+    src, m = fitted
+    rows = models.score(m, src.rows, src.features).withColumn("target", models.soft_target(F.col("p"), F.col("label")))
+    st = models.fit_student(rows.filter("split = 'train'"), src.features, "target")
+    both = models.student_score(st, rows, src.features)
+    keys = [*pl.KEYS, "win"]
+    importance = models.tree_importance(m, src.rows, keys, src.features).toPandas()
+    assert models.compact(m) and models.compact(st)
+    monkeypatch.setattr(models, "COMPACT_NODES", 0)
+    ml = models.student_score(st, models.score(m, both, src.features, "ml_p"), src.features, "ml_student")
+    gap = ml.agg(F.max(F.abs(F.col("p") - F.col("ml_p"))), F.max(F.abs(F.col("student_p") - F.col("ml_student")))).first()
+    assert max(gap) < 1e-12
+    j = importance.merge(models.tree_importance(m, src.rows, keys, src.features).toPandas(), on=keys)
+    assert len(j) == len(importance) and all(np.allclose(j[f"imp_{f}_x"], j[f"imp_{f}_y"]) for f in src.features)
+
+
+def test_a_missing_feature_is_an_error_for_columns_too(fitted):
+    src, m = fitted
+    row = src.rows.limit(1).withColumn("f1", F.lit(None).cast("double"))
+    with pytest.raises(Exception, match="null or NaN"):
+        models.score(m, row, src.features).select("p").collect()
+
+
+def test_a_fit_reads_stored_files_and_moves_no_row(spark, sf, monkeypatch):
+    monkeypatch.setattr(models, "FIT_ROWS", 200)
+    src = mq.source(spark, sf, ())
+    with models.fit_table(src.rows, src.rows.count()) as df:
+        sizes = df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert max(sizes) <= 200 and sum(sizes) == src.rows.count()
+    monkeypatch.setattr(models, "dealt", lambda *a: pytest.fail("rows are dealt"))
+    m = models.fit_trees(src.rows, src.features, models.small(models.BASE_TREES, 3), None, src.key)
+    assert m.getNumTrees >= 1
+
+
+@pytest.mark.parametrize("run", [
+    lambda src: pl.proposed_method(src, models.small(models.EXTENSION_TREES, 3), pl.ABLATIONS["P6"])], ids=["proposed"])
+def test_scores_of_all_rows_are_not_stored(spark, sf, monkeypatch, run):
+    src, stored, keep = mq.source(spark, sf, ()), [], pl.materialize
+    monkeypatch.setattr(pl, "materialize", lambda df, *a: stored.append(df.columns) or keep(df, *a))
+    run(src)
+    assert not [c for c in stored if "p" in c and "split" in c]
+
+
+@pytest.mark.parametrize("run", [mq.proposed_pipeline])
+def test_queries_on_windows_store_no_row_keys(spark, sf, monkeypatch, run):
+    class Seen(Exception):
+        pass
+
+    def seen(src, *_):
+        raise Seen(src.rows.columns)
+
+    monkeypatch.setattr(pl, "proposed_method", seen)
+    monkeypatch.setattr(pl, "extension_method", seen)
+    with pytest.raises(Seen) as got:
+        run(spark, sf)
+    assert set(got.value.args[0]) == {*pl.KEYS, "win", "split", "label", *mq.FEATS}

@@ -104,3 +104,23 @@ def test_null_keys_and_null_order_values_stay(spark):
     out = o.with_running_sum(out, ["g"], [F.col("t"), F.col("id")], {"sum": F.col("id")})
     got = {r["id"]: (r["pos"], r["before"], r["sum"]) for r in out.collect()}
     assert got == {6: (0, None, 6), 2: (1, 6, 8), 1: (2, 2, 9), 3: (0, None, 3), 4: (1, 3, 7), 5: (2, 4, 12)}
+
+
+def test_whole_numbers_are_counted_unless_a_cell_is_larger_than_a_slice(spark, monkeypatch):
+    sketched, sketch = [], F.percentile_approx
+    monkeypatch.setattr(o.F, "percentile_approx", lambda *a: sketched.append(1) or sketch(*a))
+    df = spark.range(4000).select((F.col("id") % 7).cast("int").alias("day"), F.col("id").alias("tie"))
+    s = o.add_slices(df, F.col("day"), F.col("tie"), 200)
+    assert not sketched
+    depth = s.groupBy("_slice").count().toPandas()["count"]
+    assert len(depth) == 20 and depth.max() <= 220
+    got = o.with_position(s, [], ["day", "tie"]).toPandas().sort_values(["day", "tie"])
+    assert got["pos"].tolist() == list(range(4000))
+    o.add_slices(df.withColumn("tie", F.lit(1)), F.col("day"), F.col("tie"), 200)
+    assert len(sketched) == 1
+
+
+def test_positions_of_rows_with_stored_totals_shuffle_once(spark, sf):
+    from telemetra.sources import fixtures as fx
+    plan = fx.li_positions(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
