@@ -104,7 +104,8 @@ def test_a_fit_reads_stored_files_and_moves_no_row(spark, sf, monkeypatch):
 
 
 @pytest.mark.parametrize("run", [
-    lambda src: pl.proposed_method(src, models.small(models.EXTENSION_TREES, 3), pl.ABLATIONS["P6"])], ids=["proposed"])
+    lambda src: pl.proposed_method(src, models.small(models.EXTENSION_TREES, 3), pl.ABLATIONS["P6"]),
+    lambda src: pl.extension_method(src, models.small(models.EXTENSION_TREES, 3))], ids=["proposed", "extension"])
 def test_scores_of_all_rows_are_not_stored(spark, sf, monkeypatch, run):
     src, stored, keep = mq.source(spark, sf, ()), [], pl.materialize
     monkeypatch.setattr(pl, "materialize", lambda df, *a: stored.append(df.columns) or keep(df, *a))
@@ -112,7 +113,7 @@ def test_scores_of_all_rows_are_not_stored(spark, sf, monkeypatch, run):
     assert not [c for c in stored if "p" in c and "split" in c]
 
 
-@pytest.mark.parametrize("run", [mq.proposed_pipeline])
+@pytest.mark.parametrize("run", [mq.proposed_pipeline, mq.extension_pipeline])
 def test_queries_on_windows_store_no_row_keys(spark, sf, monkeypatch, run):
     class Seen(Exception):
         pass
