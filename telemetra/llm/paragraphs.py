@@ -345,7 +345,8 @@ def repeated_paragraphs(docs: DataFrame, ident: str = "doc_id", text: str = "tex
                                          F.sum(F.col("id") % F.lit(1 << 40)).alias("all"),
                                          F.min("lead").alias("one"), F.max("lead").alias("other"))
               .filter("n > 1 and one <> other").groupBy("n", "low", "all").agg(F.min("cell").alias("cell")).select("cell"))
-    edges = verified(materialize(member.select("cell", "id").join(bucket, "cell")))
+    # the estimates take an exploded list for one row, so neither side may be broadcast
+    edges = verified(materialize(member.select("cell", "id").join(bucket.hint("merge"), "cell")))
     edges = edges if close is None else edges.unionByName(close)
 
     roots = connected_components(edges).withColumnRenamed("node", "pid")

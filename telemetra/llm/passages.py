@@ -119,7 +119,8 @@ def repeated_spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", l
     again = (every.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at")).alias("k"))
              .filter("n > 1").select("id", "k"))
     earlier = ~(F.col("doc").eqNullSafe(F.col("k.doc")) & (F.col("at") == F.col("k.at")))
-    later = (every.join(again, "id").filter(earlier)
+    # the estimates take the list of a text's windows for one row, so neither side may be broadcast
+    later = (every.join(again.hint("merge"), "id").filter(earlier)
              .select("doc", "at", F.col("k.doc").alias("kdoc"), F.col("k.at").alias("kat")))
     by_doc = later.groupBy("doc").agg(F.collect_set(F.struct("at", "kdoc", "kat")).alias("found"))
     kind = docs.schema[ident].dataType.simpleString()
