@@ -17,6 +17,7 @@ class Seen(Exception):
 @pytest.mark.parametrize("name, want", [
     ("ablation_runs", models.EXTENSION_TREES),
     ("attribution_drift", models.EXTENSION_TREES),
+    ("extension_pipeline", models.EXTENSION_TREES),
 ])
 def test_queries_fit_the_published_trees(spark, sf, monkeypatch, name, want):
     def seen(df, features, config, *_):
