@@ -18,6 +18,7 @@ class Seen(Exception):
     ("ablation_runs", models.EXTENSION_TREES),
     ("attribution_drift", models.EXTENSION_TREES),
     ("extension_pipeline", models.EXTENSION_TREES),
+    ("gbt_scores", models.BASE_TREES),
 ])
 def test_queries_fit_the_published_trees(spark, sf, monkeypatch, name, want):
     def seen(df, features, config, *_):
