@@ -19,6 +19,7 @@ class Seen(Exception):
     ("attribution_drift", models.EXTENSION_TREES),
     ("extension_pipeline", models.EXTENSION_TREES),
     ("gbt_scores", models.BASE_TREES),
+    ("proposed_pipeline", models.EXTENSION_TREES),
 ])
 def test_queries_fit_the_published_trees(spark, sf, monkeypatch, name, want):
     def seen(df, features, config, *_):
