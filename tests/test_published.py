@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from telemetra.operators import models
 from telemetra.plans import models as mq
+from telemetra.plans import pipelines as pl
 
 
 class Seen(Exception):
@@ -20,6 +21,7 @@ class Seen(Exception):
     ("extension_pipeline", models.EXTENSION_TREES),
     ("gbt_scores", models.BASE_TREES),
     ("proposed_pipeline", models.EXTENSION_TREES),
+    ("ratio_tuning", models.BASE_TREES),
 ])
 def test_queries_fit_the_published_trees(spark, sf, monkeypatch, name, want):
     def seen(df, features, config, *_):
@@ -56,3 +58,14 @@ def test_boosting_goes_on_through_rounds_that_gain_little(spark):
     assert cut.getNumTrees == 2 and np.allclose(cut.evaluateEachIteration(val), losses[:2])
     p = models.score(cut, rows, ["a", "b"]).select("p").toPandas()["p"]
     assert p.between(0, 1).all() and cut.numFeatures == 2 and cut.numClasses == 2
+
+
+def test_ratio_tuning_tries_all_published_ratios(spark, sf, monkeypatch):
+    """Each trial tells the rows it trained on and the trees it kept, as the published table does."""
+    tune = pl.tune_ratio
+    monkeypatch.setattr(pl, "tune_ratio", lambda src, config, ratios: tune(src, models.small(config, 2, 2), ratios))
+    got = mq.ratio_tuning(spark, sf).orderBy("ratio").toPandas()
+    assert got["ratio"].tolist() == [1.0, 2.0, 5.0, 10.0] and got["chosen"].sum() == 1
+    assert got["n_benign"].tolist() == [414, 828, 2070, 3882] and set(got["n_attack"]) == {414}
+    assert got["n_trees"].between(1, 2).all()
+    assert got.loc[got["chosen"], "val_f1"].item() == got["val_f1"].max()
